@@ -17,9 +17,11 @@ def predictions(
     family: str = "scenario_family",
     label: str = "label",
     predicted: str = "predicted",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The five columns of a prediction table."""
+    """The five columns of a prediction table, after those to ``keep``."""
     return df.select(
+        *keep,
         F.col(key).alias("episode_id"),
         F.col(family).alias("scenario_family"),
         F.col(label).alias("label"),

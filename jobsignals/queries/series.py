@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import duration_seconds, kbps_to_mbps, to_mib, to_number, to_watts
 from ..operators import joins, series, totals
+from ..operators.cohort import fill_features
 from ..plans import features
-from .registry import ORDER, event_series, query, r6, rounded, table
+from .registry import ORDER, event_series, query, rounded, table
 
 METRICS = ("click", "purchase", "signup", "value", "view")
 FEATURE_COLUMNS = [f"{m}_{s}" for m in METRICS for s in ("mean", "std", "min", "max", "slope")]
@@ -133,8 +134,6 @@ _RUNNING = """running as (
 
 def running_counter(spark, sf) -> DataFrame:
     """Cumulative counter per (user, type), as a process would report its bytes."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("episode_id", "metric").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     cents = F.round(F.col("value") * 100).cast("bigint")
     return event_series(spark, sf).withColumn("counter", F.sum(cents).over(w))
@@ -251,8 +250,8 @@ def sampler_counts(spark, sf):
 # A step improves when it is more than 1 below the best so far. Both are found by recursion.
 _CONVERGENCE = """
 with recursive steps as (
-  select user_id, value, row_number() over (partition by {by} order by ts, event_id) as step,
-         count(*) over (partition by {by}) as n from events {where}),
+  select user_id, value, row_number() over (partition by user_id order by ts, event_id) as step,
+         count(*) over (partition by user_id) as n from events),
 walk as (
   select user_id, step, n, value as best, 1 as best_step, 0 as since, false as done from steps where step = 1
   union all
@@ -269,15 +268,15 @@ from walk group by user_id
 """
 
 
-@query("convergence", _CONVERGENCE.format(by="user_id", where=""))
+@query("convergence", _CONVERGENCE)
 def convergence(spark, sf):
     return series.convergence(event_series(spark, sf), ["episode_id"], ORDER, "value", min_delta=1.0)
 
 
 @query(
     "unit_conversion",
-    """select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / 1000.0, 3) as watts,
-              round(l_extendedprice * 1000 / 1048576.0, 3) as mib, round(l_quantity / 1024.0, 3) as mbps
+    """select l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice / 1000.0, 3) as watts,
+              round_even(l_extendedprice * 1000 / 1048576.0, 3) as mib, round_even(l_quantity / 1024.0, 3) as mbps
        from lineitem""",
 )
 def unit_conversion(spark, sf):
@@ -432,8 +431,6 @@ def attach_defaults(spark, sf):
               coalesce(case when event_type <> 'view' then props end, '') as props from events""",
 )
 def fill_missing(spark, sf):
-    from ..operators.cohort import fill_features
-
     e = event_series(spark, sf).select(
         "event_id",
         F.when(F.col("metric") != "error", F.col("value")).alias("value"),
