@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, tokens
 
-# Terms found in most documents are looked up in a broadcast table of this many rows. Any
-# other term has less than 1/HOT_TERMS of all (document, term) rows, so no task of the join
-# on terms gets more than its share.
+# A term gets special care when more documents than this contain it ...
+DOCUMENTS_PER_TERM = 1_000_000
+# ... and it is among the most frequent ones, of which this many are looked up in a broadcast
+# table. Any other term has less than 1/HOT_TERMS of all (document, term) rows.
 HOT_TERMS = 10_000
+SALTS = 1024
 
 
 def with_grams(df: DataFrame, text: str = "text", name: str = "grams") -> DataFrame:
@@ -27,14 +29,20 @@ def with_grams(df: DataFrame, text: str = "text", name: str = "grams") -> DataFr
 def ngrams(df: DataFrame, key: str = "episode_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """How often each word and word pair occurs in each document.
 
-    A document is one row, so its terms are counted where it is read and only the counts move.
+    Texts are spread by key before they are split into terms: a text is smaller than its
+    counted terms, and the counts then need no shuffle.
     """
-    grams = with_grams(df.select(key, *keep, F.col(text).alias("_text")), "_text")
-    return (
-        grams.select(key, *keep, F.explode("grams").alias("term"))
-        .groupBy(key, *keep, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    grams = with_grams(df.select(key, *keep, F.col(text).alias("_text")).repartition(key), "_text")
+    return exploded(grams, "grams", "term", key, *keep).groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def exploded(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes the optimizer test the array for emptiness further down, which
+    computes it a second time; the outer form followed by a null filter does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def inverse_frequency(n_documents: Column, n_with_term: Column) -> Column:
@@ -42,39 +50,70 @@ def inverse_frequency(n_documents: Column, n_with_term: Column) -> Column:
     return F.log((n_documents + 1.0) / (n_with_term + 1.0)) + 1.0
 
 
-def _look_up(counts: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Join term frequencies to (document, term) counts without a hot join key."""
-    common = F.broadcast(frequencies.orderBy(F.desc("df"), "term").limit(HOT_TERMS))
-    by_broadcast = counts.join(common, "term")
-    by_shuffle = counts.join(common.select("term"), "term", "left_anti").join(frequencies, "term")
-    return by_broadcast.unionByName(by_shuffle)
+def _with_frequencies(
+    counts: DataFrame, key: str, measures: dict[str, Column], n_documents: int, documents_per_term: int
+) -> DataFrame:
+    """Add counts over all rows of a term to each of its rows.
+
+    Rows meet by term in a window. A term that most documents share would put most rows in one
+    task, so such terms are counted beforehand and spread over salts instead. There are none
+    unless there are more documents than ``documents_per_term``, which then costs no pass.
+    """
+    names = list(measures)
+    hot = []
+    if n_documents > documents_per_term:
+        frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_n"), *[m.alias(n) for n, m in measures.items()])
+        frequent = frequent.filter(F.col("_n") > documents_per_term).orderBy(F.desc("_n"), "term").limit(HOT_TERMS)
+        frequent = frequent.select(F.col("term").alias("_hot_term"), *names)
+        hot = frequent.collect()
+    if not hot:
+        by_term = Window.partitionBy("term")
+        return counts.withColumns({n: m.over(by_term) for n, m in measures.items()})
+    known = counts.sparkSession.createDataFrame(hot, frequent.schema).withColumnsRenamed({n: f"_hot_{n}" for n in names})
+    marked = counts.join(F.broadcast(known), F.col("term") == F.col("_hot_term"), "left")
+    salt = F.when(F.col("_hot_term").isNotNull(), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(-1)
+    by_term = Window.partitionBy("term", "_salt")
+    full = marked.withColumn("_salt", salt)
+    return full.withColumns({n: F.coalesce(F.col(f"_hot_{n}"), m.over(by_term)) for n, m in measures.items()})
 
 
 def _normalised(weighted: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """Divide by the length of the document's vector; its terms came out of one row."""
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return weighted.select(key, *names, "term", "tf", (F.col("_w") / length).alias("weight"))
 
 
-def tfidf(df: DataFrame, key: str = "episode_id", text: str = "text", fold: str | None = None, folds: int = 5) -> DataFrame:
+def tfidf(
+    df: DataFrame,
+    key: str = "episode_id",
+    text: str = "text",
+    fold: str | None = None,
+    folds: int = 5,
+    documents_per_term: int = DOCUMENTS_PER_TERM,
+) -> DataFrame:
     """TF-IDF weight of every term of every document, each document scaled to length 1.
 
     With ``fold`` (0 .. ``folds`` - 1) a document is weighted as the model of its own fold sees
     it: document frequencies come from the other folds only, and terms that occur nowhere else
     are unknown and leave before scaling. All folds are served by one count, since what is
     outside a fold is the total minus what is inside.
+
+    Rows are shuffled twice, by term for the frequencies and by document for the length.
     """
     if fold is None:
+        n = df.count()
         counts = ngrams(df, key, text)
-        n = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-        frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weight = F.col("tf") * inverse_frequency(n, F.col("df"))
-        return _normalised(_look_up(counts, frequencies).withColumn("_w", weight), key, ())
+        rows = _with_frequencies(counts, key, {"df": F.count(F.lit(1))}, n, documents_per_term)
+        weight = F.col("tf") * inverse_frequency(F.lit(float(n)), F.col("df"))
+        return _normalised(rows.withColumn("_w", weight), key, ())
 
+    inside = {f"_in{i}": F.count_if(F.col(fold) == i) for i in range(folds)}
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in inside.items()]).first()
     counts = ngrams(df, key, text, [fold])
-    inside = [F.count_if(F.col(fold) == i) for i in range(folds)]
-    frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.array(*inside).alias("_inside"))
-    n = df.agg(F.transform(F.array(*inside), lambda c: (F.count(F.lit(1)) - c).cast("double"))).scalar()
-    known = F.col("df") - F.element_at("_inside", F.col(fold) + 1)
-    rows = _look_up(counts, frequencies).withColumn("_known", known).filter(F.col("_known") > 0)
-    weight = F.col("tf") * inverse_frequency(F.element_at(n, F.col(fold) + 1), F.col("_known"))
+    measures = {"df": F.count(F.lit(1)), **inside}
+    rows = _with_frequencies(counts, key, measures, sizes["n"], documents_per_term)
+    own = F.element_at(F.array(*inside), F.col(fold) + 1)
+    n_outside = F.element_at(F.array(*[F.lit(float(sizes["n"] - sizes[c])) for c in inside]), F.col(fold) + 1)
+    rows = rows.withColumn("_known", F.col("df") - own).filter(F.col("_known") > 0)
+    weight = F.col("tf") * inverse_frequency(n_outside, F.col("_known"))
     return _normalised(rows.withColumn("_w", weight), key, [fold])

@@ -275,7 +275,7 @@ def convergence(spark, sf):
 
 @query(
     "unit_conversion",
-    """select l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice / 1000.0, 3) as watts,
+    """select l_orderkey, l_linenumber, l_partkey, round_even(floor(l_extendedprice) / 1000.0, 3) as watts,
               round_even(l_extendedprice * 1000 / 1048576.0, 3) as mib, round_even(l_quantity / 1024.0, 3) as mbps
        from lineitem""",
 )
@@ -283,7 +283,7 @@ def unit_conversion(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        to_watts("l_extendedprice").alias("watts"),
+        to_watts(F.floor("l_extendedprice")).alias("watts"),
         to_mib(F.col("l_extendedprice") * 1000).alias("mib"),
         kbps_to_mbps("l_quantity").alias("mbps"),
     )

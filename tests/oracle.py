@@ -89,6 +89,7 @@ def main(names):
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = get_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     queries, sqls = entry.queries(), entry.oracle_sql()
