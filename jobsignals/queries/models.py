@@ -1 +1,116 @@
-"""Queries."""
+"""Classifiers over the driver tables: labelled documents as text, users as episodes with
+telemetry. Predictions have no SQL; what SQL can check is that each row is predicted once, in
+the fold it was dealt to."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import KEY_FIELDS, LABELS
+from ..operators import joins, models
+from ..operators.cohort import feature_columns, fill_features
+from ..operators.ranking import stratified_folds
+from ..operators.series import gpu_features
+from ..plans import training
+from ..plans.features import with_text
+from ..session import materialise
+from .evaluation import labelled
+from .registry import ORDER, event_series, query, rounded, table
+from .series import METRICS, customers, network_rows, process_rows
+
+
+def document_features(spark, sf):
+    """Labelled documents: language is the family, toxic the class, the whole text the text."""
+    return labelled(spark, sf).select(
+        F.col("doc_id").alias("episode_id"),
+        F.when(F.col("toxic") == 1, LABELS[1]).otherwise(LABELS[0]).alias("label"),
+        F.col("lang").alias("scenario_family"),
+        F.col("text").alias("text_normalized"),
+    )
+
+
+def user_tables(spark, sf):
+    """Text and GPU feature tables of the users, from their customer row and their events."""
+    e = event_series(spark, sf)
+    wide = e.select(
+        "episode_id", *ORDER, *[F.when(F.col("metric") == m, F.col("value")).alias(m) for m in METRICS if m != "value"],
+        "value", F.when(F.col("metric") == "error", F.col("props")).alias("error"),
+    )
+    keyed = customers(spark, sf).withColumns(
+        {
+            "label": F.when(F.col("c_acctbal") < 4500, LABELS[1]).otherwise(LABELS[0]),
+            "scenario_family": F.col("c_mktsegment"),
+        }
+    )
+    text = with_text(keyed, network_rows(spark, sf), process_rows(spark, sf), ["c_mktsegment", "c_nationkey", "c_acctbal"])
+    gpu = keyed.select(*KEY_FIELDS).join(gpu_features(wide, METRICS, order=ORDER), "episode_id")
+    return materialise(text.select(*KEY_FIELDS, "text_raw", "text_normalized")), materialise(gpu)
+
+
+@query("text_logistic")
+def text_logistic(spark, sf):
+    return training.classify(document_features(spark, sf), models.TextLogistic(), describe=False)["predictions"]
+
+
+@query("text_svm")
+def text_svm(spark, sf):
+    return training.classify(document_features(spark, sf), models.TextSVM(), describe=False)["predictions"]
+
+
+@query("telemetry_forest")
+def telemetry_forest(spark, sf):
+    _, gpu = user_tables(spark, sf)
+    names = feature_columns(gpu)
+    return training.classify(fill_features(gpu, names), models.TelemetryForest(numbers=names), describe=False)["predictions"]
+
+
+def fused(spark, sf, **settings):
+    text, gpu = user_tables(spark, sf)
+    names = feature_columns(gpu)
+    both = fill_features(joins.fuse_features(text, gpu), names, ["text_normalized"])
+    return training.classify(both, models.FusedForest(numbers=names, **settings), describe=False)
+
+
+@query("fused_forest")
+def fused_forest(spark, sf):
+    return fused(spark, sf)["predictions"]
+
+
+@query("fused_forest_shrunk")
+def fused_forest_shrunk(spark, sf):
+    return fused(spark, sf, num_trees=50, max_depth=4, min_leaf=2)["predictions"]
+
+
+@query(
+    "out_of_fold",
+    """select doc_id as episode_id, case when toxic = 1 then 'adversarial' else 'ordinary' end as label,
+              cast((row_number() over (order by case when toxic = 1 then 'adversarial' else 'ordinary' end, md5(doc_id || '|0')) - 1) % 5 as integer) as fold,
+              true as predicted
+       from documents join labels using (doc_id)""",
+)
+def out_of_fold(spark, sf):
+    """Every labelled document is predicted once, by the model of its fold."""
+    estimator = models.TextLogistic(max_iter=10)
+    dealt = stratified_folds(document_features(spark, sf))
+    prepared = materialise(estimator.prepare(dealt, [*KEY_FIELDS, "fold"]))
+    out = models.out_of_fold(prepared, estimator)
+    return out.select("episode_id", "label", "fold", F.col("predicted").isin(*LABELS).alias("predicted"))
+
+
+@query("top_terms")
+def top_terms(spark, sf):
+    """Strongest terms of a fit on all labelled documents."""
+    estimator = models.TextLogistic()
+    features = document_features(spark, sf)
+    fitted = estimator.fit(materialise(estimator.prepare(features, KEY_FIELDS)))
+    return rounded(models.top_terms(fitted, features), "weight")
+
+
+@query("top_importances")
+def top_importances(spark, sf):
+    """Features that a forest on all users relies on most."""
+    _, gpu = user_tables(spark, sf)
+    names = feature_columns(gpu)
+    filled = fill_features(gpu, names)
+    fitted = models.TelemetryForest(numbers=names).fit(filled)
+    return rounded(models.top_importances(fitted, gpu), "weight")
