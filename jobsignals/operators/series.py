@@ -83,17 +83,18 @@ def _merge(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(SLICE).rowsBetween(*ALL_EARLIER)
     n = F.col("n").cast("double")
-    placed = partials.select(
+    based = partials.withColumn("_base", F.min("mean").over(whole))
+    placed = based.select(
         "*",
         F.sum(n).over(whole).alias("_total"),
-        (F.sum(n * F.coalesce("mean", F.lit(0.0))).over(whole)).alias("_sum"),
+        F.sum(n * (F.col("mean") - F.col("_base"))).over(whole).alias("_above"),
         (F.coalesce(F.sum(n).over(earlier), F.lit(0.0)) + (n - 1) / 2.0).alias("_centre"),
-    )
-    from_mean = F.col("mean") - F.try_divide("_sum", "_total")
+    ).withColumn("_mean", F.col("_base") + F.try_divide("_above", "_total"))
+    from_mean = F.col("mean") - F.col("_mean")
     from_centre = F.col("_centre") - (F.col("_total") - 1) / 2.0
     return placed.groupBy(*keys).agg(
         F.sum("n").alias("n"),
-        F.try_divide(F.first("_sum"), F.first("_total")).alias("mean"),
+        F.first("_mean").alias("mean"),
         F.sum(F.col("m2") + n * from_mean * from_mean).alias("m2"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
@@ -102,16 +103,18 @@ def _merge(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _finish(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Statistics from the sums of a whole series; a constant one has exactly no spread."""
     n = F.col("n").cast("double")
     zero = F.lit(0.0)
+    constant = F.col("min") == F.col("max")
     return partials.select(
         *keys,
         "n",
-        F.coalesce("mean", zero).alias("mean"),
-        F.coalesce(F.sqrt(F.try_divide("m2", n)), zero).alias("std"),
+        F.coalesce(F.when(constant, F.col("min")).otherwise(F.col("mean")), zero).alias("mean"),
+        F.coalesce(F.when(~constant, F.sqrt(F.try_divide("m2", n))), zero).alias("std"),
         F.coalesce("min", zero).alias("min"),
         F.coalesce("max", zero).alias("max"),
-        F.coalesce(_slope(F.col("cross"), n), zero).alias("slope"),
+        F.coalesce(F.when(~constant, _slope(F.col("cross"), n)), zero).alias("slope"),
     )
 
 
