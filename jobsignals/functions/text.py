@@ -23,7 +23,7 @@ NORMALIZE_RULES = (
         r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}T\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}(\.\p{Nd}+)?(\+\p{Nd}{2}:\p{Nd}{2}|Z)?",
         "<TIME>",
     ),
-    (rf"{_START}\p{{Nd}}{{10}}\.\p{{Nd}}{{2,9}}{_END}", "<TIME>"),
+    (rf"(?=\p{{Nd}}){_START}\p{{Nd}}{{10}}\.\p{{Nd}}{{2,9}}{_END}", "<TIME>"),
     (
         rf"{_START}(GPU-)?[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}{_END}",
         "<UUID>",
@@ -31,7 +31,7 @@ NORMALIZE_RULES = (
     (r"(?:/[\p{L}\p{N}_.\-]+){2,}/?", "<PATH>"),
     (r"(--seed[= ])(\p{Nd}+)", "$1<SEED>"),
     (r"(?U)(--episode-id[= ])(\S+)", "$1<ID>"),
-    (rf"{_START}(run_|cc_|episode_)(\p{{Nd}}{{3,}}){_END}", "<ID>"),
+    (rf"(?=[rce]){_START}(run_|cc_|episode_)(\p{{Nd}}{{3,}}){_END}", "<ID>"),
 )
 
 DEFAULT_PROMPT = (

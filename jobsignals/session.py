@@ -57,3 +57,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of input that comes in too few pieces.
+
+    One file that cannot be split would leave a single task with all the per-row work. Input
+    with at least as many partitions as cores, as any large table has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
