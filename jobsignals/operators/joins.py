@@ -68,10 +68,15 @@ def scope_connections(
     wanted: str = "ESTABLISHED",
 ) -> DataFrame:
     """Distinct addresses per tick of the established connections that the episode's own
-    processes hold. One row per (tick, address)."""
+    processes hold. One row per (tick, address).
+
+    Repeated connections are dropped before the join, on the map side too.
+    """
     own = processes.select(*tick, pid).distinct()
     return (
         connections.filter((F.col(state) == wanted) & F.col(address).isNotNull())
+        .select(*tick, pid, address)
+        .distinct()
         .join(own, [*tick, pid], "left_semi")
         .select(*tick, address)
         .distinct()

@@ -153,17 +153,20 @@ def gpu_features(
     order: Sequence[str] = ("timestamp", "gpu_uuid"),
     error: str = "error",
     prefix: str = "nvml",
+    is_sample: str | None = None,
     rows_per_series: int = ROWS_PER_SERIES,
 ) -> DataFrame:
     """Wide feature row per episode: sample count, error rate and five statistics per metric.
 
-    Samples are shuffled once, in wide form, by episode. Each metric gets its own running
+    Rows where ``is_sample`` is false only say that the episode has a log; an episode with no
+    other rows gets zeros. Samples are shuffled once, in wide form, by episode. Each metric gets its own running
     count, because positions skip missing values; the metrics are then stacked inside the same
     partitions and aggregated there. ``error`` and the row count ride along as one more metric.
     """
+    failed = has_error(error).cast("double")
     samples = samples.select(
         key, *order, *[F.col(m).cast("double").alias(m) for m in metrics],
-        has_error(error).cast("double").alias("_error"),
+        (failed if is_sample is None else F.when(F.col(is_sample), failed)).alias("_error"),
     )
     s = slice_series(samples, (key,), order, rows_per_series)
     running = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -267,31 +270,37 @@ def convergence(
 
     A step improves when its value is more than ``min_delta`` below the best so far. The series
     has converged at the first step, ``min_steps`` or later, with no improvement in the last
-    ``patience`` steps. A step that improves is always below everything before it, so only
-    such record lows are looked at one after the other; they are found by windows that work
-    per slice. Records after a stretch of ``patience`` steps without one cannot matter either
-    once ``min_steps`` is past, and are left out before the records of a series are gathered.
+    ``patience`` steps.
+
+    Only record lows are looked at one after the other, as a step that improves is below
+    everything before it. Windows per slice find them, and also where a series must be over:
+    each run of ``patience`` steps of a live series has an improvement, so its low falls by
+    more than ``min_delta`` within any 2 * ``patience`` steps. Records from there on are left
+    out, so what is gathered of a series is bounded by its value range over ``min_delta``.
     """
-    s = slice_series(df, keys, order, rows_per_series)
-    s = indexed(s, "_step")
+    s = indexed(slice_series(df, keys, order, rows_per_series), "_step")
     below = s.df.withColumn("_step", F.col("_step") + 1).withColumn(
         "_low", F.min(value).over(s.window().rowsBetween(*ALL_EARLIER))
     )
     if s.hot:
         below = join_carried(s.with_df(below), {"_low_before": (F.min(value), F.min)})
         below = below.withColumn("_low", F.least("_low", "_low_before")).drop("_low_before")
-
-    lengths = s.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_steps"))
+    span = 2 * patience
+    below = below.withColumn("_now", F.least("_low", value))
+    fell = F.col("_now") < F.lag("_now", span).over(s.window()) - min_delta
+    over = F.coalesce(~fell & (F.col("_step") > min_steps + span), F.lit(False))
+    up_to_here = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = below.withColumn("_over", over).withColumn("_ended", F.max("_over").over(up_to_here))
+
+    lengths = marked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_steps"), F.min(F.when(F.col("_over"), F.col("_step"))).alias("_end")
+    )
     is_record = F.col(value).isNotNull() & (F.col("_low").isNull() | (F.col(value) < F.col("_low")))
-    records = below.filter(is_record).select(
-        *s.group, *s.order, "_step", F.col(value).cast("double").alias("_value")
+    records = marked.filter(is_record & ~F.col("_ended")).select(
+        *keys, "_step", F.col(value).cast("double").alias("_value")
     )
-    marked = previous(s.with_df(records), ["_step"]).df
-    # The first stall ends the series; nothing later than it is read.
-    stalled = (F.col("_step") - F.col("_prev__step") > patience) & (F.col("_step") > min_steps)
-    ends = marked.filter(stalled).groupBy(*keys).agg(F.min("_step").alias("_end"))
     live = (
-        marked.join(ends, list(keys), "left")
+        _join_keys(records, lengths.select(*keys, "_end"), keys)
         .filter(F.col("_end").isNull() | (F.col("_step") < F.col("_end")))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_step", "_value"))).alias("_records"))
@@ -308,9 +317,7 @@ def convergence(
         halted = F.struct(state["best"].alias("best"), state["at"].alias("at"), F.lit(1).cast("bigint").alias("stop"))
         return F.when(stopped, halted).when(improves, moved).otherwise(state)
 
-    folded = lengths.join(
-        live.select(*keys, F.aggregate("_records", first, step).alias("_f")), list(keys), "left"
-    )
+    folded = _join_keys(lengths, live.select(*keys, F.aggregate("_records", first, step).alias("_f")), keys)
     at = F.coalesce("_f.at", F.lit(0).cast("bigint"))
     stop = stop_after(at)
     return folded.select(
@@ -323,6 +330,15 @@ def convergence(
     )
 
 
+def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def sampler_counts(
     df: DataFrame, key: str = "episode_id", error: str | None = "error", timestamp: str | None = None,
     marks: Sequence[str] = (),

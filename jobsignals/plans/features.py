@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..constants import GPU_METRICS, JOB_TEXT_FIELDS, STATS
 from ..functions.text import kv_text, normalize_text
 from ..operators.cohort import episode_index, exclusion_report, filter_id_ranges, split_success, usable_summary
-from ..operators.joins import attach
+from ..operators.joins import attach, episodes_without_metadata
 from ..operators.series import gpu_features
-from ..operators.totals import counter_totals, distinct_destinations, network_totals
+from ..operators.totals import counter_totals, network_summary
 from ..session import materialise
 from ..sources import raw
 
@@ -38,8 +38,7 @@ def storage_text() -> Column:
 
 def with_network_totals(episodes: DataFrame, network: DataFrame, key: str = "episode_id") -> DataFrame:
     """Network totals per episode, zeros where there is no network log."""
-    sums = attach(episodes, network_totals(network, key), {"bytes_sent": 0, "bytes_recv": 0}, key)
-    return attach(sums, distinct_destinations(network, key), {"unique_destinations": 0}, key)
+    return attach(episodes, network_summary(network, key), NETWORK_DEFAULTS, key)
 
 
 def with_storage_totals(
@@ -72,18 +71,13 @@ def text_features(episodes: DataFrame, network: DataFrame, processes: DataFrame,
     )
 
 
-def gpu_feature_table(episodes: DataFrame, samples: DataFrame, present: DataFrame, key: str = "episode_dir") -> DataFrame:
+def gpu_feature_table(episodes: DataFrame, lines: DataFrame, key: str = "episode_dir") -> DataFrame:
     """GPU table: keys and features. All features are null without a log, and zero for a log
-    that has only its header."""
-    features = gpu_features(samples, key=key)
+    that has only its header, which ``lines`` carries as rows that are no samples."""
+    features = gpu_features(lines, key=key, is_sample="is_sample")
     names = [c for c in features.columns if c != key]
-    joined = (
-        episodes.select(key, "episode_id", "label", "scenario_family")
-        .join(features, key, "left")
-        .join(present.select(key, F.lit(True).alias("_present")), key, "left")
-    )
-    zero = {c: F.when(F.col("_present"), F.coalesce(F.col(c), F.lit(0))).otherwise(F.col(c)) for c in names}
-    return joined.withColumns(zero).select("episode_id", "label", "scenario_family", *names)
+    joined = episodes.select(key, "episode_id", "label", "scenario_family").join(features, key, "left")
+    return joined.select("episode_id", "label", "scenario_family", *names)
 
 
 def gpu_feature_names() -> list[str]:
@@ -91,22 +85,23 @@ def gpu_feature_names() -> list[str]:
 
 
 def build_processed(spark: SparkSession, root: str, id_spec: str | None = None) -> dict[str, DataFrame]:
-    """The processed tables, the excluded episodes, the counts of both, and folders that have
-    samples but no metadata.
+    """The processed tables, the excluded episodes, the counts of both, the episodes whose
+    folder has another name, and the folders that have GPU samples but no metadata.
 
     ``id_spec`` selects folders. Metadata files are read once and kept as a table, since every
     result starts from them.
     """
     episodes = materialise(filter_id_ranges(raw.read_episodes(spark, root), "episode_dir", id_spec))
     ok, excluded = split_success(episodes)
-    gpu = raw.read_gpu_samples(spark, root)
+    gpu = raw.read_gpu_lines(spark, root)
     network = raw.read_network_samples(spark, root)
     processes = raw.read_process_samples(spark, root)
     return {
         "episodes_index": episode_index(ok),
         "text_features": text_features(ok, network, processes),
-        "nvml_features": gpu_feature_table(ok, gpu, raw.logs_present(spark, root, "gpu")),
+        "nvml_features": gpu_feature_table(ok, gpu),
         "excluded": exclusion_report(excluded),
         "summary": usable_summary(episodes),
         "renamed": raw.renamed_episodes(episodes),
+        "without_metadata": episodes_without_metadata(filter_id_ranges(gpu, "episode_dir", id_spec), episodes, "episode_dir"),
     }

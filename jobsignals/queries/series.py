@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import duration_seconds, kbps_to_mbps, to_mib, to_number, to_watts
 from ..operators import joins, series, totals
 from ..operators.cohort import fill_features
+from ..operators.slicing import SLICE, join_carried, slice_series
 from ..plans import features
 from .registry import ORDER, event_series, query, rounded, table
 
@@ -134,9 +135,14 @@ _RUNNING = """running as (
 
 def running_counter(spark, sf) -> DataFrame:
     """Cumulative counter per (user, type), as a process would report its bytes."""
-    w = Window.partitionBy("episode_id", "metric").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    cents = F.round(F.col("value") * 100).cast("bigint")
-    return event_series(spark, sf).withColumn("counter", F.sum(cents).over(w))
+    rows = event_series(spark, sf).withColumn("_cents", F.round(F.col("value") * 100).cast("bigint"))
+    s = slice_series(rows, ["episode_id", "metric"], ORDER)
+    so_far = F.sum("_cents").over(s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = s.df.withColumn("counter", so_far)
+    if s.hot:
+        counted = join_carried(s.with_df(counted), {"_before": (F.sum("_cents"), F.sum)})
+        counted = counted.withColumn("counter", F.col("counter") + F.coalesce("_before", F.lit(0))).drop(SLICE, "_before")
+    return counted.drop("_cents")
 
 
 @query(

@@ -138,6 +138,26 @@ def test_falling_series_never_converges(spark):
         assert (r["converged"], r["best_step"], r["last_step"]) == (False, 300, 300)
 
 
+def test_records_of_a_stalled_series_are_not_gathered(spark):
+    """A slow fall makes every step a record, but the series is over after a few steps."""
+    df = spark.range(5000).select(F.lit("a").alias("k"), F.col("id").alias("t"), (-F.col("id") / 1000.0).alias("v"))
+    for limit in (HOT, 10**6):
+        r = series.convergence(df, ["k"], ["t"], "v", rows_per_series=limit).first()
+        assert (r["converged"], r["best_step"], r["last_step"], r["n_steps"]) == (True, 1, 6, 5000)
+
+
+def test_summary_equals_its_two_parts(spark):
+    df = spark.createDataFrame(
+        [("a", "1", "2", "x;y;z"), ("a", "<error>", "4", "y"), ("a", "8", "16", ""), ("b", "1", None, None)],
+        "episode_id string, bytes_sent_delta string, bytes_recv_delta string, remote_addresses string",
+    )
+    whole = totals.network_summary(df)
+    parts = totals.network_totals(df).join(totals.distinct_destinations(df), "episode_id")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.select(whole.columns).collect())) == [
+        ("a", 9, 22, 3), ("b", 1, 0, 0),
+    ]
+
+
 def test_totals(spark):
     df = spark.createDataFrame(
         [("a", 1, "10"), ("a", 1, "30"), ("a", 2, "<error: X>"), ("a", None, "999"), ("b", 1, None)],

@@ -37,7 +37,8 @@ def test_folder_and_metadata_ids_may_differ(built):
     assert [tuple(r) for r in built["renamed"].collect()] == [("065", "0650")]
 
 
-def test_samples_without_metadata(spark, episodes_root):
+def test_samples_without_metadata(spark, episodes_root, built):
+    assert [r[0] for r in built["without_metadata"].collect()] == ["064"]
     gpu, episodes = raw.read_gpu_samples(spark, episodes_root), raw.read_episodes(spark, episodes_root)
     assert [r[0] for r in episodes_without_metadata(gpu, episodes, "episode_dir").collect()] == ["064"]
 
