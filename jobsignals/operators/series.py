@@ -292,19 +292,14 @@ def convergence(
     up_to_here = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = below.withColumn("_over", over).withColumn("_ended", F.max("_over").over(up_to_here))
 
-    lengths = marked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_steps"), F.min(F.when(F.col("_over"), F.col("_step"))).alias("_end")
-    )
     is_record = F.col(value).isNotNull() & (F.col("_low").isNull() | (F.col(value) < F.col("_low")))
-    records = marked.filter(is_record & ~F.col("_ended")).select(
-        *keys, "_step", F.col(value).cast("double").alias("_value")
-    )
-    live = (
-        _join_keys(records, lengths.select(*keys, "_end"), keys)
-        .filter(F.col("_end").isNull() | (F.col("_step") < F.col("_end")))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_step", "_value"))).alias("_records"))
+    record = F.struct("_step", F.col(value).cast("double").alias("_value"))
+    gathered = marked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_steps"),
+        F.min(F.when(F.col("_over"), F.col("_step"))).alias("_end"),
+        F.array_sort(F.collect_list(F.when(is_record & ~F.col("_ended"), record))).alias("_records"),
     )
+    live = F.filter("_records", lambda r: F.col("_end").isNull() | (r["_step"] < F.col("_end")))
     first = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("stop"))
 
     def stop_after(at: Column) -> Column:
@@ -317,28 +312,19 @@ def convergence(
         halted = F.struct(state["best"].alias("best"), state["at"].alias("at"), F.lit(1).cast("bigint").alias("stop"))
         return F.when(stopped, halted).when(improves, moved).otherwise(state)
 
-    folded = _join_keys(lengths, live.select(*keys, F.aggregate("_records", first, step).alias("_f")), keys)
-    at = F.coalesce("_f.at", F.lit(0).cast("bigint"))
+    folded = gathered.withColumn("_f", F.aggregate(live, first, step))
+    at = F.col("_f.at")
     stop = stop_after(at)
     return folded.select(
         *keys,
         "n_steps",
         at.alias("best_step"),
-        F.col("_f.best").alias("best_value"),
+        F.when(at > 0, F.col("_f.best")).alias("best_value"),
         (stop <= F.col("n_steps")).alias("converged"),
         F.least(stop, F.col("n_steps")).alias("last_step"),
     )
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys that may be null."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def sampler_counts(
     df: DataFrame, key: str = "episode_id", error: str | None = "error", timestamp: str | None = None,
     marks: Sequence[str] = (),
