@@ -276,7 +276,8 @@ def convergence(
     everything before it. Windows per slice find them, and also where a series must be over:
     each run of ``patience`` steps of a live series has an improvement, so its low falls by
     more than ``min_delta`` within any 2 * ``patience`` steps. Records from there on are left
-    out, so what is gathered of a series is bounded by its value range over ``min_delta``.
+    out, so what is gathered of a slice has at most 2 * ``patience`` steps per ``min_delta`` of
+    its value range (no bound follows for a ``min_delta`` of 0). One scan, one shuffle.
     """
     s = indexed(slice_series(df, keys, order, rows_per_series), "_step")
     below = s.df.withColumn("_step", F.col("_step") + 1).withColumn(

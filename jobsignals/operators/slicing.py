@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A series is cut only when it has more rows than this ...
-ROWS_PER_SERIES = 1_000_000
+ROWS_PER_SERIES = 4_000_000
 # ... and is among the largest ones: a series outside the first MAX_HOT holds less than
 # 1/MAX_HOT of all rows. Both numbers bound what reaches the driver and what is broadcast:
 # MAX_HOT keys with PIECES - 1 times each, whatever the size of the data.

@@ -88,12 +88,12 @@ def build_processed(spark: SparkSession, root: str, id_spec: str | None = None)
     """The processed tables, the excluded episodes, the counts of both, the episodes whose
     folder has another name, and the folders that have GPU samples but no metadata.
 
-    ``id_spec`` selects folders. Metadata files are read once and kept as a table, since every
-    result starts from them.
+    ``id_spec`` selects folders. Metadata and GPU logs are parsed once and kept as tables, since
+    several results start from them; network and process logs are read once anyway.
     """
     episodes = materialise(filter_id_ranges(raw.read_episodes(spark, root), "episode_dir", id_spec))
     ok, excluded = split_success(episodes)
-    gpu = raw.read_gpu_lines(spark, root)
+    gpu = materialise(filter_id_ranges(raw.read_gpu_lines(spark, root), "episode_dir", id_spec))
     network = raw.read_network_samples(spark, root)
     processes = raw.read_process_samples(spark, root)
     return {
@@ -103,5 +103,5 @@ def build_processed(spark: SparkSession, root: str, id_spec: str | None = None)
         "excluded": exclusion_report(excluded),
         "summary": usable_summary(episodes),
         "renamed": raw.renamed_episodes(episodes),
-        "without_metadata": episodes_without_metadata(filter_id_ranges(gpu, "episode_dir", id_spec), episodes, "episode_dir"),
+        "without_metadata": episodes_without_metadata(gpu, episodes, "episode_dir"),
     }

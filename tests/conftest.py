@@ -59,7 +59,7 @@ def metadata(episode_id, **over):
         "workdir_style": "flat",
         "seed": 7,
         "gpu_index": 0,
-        "command": ["python", "workloads/adversarial_training.py"],
+        "command": ["python", "jobs/adversarial_job.py"],
         "params": {"lr": 3e-05, "is_safe_filter": True},
         "gpu_name": "Some GPU",
         "driver_version": "1.2",

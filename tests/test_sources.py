@@ -62,7 +62,7 @@ def test_nothing_that_names_the_label_reaches_the_features(built):
     for name in ("text_features", "nvml_features"):
         for row in built[name].drop("label", "scenario_family").collect():
             joined = " ".join(str(v) for v in row)
-            assert "adversarial" not in joined and "is_safe" not in joined and "workloads" not in joined
+            assert "adversarial" not in joined and "is_safe" not in joined and "jobs/" not in joined
 
 
 def test_gpu_features(built):
