@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from jobsignals.queries.registry import Query, Run, table
 
+from .minhash_dedup import near_duplicates
+from .packing import pack
+from .quality import quality_rules
+from .sharding import equal_text_links, shard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -33,3 +37,25 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     kept = suffix_dedup(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules(table(spark, sf, "documents"))
+
+
+@query("op6_sharding")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    placed = shard(docs, equal_text_links(docs))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_minhash_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
