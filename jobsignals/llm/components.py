@@ -18,17 +18,21 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
     """
     a, b = links.columns
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    before = None
+    before, turn = None, 0
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = steps.write(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = steps.write(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"stars{turn % 2}")
+        turn += 1
+        steps.remove(f"stars{turn % 2}")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("id"), "root").union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
+    out = steps.write(roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()), "roots")
+    steps.remove("stars0", "stars1")
+    return out

@@ -179,24 +179,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     involved = lists.select("doc_id").distinct()
     sets = steps.write(docs.join(involved, "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     sketches = steps.write(sketches.select("doc_id", "sketch").join(involved, "doc_id"), "involved")
-    steps.settle()
 
-    links, roots = None, None
+    links = roots = None
+    rounds = []
     for number in range(ROUNDS + 1):
         if roots is None:
             now = lists.withColumn("root", F.col("doc_id"))
-        else:
+        else:  # lists with documents of several components
             now = lists.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        now = steps.write(now, "lists")
+            live = now.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
+            rounds.append(f"round{number}")
+            now = steps.write(now.join(live, "value"), rounds[-1])
+            if now.isEmpty():
+                break
+            lists = now.drop("root")
         pairs = _pivot_pairs(now, number, threshold) if number < ROUNDS else _rest(now, threshold)
         found = steps.write(_confirmed(pairs, sketches, sets, threshold), "links")
-        if number and found.isEmpty():
-            if number < ROUNDS:
-                continue
-            break
-        links = found if links is None else links.union(found)
-        roots = steps.write(components(links, steps), "roots")
-        steps.settle()
+        if roots is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = components(links, steps)
+    steps.remove(*rounds)
+    steps.remove("lists", "sets", "involved", "links")
     # members of a set follow its first document
     result = heads.join(roots.withColumnRenamed("id", "head"), "head", "left").select(*same_set, F.coalesce("root", "head").alias("component_id"))
     rows = all_sketches.select("doc_id", *same_set).join(result, same_set, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

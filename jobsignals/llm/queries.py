@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobsignals.queries.registry import Query, Run, table
 
+from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
@@ -59,3 +60,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_minhash_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 
 from jobsignals.session import fresh_path
 
+# With this setting Spark removes the shuffle files of a query when the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Steps:
     """Writes a table after each step and removes those that are no longer needed.
 
-    A written table survives lost executors. ``settle`` lets Spark delete the shuffle files of
-    the steps before: its cleaner acts when the JVM has collected what refers to them.
+    A written table survives lost executors, and once it is written nothing needs the shuffle
+    files behind it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: list[str] = []
+        self.paths: dict[str, list[str]] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
-        self.paths.append(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        return out
-
-    def settle(self) -> None:
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-    def drop(self, *keep: DataFrame) -> None:
-        """Remove the written tables except those of ``keep``."""
-        kept = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        for path in self.paths:
-            if not any(k.rstrip("/").endswith(path.rstrip("/").rsplit("/", 1)[-1]) for k in kept):
-                p = hadoop(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.paths = []
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEAN_UP)
+            else:
+                self.spark.conf.set(CLEAN_UP, before)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        """Remove the tables written under these names; nothing may read them any more."""
+        for path in (p for name in names for p in self.paths.pop(name, [])):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
