@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsignals.queries.registry import Query, Run, table
 
+from .bpe import decode, encode
+from .embedding_dedup import near_vectors
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .packing import pack
@@ -66,3 +69,20 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op10_bpe")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    back = decode(encode(table(spark, sf, "documents"), path), path)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
