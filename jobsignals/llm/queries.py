@@ -19,6 +19,7 @@ from .quality import quality_rules
 from .sharding import equal_text_links, shard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import context_limits, encoded_lengths
 
 QUERIES: dict[str, Query] = {}
 
@@ -53,6 +54,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
 
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return context_limits(encoded_lengths(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 @query("op6_sharding")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
