@@ -60,9 +60,6 @@ METRICS = ("accuracy", "precision", "recall", "f1")
 
 # Limits.
 TOP_N = 15
-PROMPT_CHARS = 4000
-MAX_PROMPT_TOKENS = 48
-MAX_RESPONSE_TOKENS = 48
 IGNORED_LABEL = -100
 PATIENCE = 5
 MIN_DELTA = 0.01

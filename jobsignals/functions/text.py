@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import LABELS, PROMPT_CHARS
+from ..constants import LABELS
 from .numbers import _col
 
 # Word characters and word boundaries are spelled out for all scripts, because \w and \b of
@@ -77,11 +77,12 @@ def bigrams(words: Column) -> Column:
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
-def prompt_text(c: Column | str, template: str = DEFAULT_PROMPT, limit: int = PROMPT_CHARS) -> Column:
-    """The template with ``{text}`` replaced by the text, which is capped at ``limit``
-    characters because the receiving model's input is."""
+def prompt_text(c: Column | str, template: str = DEFAULT_PROMPT, limit: int | None = None) -> Column:
+    """The template with ``{text}`` replaced by the whole text, or by its first ``limit``
+    characters where the receiving model's input is bounded."""
     before, _, after = template.partition("{text}")
-    return F.concat(F.lit(before), F.substring(F.coalesce(_col(c), F.lit("")), 1, limit), F.lit(after))
+    text = F.coalesce(_col(c), F.lit(""))
+    return F.concat(F.lit(before), text if limit is None else F.substring(text, 1, limit), F.lit(after))
 
 
 def parse_answer(c: Column | str) -> Column:

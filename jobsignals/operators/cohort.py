@@ -11,11 +11,6 @@ from pyspark.sql import types as T
 from ..constants import INDEX_FIELDS, KEY_FIELDS, LABELS
 from ..functions.ids import pad_id, parse_id_ranges
 
-# Up to this many ranges are a plain condition that reaches the scan.
-MAX_CONDITIONS = 64
-# A list of ids up to this long is broadcast.
-MAX_BROADCAST_IDS = 1_000_000
-
 
 def split_success(
     episodes: DataFrame, status: str = "status", good: str = "success"
@@ -31,33 +26,45 @@ def exclusion_report(excluded: DataFrame, key: str = "episode_id") -> DataFrame:
     return excluded.select(key, "status", reason.alias("reason"))
 
 
+def _merged(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same numbers as few ranges that neither overlap nor touch, in order."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(r for r in ranges if r[0] <= r[1]):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _within(number: Column, ranges: Sequence[tuple[int, int]]) -> Column:
+    """Whether a number is in one of the ordered ranges: halving, so that any number of them does."""
+    if len(ranges) == 1:
+        low, high = ranges[0]
+        return number == F.lit(low) if low == high else number.between(F.lit(low), F.lit(high))
+    half = len(ranges) // 2
+    return F.when(number < F.lit(ranges[half][0]), _within(number, ranges[:half])).otherwise(_within(number, ranges[half:]))
+
+
 def filter_id_ranges(df: DataFrame, column: str, spec: str | None) -> DataFrame:
     """Rows whose id lies in a range spec such as ``060-090,100``; an empty spec keeps all.
 
     Ids compare in their zero-padded form: ``61`` is not ``061``. A number column compares by
-    value, so the conditions reach the scan.
+    value, so the limits of the whole spec reach the scan; ranges of any size and number are
+    compared by their ends and never listed.
     """
     ranges = parse_id_ranges(spec)
     if ranges is None:
         return df
+    ranges = _merged(ranges)
     if not ranges:
         return df.filter(F.lit(False))
     is_text = isinstance(df.schema[column].dataType, T.StringType)
     number = F.col(column).try_cast("bigint") if is_text else F.col(column)
     if is_text:
         df = df.filter(F.col(column).eqNullSafe(pad_id(number)))
-    if len(ranges) <= MAX_CONDITIONS:
-        inside: Column = F.lit(False)
-        for low, high in ranges:
-            inside = inside | number.between(low, high)
-        return df.filter(inside)
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(ranges, "low bigint, high bigint").select(
-        F.explode(F.sequence("low", "high")).alias("_wanted")
-    )
-    if sum(high - low + 1 for low, high in ranges) <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return df.withColumn("_number", number).join(wanted, F.col("_number") == F.col("_wanted"), "left_semi").drop("_number")
+    df = df.filter(number.between(F.lit(ranges[0][0]), F.lit(ranges[-1][1])))
+    return df if len(ranges) == 1 else df.filter(_within(number, ranges))
 
 
 def episode_index(episodes: DataFrame, fields: Sequence[str] = INDEX_FIELDS) -> DataFrame:

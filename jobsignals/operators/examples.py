@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import IGNORED_LABEL, MAX_PROMPT_TOKENS, MAX_RESPONSE_TOKENS
+from ..constants import IGNORED_LABEL
 from ..functions.text import tokens
 from .ranking import hashed_rank
 
 PAD_ID = 0
 END_ID = 1
-HASH_DIGITS = 7
+# 60 bits: different words of one corpus hardly ever share an id.
+HASH_DIGITS = 15
 
 
 def token_ids(c: Column | str, limit: int | None = None) -> Column:
-    """A number for each of the first ``limit`` words, or of all: the first 28 bits of its MD5,
+    """A number for each of the first ``limit`` words, or of all: the first 60 bits of its MD5,
     after the two reserved ids.
 
     Stands in for a tokenizer, so that every executor gives a word the same id without a
@@ -45,8 +46,8 @@ def dialogue_pairs(
 
 def masked_examples(
     pairs: DataFrame,
-    max_prompt: int = MAX_PROMPT_TOKENS,
-    max_response: int = MAX_RESPONSE_TOKENS,
+    max_prompt: int | None = None,
+    max_response: int | None = None,
     batch_size: int = 8,
     seed: int = 0,
     key: str = "pair_id",
@@ -55,12 +56,13 @@ def masked_examples(
 ) -> DataFrame:
     """Token ids, labels and attention mask of each pair, padded to its batch.
 
-    Prompt and response are cut to their token limits and an end token is added. Labels repeat
+    Prompt and response are cut to their token limits, if there are any, and an end token is added. Labels repeat
     the response and hide the prompt and the padding behind -100. Batches are consecutive runs
     of ``batch_size`` pairs in a seeded random order, so a batch is the largest group here.
     """
-    prompt = F.slice(prompt_ids, 1, max_prompt)
-    response = F.concat(F.slice(response_ids, 1, max_response), F.array(F.lit(END_ID).cast("bigint")))
+    prompt = F.col(prompt_ids) if max_prompt is None else F.slice(prompt_ids, 1, max_prompt)
+    answer = F.col(response_ids) if max_response is None else F.slice(response_ids, 1, max_response)
+    response = F.concat(answer, F.array(F.lit(END_ID).cast("bigint")))
     cut = pairs.select(key, prompt.alias("_p"), response.alias("_r"))
     ranked = hashed_rank(cut, key, seed, name="position")
     batched = ranked.withColumn("batch", F.floor(F.col("position") / batch_size).cast("bigint"))

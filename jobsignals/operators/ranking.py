@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 # 16^4 buckets: the table of counts has at most this many rows per group, and one bucket
 # holds about 1/65536 of a group's rows because ids hash evenly.
 BUCKET_DIGITS = 4
-SMALL_SAMPLE = 10_000
 
 
 def shuffle_key(key: str, seed: int) -> Column:
@@ -98,8 +97,16 @@ def assignment_plan(
 ) -> DataFrame:
     """Plan of ``total`` runs: equal replicates per family in a random order, numbered from
     ``first_id`` and dealt round robin to the slots."""
-    shares = replicate_counts(families, total, family)
-    runs = shares.select(family, F.explode(F.sequence(F.lit(0), F.col("replicates") - 1)).alias("replicate"))
+    shares = {r[0]: r[1] for r in replicate_counts(families, total, family).collect()}  # a handful
+    names = sorted(shares, key=lambda f: (f is not None, f))
+    small, more = total // len(names), total % len(names)
+    # the first ``more`` families have one run more; runs are numbered family by family
+    run, edge = F.col("id"), more * (small + 1)
+    index = F.when(run < edge, F.floor(run / (small + 1))).otherwise(more + F.floor((run - edge) / small)).cast("int")
+    start = F.col("_f") * small + F.least(F.col("_f"), F.lit(more))
+    runs = families.sparkSession.range(total).withColumn("_f", index).select(
+        F.element_at(F.array(*[F.lit(f) for f in names]), F.col("_f") + 1).alias(family), (run - start).cast("int").alias("replicate")
+    )
     keyed = runs.withColumn("_run", F.concat_ws("#", family, F.col("replicate").cast("string")))
     placed = balanced_assign(keyed, slots, seed, "_run")
     number = F.col("position") + first_id
@@ -114,12 +121,10 @@ def sample_where(
 ) -> DataFrame:
     """``n`` random rows among those that meet a condition, all of them if there are fewer.
 
-    No matching row at all is an error. Small samples are the first rows in hash order; large
-    ones go by exact rank, so that no single task has to hold them.
+    No matching row at all is an error. The rows are the first ones in hash order, by exact rank,
+    so that no single task has to hold them.
     """
     matching = df.filter(condition)
     if matching.isEmpty():
         raise ValueError("no row meets the condition")
-    if n <= SMALL_SAMPLE:
-        return matching.orderBy(shuffle_key(key, seed), key).limit(n)
     return hashed_rank(matching, key, seed, name="_rank").filter(F.col("_rank") < n).drop("_rank")

@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, tokens
 
-# A term gets special care when more documents than this contain it ...
-DOCUMENTS_PER_TERM = 1_000_000
-# ... and it is among the most frequent ones, of which this many are looked up in a broadcast
-# table. Any other term has less than 1/HOT_TERMS of all (document, term) rows.
-HOT_TERMS = 10_000
-SALTS = 1024
-
-
 def with_grams(df: DataFrame, text: str = "text", name: str = "grams") -> DataFrame:
     """Add all words followed by all pairs of neighbouring words, as an array."""
     return (
@@ -26,14 +18,29 @@ def with_grams(df: DataFrame, text: str = "text", name: str = "grams") -> DataFr
     )
 
 
-def ngrams(df: DataFrame, key: str = "episode_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """How often each word and word pair occurs in each document.
+def counted(grams: Column) -> Column:
+    """Each different element of an array with its number of occurrences, as structs (term, tf).
 
-    Texts are spread by key before they are split into terms: a text is smaller than its
-    counted terms, and the counts then need no shuffle.
+    The sorted array is cut where its elements change, so a row's counts need no shuffle.
     """
-    grams = with_grams(df.select(key, *keep, F.col(text).alias("_text")).repartition(key), "_text")
-    return exploded(grams, "grams", "term", key, *keep).groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    def cut(all_: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(all_)),
+            lambda i: (i == 1) | (F.element_at(all_, i) != F.element_at(all_, F.greatest(i - 1, F.lit(1)))),
+        )
+        ends = F.concat(F.slice(starts, 2, F.size(all_)), F.array(F.size(all_) + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(all_, a).alias("term"), (b - a).cast("bigint").alias("tf")))
+
+    # bound to a name once, so that the array is not sorted again for each use
+    once = F.transform(F.array(F.array_sort(grams)), lambda all_: F.when(F.size(all_) > 0, cut(all_)))
+    return F.element_at(once, 1)
+
+
+def ngrams(df: DataFrame, key: str = "episode_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """How often each word and word pair occurs in each document; counted row by row."""
+    grams = with_grams(df.select(key, *keep, F.col(text).alias("_text")), "_text")
+    terms = exploded(grams.withColumn("_terms", counted(F.col("grams"))), "_terms", "_t", key, *keep)
+    return terms.select(key, *keep, "_t.term", "_t.tf")
 
 
 def exploded(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
@@ -50,33 +57,6 @@ def inverse_frequency(n_documents: Column, n_with_term: Column) -> Column:
     return F.log((n_documents + 1.0) / (n_with_term + 1.0)) + 1.0
 
 
-def _with_frequencies(
-    counts: DataFrame, key: str, measures: dict[str, Column], n_documents: int, documents_per_term: int
-) -> DataFrame:
-    """Add counts over all rows of a term to each of its rows.
-
-    Rows meet by term in a window. A term that most documents share would put most rows in one
-    task, so such terms are counted beforehand and spread over salts instead. There are none
-    unless there are more documents than ``documents_per_term``, which then costs no pass.
-    """
-    names = list(measures)
-    hot = []
-    if n_documents > documents_per_term:
-        frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_n"), *[m.alias(n) for n, m in measures.items()])
-        frequent = frequent.filter(F.col("_n") > documents_per_term).orderBy(F.desc("_n"), "term").limit(HOT_TERMS)
-        frequent = frequent.select(F.col("term").alias("_hot_term"), *names)
-        hot = frequent.collect()
-    if not hot:
-        by_term = Window.partitionBy("term")
-        return counts.withColumns({n: m.over(by_term) for n, m in measures.items()})
-    known = counts.sparkSession.createDataFrame(hot, frequent.schema).withColumnsRenamed({n: f"_hot_{n}" for n in names})
-    marked = counts.join(F.broadcast(known), F.col("term") == F.col("_hot_term"), "left")
-    salt = F.when(F.col("_hot_term").isNotNull(), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(-1)
-    by_term = Window.partitionBy("term", "_salt")
-    full = marked.withColumn("_salt", salt)
-    return full.withColumns({n: F.coalesce(F.col(f"_hot_{n}"), m.over(by_term)) for n, m in measures.items()})
-
-
 def _normalised(weighted: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """Divide by the length of the document's vector; its terms came out of one row."""
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
@@ -84,12 +64,7 @@ def _normalised(weighted: DataFrame, key: str, names: Sequence[str]) -> DataFram
 
 
 def tfidf(
-    df: DataFrame,
-    key: str = "episode_id",
-    text: str = "text",
-    fold: str | None = None,
-    folds: int = 5,
-    documents_per_term: int = DOCUMENTS_PER_TERM,
+    df: DataFrame, key: str = "episode_id", text: str = "text", fold: str | None = None, folds: int = 5
 ) -> DataFrame:
     """TF-IDF weight of every term of every document, each document scaled to length 1.
 
@@ -98,22 +73,20 @@ def tfidf(
     are unknown and leave before scaling. All folds are served by one count, since what is
     outside a fold is the total minus what is inside.
 
-    Rows are shuffled twice, by term for the frequencies and by document for the length.
+    Frequencies are partial sums that are joined back by term; Spark can split that join where a
+    term is in most documents. Rows of terms move twice, for this join and by document for the
+    length. The number of documents is a scalar subquery.
     """
+    counts = ngrams(df, key, text, [] if fold is None else [fold])
+    inside = [] if fold is None else [F.count_if(F.col(fold) == i) for i in range(folds)]
+    measures = F.array(F.count(F.lit(1)), *inside)
+    frequency = counts.groupBy("term").agg(measures.alias("_df"))
+    sizes = df.agg(measures.alias("_n")).scalar()
+    rows = counts.join(frequency, "term").withColumn("_n", sizes)
     if fold is None:
-        n = df.count()
-        counts = ngrams(df, key, text)
-        rows = _with_frequencies(counts, key, {"df": F.count(F.lit(1))}, n, documents_per_term)
-        weight = F.col("tf") * inverse_frequency(F.lit(float(n)), F.col("df"))
-        return _normalised(rows.withColumn("_w", weight), key, ())
-
-    inside = {f"_in{i}": F.count_if(F.col(fold) == i) for i in range(folds)}
-    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in inside.items()]).first()
-    counts = ngrams(df, key, text, [fold])
-    measures = {"df": F.count(F.lit(1)), **inside}
-    rows = _with_frequencies(counts, key, measures, sizes["n"], documents_per_term)
-    own = F.element_at(F.array(*inside), F.col(fold) + 1)
-    n_outside = F.element_at(F.array(*[F.lit(float(sizes["n"] - sizes[c])) for c in inside]), F.col(fold) + 1)
-    rows = rows.withColumn("_known", F.col("df") - own).filter(F.col("_known") > 0)
-    weight = F.col("tf") * inverse_frequency(n_outside, F.col("_known"))
-    return _normalised(rows.withColumn("_w", weight), key, [fold])
+        known, n = F.col("_df")[0], F.col("_n")[0]
+    else:
+        known, n = (F.col(c)[0] - F.element_at(c, F.col(fold) + 2) for c in ("_df", "_n"))
+        rows = rows.filter(known > 0)
+    weight = F.col("tf") * inverse_frequency(n.cast("double"), known)
+    return _normalised(rows.withColumn("_w", weight), key, [] if fold is None else [fold])

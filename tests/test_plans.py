@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobsignals.operators import ranking, series, terms, totals
 from jobsignals.queries import QUERIES
@@ -47,10 +48,19 @@ def test_id_ranges_reach_the_scan(spark, sf):
     assert "GreaterThanOrEqual(user_id,3)" in plan.split("PushedFilters")[1]
 
 
-def test_tfidf_shuffles_text_then_terms_twice_and_broadcasts_nothing(spark, sf):
+def test_tfidf_moves_terms_and_no_text(spark, sf):
     plan = plan_of(terms.tfidf(table(spark, sf, "documents"), "doc_id"))
-    assert exchanges(plan) == ["hashpartitioning"] * 3 and "Broadcast" not in plan
-    assert plan.count("regexp_extract_all") == 1
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert set(moved) == {"doc_id", "term"} and len(moved) <= 3 and "RoundRobin" not in plan
+
+
+def test_building_tfidf_runs_no_job(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("fold", F.col("doc_id") % 5)
+    spark.sparkContext.setJobGroup("build-tfidf", "")
+    terms.tfidf(docs, "doc_id")
+    terms.tfidf(docs, "doc_id", fold="fold")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("build-tfidf")) == 0
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_folds_window_only_inside_buckets(spark, sf):
