@@ -33,11 +33,6 @@ def kbps_to_mbps(kbps: Column | str) -> Column:
     return F.bround(_col(kbps) / 1024.0, 3)
 
 
-def epoch_seconds(ts: Column | str) -> Column:
-    """Seconds since 1970 of a timestamp, with its microseconds."""
-    return F.unix_micros(_col(ts).cast("timestamp")) / F.lit(1e6)
-
-
 def duration_seconds(start: Column | str, end: Column | str) -> Column:
     """Elapsed seconds between two timestamps, to the millisecond."""
     micros = F.unix_micros(_col(end).cast("timestamp")) - F.unix_micros(_col(start).cast("timestamp"))

@@ -1,4 +1,4 @@
-"""Scores of predictions, comparison of classifiers, strongest terms."""
+"""Scores of predictions, comparison of classifiers."""
 
 from __future__ import annotations
 
@@ -145,9 +145,3 @@ def chart_data(
         scores.withColumn("value", F.coalesce("value", zero)),
         families.withColumn("accuracy", F.coalesce("accuracy", zero)),
     )
-
-
-def strongest(weights: DataFrame, n: int, by: str, name: str, descending: bool = True) -> DataFrame:
-    """First ``n`` rows by weight with their rank; equal weights go by name."""
-    order = F.desc(by) if descending else F.asc(by)
-    return weights.orderBy(order, name).limit(n)

@@ -86,16 +86,23 @@ def gpu_feature_names() -> list[str]:
 
 def build_processed(spark: SparkSession, root: str, id_spec: str | None = None) -> dict[str, DataFrame]:
     """The processed tables, the excluded episodes, the counts of both, the episodes whose
-    folder has another name, and the folders that have GPU samples but no metadata.
+    folder has another name, the folders without metadata and those whose metadata can't be read.
 
-    ``id_spec`` selects folders. Metadata and GPU logs are parsed once and kept as tables, since
-    several results start from them; network and process logs are read once anyway.
+    ``id_spec`` selects folders before their files are opened. Metadata and GPU logs are parsed
+    once and kept as tables, since several results start from them; network and process logs
+    are read once anyway.
     """
-    episodes = materialise(filter_id_ranges(raw.read_episodes(spark, root), "episode_dir", id_spec))
+
+    def chosen(df: DataFrame) -> DataFrame:
+        return filter_id_ranges(df, "episode_dir", id_spec)
+
+    unreadable = materialise(chosen(raw.read_unreadable(spark, root)))
+    episodes = materialise(chosen(raw.read_episodes(spark, root)))
     ok, excluded = split_success(episodes)
-    gpu = materialise(filter_id_ranges(raw.read_gpu_lines(spark, root), "episode_dir", id_spec))
-    network = raw.read_network_samples(spark, root)
-    processes = raw.read_process_samples(spark, root)
+    gpu = materialise(chosen(raw.read_gpu_lines(spark, root)))
+    network = chosen(raw.read_network_samples(spark, root))
+    processes = chosen(raw.read_process_samples(spark, root))
+    known = episodes.select("episode_dir").union(unreadable.select("episode_dir"))
     return {
         "episodes_index": episode_index(ok),
         "text_features": text_features(ok, network, processes),
@@ -103,5 +110,6 @@ def build_processed(spark: SparkSession, root: str, id_spec: str | None = None)
         "excluded": exclusion_report(excluded),
         "summary": usable_summary(episodes),
         "renamed": raw.renamed_episodes(episodes),
-        "without_metadata": episodes_without_metadata(gpu, episodes, "episode_dir"),
+        "without_metadata": episodes_without_metadata(chosen(raw.episode_folders(spark, root)), known, "episode_dir"),
+        "unreadable": unreadable,
     }

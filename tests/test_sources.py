@@ -43,6 +43,18 @@ def test_samples_without_metadata(spark, episodes_root, built):
     assert [r[0] for r in episodes_without_metadata(gpu, episodes, "episode_dir").collect()] == ["064"]
 
 
+def test_folders_without_or_with_broken_metadata(spark, tmp_path):
+    for folder, file, text in (("001", "metadata.json", '{"episode_id": "001", "status": "success"}'), ("002", "network.csv", "x"),
+                               ("003", "shell.log", "y"), ("004", "nvml.csv", "\n"), ("005", "metadata.json", "no json")):
+        (tmp_path / "episodes" / folder).mkdir(parents=True)
+        (tmp_path / "episodes" / folder / file).write_text(text)
+    built = build_processed(spark, str(tmp_path))
+    assert sorted(r[0] for r in built["without_metadata"].collect()) == ["002", "003", "004"]
+    assert [r.episode_dir for r in built["unreadable"].collect()] == ["005"]
+    assert [r.episode_id for r in built["episodes_index"].collect()] == ["001"] and built["excluded"].count() == 0
+    assert build_processed(spark, str(tmp_path), "001-002")["without_metadata"].collect()[0][0] == "002"
+
+
 def test_text_features(built):
     text = by_id(built["text_features"])
     assert text["061"]["text_raw"] == (
