@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from jobsignals.queries.registry import Query, Run, table
 
+from . import sql
 from .bpe import decode, encode
 from .embedding_dedup import near_vectors
 from .line_dedup import line_dedup
@@ -24,21 +25,23 @@ from .token_counts import context_limits, encoded_lengths
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
+def query(name: str, check: str | None = None) -> Callable[[Run], Run]:
+    """Register a query under ``name`` with its check in SQL, if it has one."""
+
     def add(run: Run) -> Run:
-        QUERIES[name] = Query(run, sql)
+        QUERIES[name] = Query(run, check)
         return run
 
     return add
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", sql.SUBSTRING_DEDUP)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     kept = substring_dedup(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op8_suffix_dedup")
+@query("op8_suffix_dedup", sql.SUFFIX_DEDUP)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     kept = suffix_dedup(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,9 +52,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", sql.QUALITY)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
-    return quality_rules(table(spark, sf, "documents"))
+    return quality_rules(table(spark, sf, "documents")).drop("longest_repeat")
 
 
 @query("op5_token_counts")
@@ -66,18 +69,18 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op7_minhash_dedup")
+@query("op7_minhash_dedup", sql.NEAR_DUPLICATES)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
-@query("op2_line_dedup")
+@query("op2_line_dedup", sql.LINE_DEDUP)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op9_embedding_dedup")
+@query("op9_embedding_dedup", sql.NEAR_VECTORS)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"))
 

@@ -68,10 +68,10 @@ def context_limits(lengths: DataFrame) -> DataFrame:
     bands = rows.groupBy("band").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("sum"))
     # one row for each BAND lengths: the longest text sets how many there are
     above = bands.select("band", *[F.coalesce(F.sum(c).over(later), F.lit(0)).alias(f"{c}_above") for c in ("docs", "sum")])
-    all_ = bands.agg(F.sum("docs").alias("total_docs"), F.sum("sum").alias("total_tokens"))
+    all_ = bands.agg(F.struct(F.sum("docs").alias("total_docs"), F.sum("sum").alias("total_tokens")))
     inside = Window.partitionBy("band").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.join(above, "band").crossJoin(F.broadcast(all_)).select(
-        "length", "n_docs", "tokens", "total_docs", "total_tokens",
+    sums = rows.join(above, "band").withColumn("all", all_.scalar()).select(
+        "length", "n_docs", "tokens", "all.total_docs", "all.total_tokens",
         (F.sum("n_docs").over(inside) + F.col("docs_above")).alias("docs_at_least"),
         (F.sum("tokens").over(inside) + F.col("sum_above")).alias("tokens_at_least"),
     )
@@ -87,9 +87,9 @@ def context_limits(lengths: DataFrame) -> DataFrame:
 def truncated_total(limits: DataFrame, limit: int) -> DataFrame:
     """``truncated_tokens`` for any limit, from the smallest length at or above it."""
     at = limits.filter(F.col("length") >= limit).agg(F.min_by(F.struct("tokens_at_most", "docs_at_least", "length", "n_docs"), "length").alias("a"))
-    below = limits.agg(F.max("total_tokens").alias("all"))
+    everything = limits.agg(F.max("total_tokens"))
     shorter = F.col("a.tokens_at_most") - F.col("a.length") * F.col("a.n_docs")
-    return at.crossJoin(F.broadcast(below)).select(F.coalesce(shorter + F.lit(limit) * F.col("a.docs_at_least"), "all", F.lit(0)).alias("truncated_tokens"))
+    return at.select(F.coalesce(shorter + F.lit(limit) * F.col("a.docs_at_least"), everything.scalar(), F.lit(0)).alias("truncated_tokens"))
 
 
 def quantiles(limits: DataFrame, shares: Sequence[float]) -> DataFrame:
