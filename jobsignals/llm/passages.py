@@ -32,8 +32,8 @@ from .words import U, buffers, first_of_groups, mix, prefix_hash, span_hash, tab
 # Occurrences of a key above which its windows are compared under keys of their own.
 CROWD = 20_000
 # Rows a task keeps to look for repeats among them, and bytes compared at once.
-ROWS_AT_ONCE = 500_000
-BYTES_AT_ONCE = 2 << 20
+ROWS_AT_ONCE = 300_000
+BYTES_AT_ONCE = 1 << 20
 SALTS = 30_000
 
 _RUNS = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("copies", pa.int32()), ("sure", pa.bool_())])
@@ -137,7 +137,7 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, method: Method) -> DataF
                 for piece in _pieces(units, begins[row] + lo, ids[i + row], key, lo, n, crowded, method):
                     held.append(piece)
                     size += len(piece[-1])
-                    if size >= 2 * BYTES_AT_ONCE:
+                    if size >= BYTES_AT_ONCE:
                         yield _first_copies(held, method)
                         held, size = [], 0
         if size:
@@ -201,9 +201,22 @@ def _first_copies(held, method: Method) -> pa.RecordBatch:
     copy = np.zeros(len(key), bool)
     copy[order] = (doc[order] > doc[first]) | (method.within_document & (doc[order] == doc[first]) & (lo[order] > lo[first]))
     copy[order] &= _equal_spans(data, offsets, order, first)
-    key = np.where(copy, mix(doc.astype(U) + lo.astype(U)).view(np.int64), key)
-    units = pa.array([None if c else data[a:b].tobytes() for c, a, b in zip(copy, offsets, offsets[1:])], pa.binary())
-    return table({"key": key, "doc_id": doc, "lo": lo, "n": n, "units": units}, _CUT)
+    stay = np.flatnonzero(~copy)
+    units = [data[offsets[k] : offsets[k + 1]].tobytes() for k in stay]
+    # repeats that follow each other become one row
+    copy = np.flatnonzero(copy)
+    copy = copy[np.lexsort((lo[copy], doc[copy]))]
+    stop = lo[copy] + n[copy]
+    new = np.ones(len(copy), bool)
+    new[1:] = (doc[copy][1:] != doc[copy][:-1]) | (lo[copy][1:] != stop[:-1])
+    first = copy[new]
+    ends = stop[np.append(np.flatnonzero(new)[1:] - 1, len(copy) - 1)] if len(copy) else stop
+    dealt = mix(doc[first].astype(U) + lo[first].astype(U)).view(np.int64)
+    return table(
+        {"key": np.append(key[stay], dealt), "doc_id": np.append(doc[stay], doc[first]), "lo": np.append(lo[stay], lo[first]),
+         "n": np.append(n[stay], ends - lo[first]), "units": pa.array(units + [None] * len(first), pa.binary())},
+        _CUT,
+    )
 
 
 def _equal_spans(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,7 +253,7 @@ def _compared(rows: pa.Table, method: Method) -> pa.RecordBatch:
         some = np.flatnonzero(several)
         some = some[np.lexsort((at[some], doc[row[some]]))]
         repeated = np.zeros(len(row), bool)
-        most = max(1, 8 * BYTES_AT_ONCE // method.window_bytes)
+        most = max(1, 4 * BYTES_AT_ONCE // method.window_bytes)
         if len(some) <= most:
             parts = [some]
         else:  # by hash, so that copies stay together
@@ -263,9 +276,8 @@ def _compared(rows: pa.Table, method: Method) -> pa.RecordBatch:
 def spans_by_document(docs: DataFrame, method: Method, steps: Steps) -> DataFrame:
     """``docs`` with a list ``spans`` of (start, stop) to remove; null where there are none."""
     shared = steps.write(shared_runs(docs, method), "shared")
-    steps.settle()
     spans = steps.write(earlier_windows(docs, shared, method), "spans")
-    steps.settle()
+    steps.remove("shared")
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return docs.join(lists, "doc_id", "left")
 

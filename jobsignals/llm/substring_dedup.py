@@ -95,7 +95,7 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _repeats(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Windows that a document with a smaller id also has; given in order of document."""
     size = WINDOW * 8
-    units = data[starts[:, None] + np.arange(size)]
+    units = np.lib.stride_tricks.sliding_window_view(data, size)[starts]
     hashes = span_hash(prefix_hash(data), starts, starts + size)
     order = np.argsort(hashes, kind="stable")
     group = first_of_groups(np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]]))

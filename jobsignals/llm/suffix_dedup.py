@@ -24,7 +24,7 @@ from .words import SLICE_BYTES, U, buffers, one_row_per_id, prefix_hash, span_ha
 
 LENGTH = 100
 # Bytes of the anchors by which windows are keyed.
-ANCHOR = 50
+ANCHOR = 40
 
 
 def least_in_window(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     ``starts`` are in order of position and have ``length`` bytes each.
     """
     # no byte of UTF-8 is 255, so that none becomes the 0 at which fixed strings end
-    windows = data[starts[:, None] + np.arange(length)] + np.uint8(1)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)[starts] + np.uint8(1)
     order = np.argsort(windows.view(f"S{length}").ravel(), kind="stable")
     ranked = windows[order]
     differ = ranked[1:] != ranked[:-1]
@@ -112,23 +112,32 @@ def method(length: int = LENGTH, anchor: int = ANCHOR) -> Method:
     )
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
 
+    With ``as_text`` the bytes are read as text; a character that was cut into goes.
+
     Null text is empty; texts shorter than ``length`` stay whole; of repeated texts the one with
     the smallest id stays. Rows without id are left out, and of rows with one id the smallest text
     counts. Other columns are not read. An empty table gives an empty result.
     """
     steps = Steps(docs.sparkSession)
     docs = one_row_per_id(docs)
-    return passages.spans_by_document(docs, method(length, anchor), steps).mapInArrow(
+    kept = passages.spans_by_document(docs, method(length, anchor), steps).mapInArrow(
         _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
+    return kept.mapInArrow(_as_text, "doc_id long, n_bytes long, n_removed long, n_spans long, kept string") if as_text else kept
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
+def _as_text(batches):
+    for batch in batches:
+        text = pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=batch.schema.names)
+
+
 def _kept(batches):
     for batch in batches:
         ids = batch.column("doc_id")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # A word is a longest run of bytes other than these (space and \t \n \v \f \r).
 SEPARATORS = (32, 9, 10, 11, 12, 13)
 # Bytes of text worked on at once; the arrays made of them take some 100 bytes for each.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
