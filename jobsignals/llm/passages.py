@@ -5,9 +5,10 @@ share these steps; they differ in how they find keys and how they compare window
 
 1. ``shared_runs``: every window gets a key that depends on nothing but the window, so that equal
    windows have equal keys wherever they are. Neighbours mostly have the same key; such runs are
-   the rows that are shuffled. Runs whose key occurs once can't hold a repeated window.
-2. ``earlier_windows``: the other runs are cut out of the texts with their units, meet by key and
-   are compared unit by unit.
+   the rows that are shuffled. Runs whose key occurs once can't hold a repeated window, and runs
+   with all units equal to an earlier run's are known to be repeats.
+2. ``earlier_windows``: runs whose key also has other units are cut out of the texts, meet by key
+   and are compared unit by unit.
 3. ``spans_by_document``: spans to remove, gathered per document.
 
 A key may hold any share of all rows. Before each shuffle a task therefore looks for repeats
@@ -36,7 +37,10 @@ ROWS_AT_ONCE = 300_000
 BYTES_AT_ONCE = 1 << 20
 SALTS = 30_000
 
-_RUNS = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("copies", pa.int32()), ("sure", pa.bool_())])
+_RUNS = pa.schema(
+    [("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("units", pa.int64()),
+     ("copies", pa.int32()), ("open", pa.bool_()), ("done", pa.bool_())]
+)
 _CUT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("units", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
@@ -46,7 +50,8 @@ class Method:
     """How texts become windows.
 
     ``keys(data, offsets)`` yields (row, position, key, anchor) arrays of windows, in order, where
-    windows of one anchor are neighbours and never equal;
+    windows of one anchor are neighbours and never equal, and a function that gives a hash of all
+    units of the runs that begin at given windows and have given numbers of them;
     ``units(data, offsets)`` gives the bytes of all units and where each document's begin;
     ``repeats(data, starts, doc, position)`` flags the windows (their first bytes in ``data``)
     that have an earlier copy among those given.
@@ -65,10 +70,11 @@ class Method:
 
 
 def shared_runs(docs: DataFrame, method: Method) -> DataFrame:
-    """Runs of windows whose key occurs more than once: key, salt, doc_id, lo, n, total.
+    """Runs of windows whose key occurs with several units, and runs that repeat an earlier one.
 
-    ``total`` counts the occurrences of the key; it is right in rows with salt 0, of which each
-    key has one for each task at most.
+    Columns key, salt, doc_id, lo, n, total, done. ``done`` marks repeats. ``total`` counts the
+    occurrences of the key; it is right in rows with salt 0, of which each key has one for each
+    task at most.
     """
 
     def runs(batches):
@@ -77,37 +83,57 @@ def shared_runs(docs: DataFrame, method: Method) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, _, data, offsets in texts(batch):
-                for row, at, key, anchor in method.keys(data, offsets):
+                for row, at, key, anchor, units in method.keys(data, offsets):
                     if not len(key):
                         continue
                     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
-                    held.append((key[new], ids[i + row[new]], at[new], np.diff(np.append(new, len(key)))))
+                    n = np.diff(np.append(new, len(key)))
+                    held.append((key[new], ids[i + row[new]], at[new], n, units(new, n)))
                     rows += len(new)
             if rows >= ROWS_AT_ONCE:
-                yield _own_repeats(held)
+                yield _own_repeats(held, method.within_document)
                 held, rows = [], 0
         if rows:
-            yield _own_repeats(held)
+            yield _own_repeats(held, method.within_document)
 
-    found = docs.mapInArrow(runs, "key long, salt int, doc_id long, lo int, n int, copies int, sure boolean")
-    same = Window.partitionBy("key", "salt")
+    found = docs.mapInArrow(runs, "key long, salt int, doc_id long, lo int, n int, units long, copies int, open boolean, done boolean")
+    same_key, same_units = Window.partitionBy("key", "salt"), Window.partitionBy("key", "salt", "units")
+    place = F.struct("doc_id", "lo")
+    first = F.min(place).over(same_units)
+    later = place > first if method.within_document else F.col("doc_id") > first["doc_id"]
     return (
-        found.withColumns({"rows": F.count(F.lit(1)).over(same), "total": F.sum("copies").over(same)})
-        .filter("sure or rows > 1")
-        .select("key", "salt", "doc_id", "lo", "n", "total")
+        found.withColumns(
+            {
+                "total": F.sum("copies").over(same_key),
+                "several": F.min("units").over(same_key) < F.max("units").over(same_key),
+                "done": F.col("done") | later,
+            }
+        )
+        .filter("done or open or several")
+        .select("key", "salt", "doc_id", "lo", "n", "total", "done")
     )
 
 
-def _own_repeats(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    key, doc, lo, n = (np.concatenate(x) for x in zip(*held))
-    order = np.argsort(key, kind="stable")
-    key, doc, lo, n = key[order], doc[order], lo[order], n[order]
-    again = np.concatenate([[False], key[1:] == key[:-1]])
-    group = first_of_groups(again)
+def _own_repeats(held: list[tuple[np.ndarray, ...]], within_document: bool) -> pa.RecordBatch:
+    """The runs of a task. Of those with one key only the first goes to the key's partition; others
+    are dealt out by their units, and repeats evenly. ``open`` marks keys that have several units."""
+    key, doc, lo, n, units = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((lo, doc, units, key))
+    key, doc, lo, n, units = key[order], doc[order], lo[order], n[order], units[order]
+    same_key = np.concatenate([[False], key[1:] == key[:-1]])
+    again = same_key & np.concatenate([[False], units[1:] == units[:-1]])
+    group, same = first_of_groups(same_key), first_of_groups(again)
+    first = np.searchsorted(same, same, "left")
+    later = doc > doc[first]
+    if within_document:
+        later |= (doc == doc[first]) & (lo > lo[first])
     copies = np.bincount(group)[group]
-    salt = np.where(again, (mix(doc.astype(U) * U(2654435761) + lo.astype(U)) % U(SALTS)).astype(np.int64) + 1, 0)
+    several = np.bincount(group, weights=~again)[group] > 1
+    lot = np.where(again, mix(doc.astype(U) * U(2654435761) + lo.astype(U)), mix(units))
+    salt = np.where(same_key, (lot % U(SALTS)).astype(np.int64) + 1, 0)
     return table(
-        {"key": key.view(np.int64), "salt": salt, "doc_id": doc, "lo": lo, "n": n, "copies": copies, "sure": copies > 1},
+        {"key": key.view(np.int64), "salt": salt, "doc_id": doc, "lo": lo, "n": n, "units": units.view(np.int64),
+         "copies": np.where(same_key, 0, copies), "open": several | again, "done": later & again},
         _RUNS,
     )
 
@@ -116,7 +142,7 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, method: Method) -> DataF
     """Spans (doc_id, start, stop) in units, of windows that have an earlier copy."""
     crowd = shared.filter(f"salt = 0 and total > {CROWD}").select("key").distinct().withColumn("crowd", F.lit(True))
     runs = (
-        shared.select("key", "doc_id", "lo", "n")
+        shared.filter("not done").select("key", "doc_id", "lo", "n")
         .join(crowd, "key", "left")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("key", "lo", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("runs"))
@@ -161,7 +187,9 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, method: Method) -> DataF
             yield _compared(pa.Table.from_batches(held).combine_chunks(), method)
 
     pieces = docs.join(runs, "doc_id").mapInArrow(cut, "key long, doc_id long, lo int, n int, units binary")
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc_id long, start int, stop int")
+    found = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc_id long, start int, stop int")
+    known = shared.filter("done").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (method.window - 1)).alias("stop"))
+    return found.union(known)
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,10 +7,11 @@ give one name to equal content without exchanging a table of names. What becomes
 depends on few neighbours, so that equal passages are compressed alike but for their margins.
 
 A symbol of round 2 covers up to four words and depends on three more on either side. A window of
-13 words therefore has at least one symbol whose name follows from the window alone; the least
-such name is the window's key. Windows under one key are then compared word by word (``passages``
-has these steps). Runs could hide such a symbol: a window with two equal neighbouring words, or
-two equal neighbouring pairs, is keyed by the hash of the whole window.
+13 words therefore has at least one symbol whose name follows from the window alone. The window is
+keyed by the one with the least name, taken with the words on which it depends. Windows under one
+key are then compared word by word (``passages`` has these steps). Runs could hide such a symbol:
+a window with two equal neighbouring words, or two equal neighbouring pairs, is keyed by the hash
+of the whole window.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame
 from . import passages
 from .passages import Method
 from .scratch import Steps
-from .words import U, first_of_groups, gram_hash, mix, one_row_per_id, span_hash, prefix_hash, table, texts, word_hash, words
+from .words import U, first_of_groups, gram_hash, mix, one_row_per_id, power, prefix_hash, span_hash, table, texts, word_hash, words
 
 WINDOW = 13
 ROUNDS = 2
-# Words on each side of a symbol of the last round that it depends on, and most words in it.
+# Words on each side of a symbol of the last round that it depends on.
 MARGIN = 3
-SYMBOL_WORDS = 4
+
+_BASE = 0xD6E8FEB86659FD93
 
 
 def compress(symbols: np.ndarray, sizes: np.ndarray, row: np.ndarray, number: int):
@@ -81,10 +83,18 @@ def _windows(data: np.ndarray, offsets: np.ndarray):
     twice = hashes[1:] == hashes[:-1]
     pairs = (hashes[2:-1] == hashes[:-3]) & (hashes[3:] == hashes[1:-2])
     whole = among(twice, WINDOW - 1) | among(pairs, WINDOW - 3) | (anchor < 0)
-    key = np.where(whole, mix(gram_hash(hashes, WINDOW)[at] + U(1)), key)
+    around = gram_hash(hashes, 2 * MARGIN + 1)[np.where(whole, at, begins[np.maximum(anchor, 0)] - MARGIN)]
+    key = np.where(whole, mix(gram_hash(hashes, WINDOW)[at] + U(1)), around)
     anchor = np.where(whole, -1 - at, anchor)
     first_word = np.searchsorted(row, np.arange(len(offsets) - 1), "left")
-    yield row[at], at - first_word[row[at]], key, anchor
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(hashes * power(_BASE, len(hashes))[: len(hashes)])])
+    inverse = power(pow(_BASE, -1, 1 << 64), len(hashes))
+
+    def units(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        a = at[first]
+        return mix((sums[a + n + WINDOW - 1] - sums[a]) * inverse[a])
+
+    yield row[at], at - first_word[row[at]], key, anchor, units
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

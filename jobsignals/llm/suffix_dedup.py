@@ -53,7 +53,12 @@ def _keys(length: int, anchor: int):
             count = np.maximum(np.diff(here) - length + 1, 0)
             row = np.repeat(np.arange(len(count)), count)
             place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            yield row, place + a, least[here[row] + place], anchors[here[row] + place]
+            begin = here[row] + place
+
+            def units(first: np.ndarray, n: np.ndarray, p=p, begin=begin) -> np.ndarray:
+                return span_hash(p, begin[first], begin[first] + n + length - 1)
+
+            yield row, place + a, least[begin], anchors[begin], units
 
     return keys
 
