@@ -7,8 +7,14 @@ some 10**9 borderline pairs.
 
 Only retained values that are rare enough need lists: of two sketches that share at least half of
 their values, the rarer halves (plus one) have a value in common. Links are confirmed on the full
-sets. No list is expanded into pairs: documents of a list are compared with pivots of that list,
-what is linked to a pivot is one component, and only pairs across components remain.
+sets.
+
+No list is expanded into pairs. The documents of a list are compared with pivots, the members that
+have the fewest shingles of their own; what is linked to a pivot is one component, and only pairs
+across components remain. For those, shingles that few documents have decide: a pair that shares
+none of them has at most its other shingles in common, and if that is not enough, a link needs a
+rare shingle among the rarest of both documents. So the large lists only give pairs that the bound
+allows, and the rest comes from lists of at most ``RARE`` documents.
 """
 
 from __future__ import annotations
@@ -26,8 +32,12 @@ SHINGLE = 5
 THRESHOLD = 0.85
 SKETCH = 48
 # Rounds with pivots, and pivots of each list in rounds after the first one.
-ROUNDS = 3
+ROUNDS = 2
 PIVOTS = 4
+# Documents that have a shingle which counts as rare, at most.
+RARE = 32
+# A document in a list; ``own`` counts its shingles that no other listed document has.
+MEMBER = ("doc_id", "n_shingles", "own", "root")
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -119,35 +129,47 @@ def _pivot_pairs(lists: DataFrame, number: int, threshold: float) -> DataFrame:
 
     In the first round every document is a component of its own and any pivot will do.
     """
-    lot = F.xxhash64("doc_id", F.lit(number))
+    lot = F.struct("own", F.xxhash64("doc_id", F.lit(number)))
     if number == 0:
-        pivots = lists.groupBy("value").agg(F.min_by(F.struct("doc_id", "n_shingles", "root"), lot).alias("pivot"))
+        pivots = lists.groupBy("value").agg(F.min_by(F.struct(*MEMBER), lot).alias("pivot"))
     else:
         parts = lists.groupBy("value", "root").agg(F.count(F.lit(1)).alias("rows"))
         major = parts.groupBy("value").agg(F.max_by("root", F.struct("rows", "root")).alias("root"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
         of_major = lists.join(major.select("value", "root"), ["value", "root"])
         # the least of each of PIVOTS shares, so that the aggregate stays small
         picked = of_major.groupBy("value", F.pmod(F.xxhash64("doc_id", F.lit(-number)), F.lit(PIVOTS)).alias("share"))
-        pivots = picked.agg(F.min_by(F.struct("doc_id", "n_shingles", "root"), lot).alias("pivot")).select("value", "pivot")
-    return _across(lists.join(pivots, "value").select(F.struct("doc_id", "n_shingles", "root").alias("x"), F.col("pivot").alias("y")), threshold)
+        pivots = picked.agg(F.min_by(F.struct(*MEMBER), lot).alias("pivot")).select("value", "pivot")
+    return _across(lists.join(pivots, "value").select(F.struct(*MEMBER).alias("x"), F.col("pivot").alias("y")), threshold)
 
 
-def _rest(lists: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a list that are still in different components.
-
-    Documents outside the list's largest component meet all others of the list; those inside it
-    need not meet each other.
-    """
-    parts = lists.groupBy("value", "root").agg(F.count(F.lit(1)).alias("rows"))
+def _rest(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs that are still in different components and may be linked."""
+    percent = round(threshold * 100)
+    live = lists.select("doc_id", "n_shingles", "root").distinct()
+    tokens = sets.join(live, "doc_id").select("doc_id", "n_shingles", "root", F.explode("shingles").alias("value"))
+    rare = tokens.groupBy("value").agg(F.count(F.lit(1)).alias("count"), (F.min("root") < F.max("root")).alias("parts")).filter(f"count <= {RARE}")
+    mine = tokens.join(rare, "value").groupBy("doc_id", "n_shingles", "root").agg(F.sort_array(F.collect_list(F.struct("count", "value", "parts"))).alias("rare"))
+    # two sets with enough in common share one of so many that are rarest
+    first = F.slice("rare", 1, F.floor(F.col("n_shingles") * (100 - percent) / 100).cast("int") + 1)
+    few = mine.select(F.lit(0).cast("long").alias("own"), "doc_id", "n_shingles", "root", F.explode(first).alias("r")).filter("r.parts")
+    few = few.select(F.col("r.value").alias("value"), F.struct(*MEMBER).alias("x"))
+    of_few = few.join(few.withColumnRenamed("x", "y"), "value").filter("x.doc_id < y.doc_id")
+    # pairs that share nothing rare: documents outside a list's largest component with all others
+    bounded = lists.drop("own").join(mine.select("doc_id", F.size("rare").cast("long").alias("own")), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    bounded = bounded.filter((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * percent)
+    parts = bounded.groupBy("value", "root").agg(F.count(F.lit(1)).alias("rows"))
     major = parts.groupBy("value").agg(F.max_by("root", F.struct("rows", "root")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    live = lists.join(major.select("value", "major"), "value").withColumn("x", F.struct("doc_id", "n_shingles", "root"))
-    minor = live.filter("root <> major").select("value", F.col("x").alias("y"))
-    return _across(live.select("value", "x").join(minor, "value"), threshold)
+    many = bounded.join(major.select("value", "major"), "value").withColumn("x", F.struct(*MEMBER))
+    minor = many.filter("root <> major").select("value", F.col("x").alias("y"))
+    of_many = many.select("value", "x").join(minor, "value")
+    return _across(of_few, threshold).union(_across(of_many, threshold)).distinct()
 
 
 def _across(pairs: DataFrame, threshold: float) -> DataFrame:
-    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-    possible = pairs.filter((F.col("x.root") != F.col("y.root")) & (small * 100 >= large * round(threshold * 100)))
+    """Pairs of different components that can reach the threshold."""
+    most = F.least(F.col("x.n_shingles") - F.col("x.own"), F.col("y.n_shingles") - F.col("y.own"))  # in both sets
+    enough = most * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - most) * round(threshold * 100)
+    possible = pairs.filter((F.col("x.root") != F.col("y.root")) & enough)
     return possible.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
@@ -180,6 +202,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = steps.write(docs.join(involved, "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     sketches = steps.write(sketches.select("doc_id", "sketch").join(involved, "doc_id"), "involved")
 
+    single = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("count"))
+    own = single.filter("count = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    lists = lists.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    lists = lists.filter((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * round(threshold * 100))
+    lists = steps.write(lists, "bounded")
+
     links = roots = None
     rounds = []
     for number in range(ROUNDS + 1):
@@ -193,13 +221,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if now.isEmpty():
                 break
             lists = now.drop("root")
-        pairs = _pivot_pairs(now, number, threshold) if number < ROUNDS else _rest(now, threshold)
+        pairs = _pivot_pairs(now, number, threshold) if number < ROUNDS else _rest(now, sets, threshold)
         found = steps.write(_confirmed(pairs, sketches, sets, threshold), "links")
         if roots is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             roots = components(links, steps)
     steps.remove(*rounds)
-    steps.remove("lists", "sets", "involved", "links")
+    steps.remove("lists", "bounded", "sets", "involved", "links")
     # members of a set follow its first document
     result = heads.join(roots.withColumnRenamed("id", "head"), "head", "left").select(*same_set, F.coalesce("root", "head").alias("component_id"))
     rows = all_sketches.select("doc_id", *same_set).join(result, same_set, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
