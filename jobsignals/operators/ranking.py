@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import FAMILIES
+
 # 16^4 buckets: the table of counts has at most this many rows per group, and one bucket
 # holds about 1/65536 of a group's rows because ids hash evenly.
 BUCKET_DIGITS = 4
@@ -79,26 +81,32 @@ def balanced_assign(
     return ranked.withColumn("slot", (F.col("position") % slots).cast("int"))
 
 
-def replicate_counts(families: DataFrame, total: int, family: str = "scenario_family") -> DataFrame:
-    """Equal shares of ``total`` runs per family; the remainder goes to the first ones by name.
+def replicate_counts(
+    families: DataFrame, total: int, family: str = "scenario_family", order: Sequence[str] = FAMILIES
+) -> DataFrame:
+    """Equal shares of ``total`` runs per family; the remainder goes to the first ones in the
+    given order, families outside it coming last by name.
 
     Works on the list of families, a handful of rows.
     """
     n = families.select(family).distinct().count()
     if n == 0 or total < n:
         raise ValueError(f"{total} runs are too few for {n} families")
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(family))
+    place = F.array_position(F.array(*[F.lit(f) for f in order]).cast("array<string>"), F.col(family))
+    listed = F.when(place > 0, place).otherwise(len(order) + 1)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(listed, family))
     share = F.lit(total // n) + F.when(rank <= total % n, 1).otherwise(0)
     return families.select(family).distinct().select(family, share.cast("bigint").alias("replicates"))
 
 
 def assignment_plan(
-    families: DataFrame, total: int, slots: int, seed: int = 0, first_id: int = 1, family: str = "scenario_family"
+    families: DataFrame, total: int, slots: int, seed: int = 0, first_id: int = 1, family: str = "scenario_family",
+    order: Sequence[str] = FAMILIES,
 ) -> DataFrame:
     """Plan of ``total`` runs: equal replicates per family in a random order, numbered from
     ``first_id`` and dealt round robin to the slots."""
-    shares = {r[0]: r[1] for r in replicate_counts(families, total, family).collect()}  # a handful
-    names = sorted(shares, key=lambda f: (f is not None, f))
+    shares = {r[0]: r[1] for r in replicate_counts(families, total, family, order).collect()}  # a handful
+    names = sorted(shares, key=lambda f: (-shares[f], order.index(f) if f in order else len(order), f))
     small, more = total // len(names), total % len(names)
     # the first ``more`` families have one run more; runs are numbered family by family
     run, edge = F.col("id"), more * (small + 1)

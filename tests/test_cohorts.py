@@ -40,6 +40,8 @@ def test_plan_is_balanced_and_numbered(spark):
     assert [r.seed for r in rows] == list(range(997, 1008)) and [r.gpu_index for r in rows] == [i % 4 for i in range(11)]
     counts = {f: sum(r.scenario_family == f for r in rows) for f in "abc"}
     assert counts == {"a": 4, "b": 4, "c": 3}
+    other = ranking.assignment_plan(families, 11, 4, order=("c", "a")).groupBy("scenario_family").count()
+    assert dict(map(tuple, other.collect())) == {"c": 4, "a": 4, "b": 3}
     assert [r.scenario_family for r in rows] != sorted(r.scenario_family for r in rows)
     with pytest.raises(ValueError):
         ranking.assignment_plan(families, 2, 4)
