@@ -90,7 +90,7 @@ def encode(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
         for batch in batches:
             ids, out = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                new = {w for s in cut(text or "") if s not in special for w in _SPLIT.findall(s)} - have.keys()
+                new = {w for s in cut(text or "") if s not in special for w in _SPLIT.findall(s) if w not in have}
                 ids += [doc] * len(new)
                 out += new
             yield table({"doc_id": ids, "word": out}, schema)
