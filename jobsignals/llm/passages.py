@@ -37,10 +37,12 @@ ROWS_AT_ONCE = 300_000
 BYTES_AT_ONCE = 1 << 20
 SALTS = 30_000
 
-_RUNS = pa.schema(
-    [("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("units", pa.int64()),
-     ("copies", pa.int32()), ("open", pa.bool_()), ("done", pa.bool_())]
-)
+# Rows of the first shuffle are packed, as there are many: ``place`` is the first window of a run and
+# the number of its windows, ``tag`` the salt, the key's occurrences in the task, and two flags.
+# A salt changes the high bits of the key, so that it can be taken out again.
+_N_BITS, _SALT_BIT, _KEY_BIT = 20, 40, 40
+_OPEN, _DONE = 1, 2
+_RUNS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("units", pa.int64()), ("tag", pa.int64())])
 _CUT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("units", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
@@ -96,21 +98,24 @@ def shared_runs(docs: DataFrame, method: Method) -> DataFrame:
         if rows:
             yield _own_repeats(held, method.within_document)
 
-    found = docs.mapInArrow(runs, "key long, salt int, doc_id long, lo int, n int, units long, copies int, open boolean, done boolean")
-    same_key, same_units = Window.partitionBy("key", "salt"), Window.partitionBy("key", "salt", "units")
-    place = F.struct("doc_id", "lo")
+    found = docs.mapInArrow(runs, "key long, doc_id long, place long, units long, tag long")
+    same_key, same_units = Window.partitionBy("key"), Window.partitionBy("key", "units")
+    place = F.struct("doc_id", "place")
     first = F.min(place).over(same_units)
     later = place > first if method.within_document else F.col("doc_id") > first["doc_id"]
-    return (
-        found.withColumns(
-            {
-                "total": F.sum("copies").over(same_key),
-                "several": F.min("units").over(same_key) < F.max("units").over(same_key),
-                "done": F.col("done") | later,
-            }
-        )
-        .filter("done or open or several")
-        .select("key", "salt", "doc_id", "lo", "n", "total", "done")
+    salt = F.shiftright("tag", _SALT_BIT)
+    copies = F.shiftright("tag", 2).bitwiseAND(F.lit((1 << (_SALT_BIT - 2)) - 1))
+    marked = found.withColumns(
+        {
+            "total": F.sum(copies).over(same_key),
+            "several": F.min("units").over(same_key) < F.max("units").over(same_key),
+            "done": (F.col("tag").bitwiseAND(F.lit(_DONE)) > 0) | later,
+        }
+    )
+    return marked.filter(F.col("done") | F.col("several") | (F.col("tag").bitwiseAND(F.lit(_OPEN)) > 0)).select(
+        F.col("key").bitwiseXOR(F.shiftleft(salt, _KEY_BIT)).alias("key"), salt.alias("salt"), "doc_id",
+        F.shiftright("place", _N_BITS).cast("int").alias("lo"),
+        F.col("place").bitwiseAND(F.lit((1 << _N_BITS) - 1)).cast("int").alias("n"), "total", "done",
     )
 
 
@@ -130,12 +135,14 @@ def _own_repeats(held: list[tuple[np.ndarray, ...]], within_document: bool) -> p
     copies = np.bincount(group)[group]
     several = np.bincount(group, weights=~again)[group] > 1
     lot = np.where(again, mix(doc.astype(U) * U(2654435761) + lo.astype(U)), mix(units))
-    salt = np.where(same_key, (lot % U(SALTS)).astype(np.int64) + 1, 0)
-    return table(
-        {"key": key.view(np.int64), "salt": salt, "doc_id": doc, "lo": lo, "n": n, "units": units.view(np.int64),
-         "copies": np.where(same_key, 0, copies), "open": several | again, "done": later & again},
-        _RUNS,
-    )
+    salt = np.where(same_key, lot % U(SALTS) + U(1), U(0))
+    tag = (salt.astype(np.int64) << _SALT_BIT) | (np.where(same_key, 0, copies) << 2) | ((several | again) * _OPEN) | ((later & again) * _DONE)
+    columns = {
+        "key": (key ^ (salt << U(_KEY_BIT))).view(np.int64), "doc_id": doc, "place": (lo.astype(np.int64) << _N_BITS) | n, "units": units.view(np.int64), "tag": tag,
+    }
+    # in the order of the texts, in which neighbours have their document in common
+    order = np.argsort(order, kind="stable")
+    return table({name: values[order] for name, values in columns.items()}, _RUNS)
 
 
 def earlier_windows(docs: DataFrame, shared: DataFrame, method: Method) -> DataFrame:
