@@ -86,7 +86,7 @@ def tfidf(
     if fold is None:
         known, n = F.col("_df")[0], F.col("_n")[0]
     else:
-        known, n = (F.col(c)[0] - F.element_at(c, F.col(fold) + 2) for c in ("_df", "_n"))
+        known, n = (F.col(c)[0] - F.element_at(c, (F.col(fold) + 2).cast("int")) for c in ("_df", "_n"))
         rows = rows.filter(known > 0)
     weight = F.col("tf") * inverse_frequency(n.cast("double"), known)
     return _normalised(rows.withColumn("_w", weight), key, [] if fold is None else [fold])
