@@ -28,6 +28,7 @@ PATTERN = (
 )
 # Words that are sent to all tasks, at most; each takes some 200 bytes in a Python worker.
 FREQUENT = 200_000
+ROWS_AT_ONCE = 500
 _SPLIT = regex.compile(PATTERN)
 
 
@@ -48,6 +49,13 @@ def _sections(special: dict[str, int]):
     return at.split
 
 
+def _parts(batches, rows: int = ROWS_AT_ONCE):
+    """The same rows in smaller batches: Python objects made of a batch take many times its size."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _ids(t: Tokenizer, words: list[str]) -> list[bytes]:
     return [np.array(e.ids, "<i4").tobytes() for e in t.encode_batch(words, add_special_tokens=False)]
 
@@ -87,7 +95,7 @@ def encode(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     def rare(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string())])
         have, cut = known.value, _sections(special)
-        for batch in batches:
+        for batch in _parts(batches):
             ids, out = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 new = {w for s in cut(text or "") if s not in special for w in _SPLIT.findall(s) if w not in have}
@@ -104,7 +112,7 @@ def encode(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     def placed(batches):
         have, cut = known.value, _sections(special)
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-        for batch in batches:
+        for batch in _parts(batches):
             found = []
             for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist()):
                 own = {x["word"]: x["ids"] for x in own or ()}
@@ -151,7 +159,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def texts(batches):
         data, begins = pieces(path)
-        for batch in batches:
+        for batch in _parts(batches):
             lists = batch.column("ids")
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ids = np.where((ids >= 0) & (ids < len(begins) - 1), ids, -1)
