@@ -109,10 +109,12 @@ def shared_runs(docs: DataFrame, method: Method) -> DataFrame:
         {
             "total": F.sum(copies).over(same_key),
             "several": F.min("units").over(same_key) < F.max("units").over(same_key),
+            "open": F.max(F.col("tag").bitwiseAND(F.lit(_OPEN))).over(same_key) > 0,
             "done": (F.col("tag").bitwiseAND(F.lit(_DONE)) > 0) | later,
         }
     )
-    return marked.filter(F.col("done") | F.col("several") | (F.col("tag").bitwiseAND(F.lit(_OPEN)) > 0)).select(
+    # runs of an open key in other partitions may be compared with any run that isn't done
+    return marked.filter(F.col("done") | F.col("several") | F.col("open")).select(
         F.col("key").bitwiseXOR(F.shiftleft(salt, _KEY_BIT)).alias("key"), salt.alias("salt"), "doc_id",
         F.shiftright("place", _N_BITS).cast("int").alias("lo"),
         F.col("place").bitwiseAND(F.lit((1 << _N_BITS) - 1)).cast("int").alias("n"), "total", "done",

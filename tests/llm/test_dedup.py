@@ -38,6 +38,20 @@ def test_passages_equal_brute_force(spark, monkeypatch, crowd):
     assert hashed(suffix_dedup.suffix_dedup(df)) == brute.suffix_dedup(rows)
 
 
+def test_an_earlier_copy_in_another_partition_meets_exact_and_edited_copies(spark):
+    r = random.Random(6)
+    first, others = [], []
+    for k in range(40):
+        w = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        first.append((k, " ".join(w)))
+        others.append((100 + 2 * k, " ".join(w)))
+        w[r.randrange(60)] = "edited"
+        others.append((101 + 2 * k, " ".join(w)))
+    df = texts.in_parts(spark, first, others)
+    assert hashed(substring_dedup(df)) == brute.substring_dedup(first + others)
+    assert hashed(suffix_dedup.suffix_dedup(df)) == brute.suffix_dedup(first + others)
+
+
 def test_suffix_dedup_reads_long_texts_in_parts(spark, monkeypatch):
     r = random.Random(1)
     block = "".join(r.choice("abcd") for _ in range(700))

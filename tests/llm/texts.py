@@ -7,6 +7,11 @@ import random
 SCHEMA = "doc_id long, text string"
 
 
+def in_parts(spark, *parts):
+    """A table with each list of rows in a partition of its own."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), SCHEMA)
+
+
 def passages(seed: int, n: int = 80) -> list[tuple[int, str | None]]:
     """Few different words, pieces of other texts, runs, nulls, empty and space-only texts."""
     r = random.Random(seed)
