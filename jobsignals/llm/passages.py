@@ -123,7 +123,8 @@ def shared_runs(docs: DataFrame, method: Method) -> DataFrame:
 
 def _own_repeats(held: list[tuple[np.ndarray, ...]], within_document: bool) -> pa.RecordBatch:
     """The runs of a task. Of those with one key only the first goes to the key's partition; others
-    are dealt out by their units, and repeats evenly. ``open`` marks keys that have several units."""
+    are dealt out by their units, and repeats evenly. ``open`` marks keys that have several units
+    or repeats that aren't done."""
     key, doc, lo, n, units = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((lo, doc, units, key))
     key, doc, lo, n, units = key[order], doc[order], lo[order], n[order], units[order]
@@ -135,10 +136,10 @@ def _own_repeats(held: list[tuple[np.ndarray, ...]], within_document: bool) -> p
     if within_document:
         later |= (doc == doc[first]) & (lo > lo[first])
     copies = np.bincount(group)[group]
-    several = np.bincount(group, weights=~again)[group] > 1
+    undone = np.bincount(group, weights=~again | ~later)[group] > 1
     lot = np.where(again, mix(doc.astype(U) * U(2654435761) + lo.astype(U)), mix(units))
     salt = np.where(same_key, lot % U(SALTS) + U(1), U(0))
-    tag = (salt.astype(np.int64) << _SALT_BIT) | (np.where(same_key, 0, copies) << 2) | ((several | again) * _OPEN) | ((later & again) * _DONE)
+    tag = (salt.astype(np.int64) << _SALT_BIT) | (np.where(same_key, 0, copies) << 2) | ((undone | again) * _OPEN) | ((later & again) * _DONE)
     columns = {
         "key": (key ^ (salt << U(_KEY_BIT))).view(np.int64), "doc_id": doc, "place": (lo.astype(np.int64) << _N_BITS) | n, "units": units.view(np.int64), "tag": tag,
     }

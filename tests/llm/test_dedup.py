@@ -52,6 +52,18 @@ def test_an_earlier_copy_in_another_partition_meets_exact_and_edited_copies(spar
     assert hashed(suffix_dedup.suffix_dedup(df)) == brute.suffix_dedup(first + others)
 
 
+def test_a_passage_twice_in_one_document_meets_an_earlier_one_in_another_partition(spark):
+    r = random.Random(7)
+    first, others = [], []
+    for k in range(40):
+        passage = " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+        first.append((k, passage))
+        others.append((100 + k, f"{passage} x{k} {passage}"))
+    df = texts.in_parts(spark, first, others)
+    assert hashed(substring_dedup(df)) == brute.substring_dedup(first + others)
+    assert hashed(suffix_dedup.suffix_dedup(df)) == brute.suffix_dedup(first + others)
+
+
 def test_suffix_dedup_reads_long_texts_in_parts(spark, monkeypatch):
     r = random.Random(1)
     block = "".join(r.choice("abcd") for _ in range(700))
