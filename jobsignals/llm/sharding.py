@@ -1,8 +1,9 @@
 """Shards of even size that keep linked documents together, by balanced label propagation.
 
-Every document starts in a shard by a hash of its id. In each round half of the linked documents
-look where most of their neighbours are and ask to move there. Quotas admit as many moves from s
-to t as there are from t to s, and more until the linked documents alone fill t's even share.
+Every document starts in a shard by a hash of its id. In each round half of the linked documents,
+drawn anew, look where most of their neighbours are and ask to move there. Quotas admit as many
+moves from s to t as there are from t to s, and more until the linked documents alone fill t's
+even share. Rounds end when the quotas would admit few of the moves that all documents want.
 At the end rows above a shard's share go to shards below it, those without links first: they can
 go anywhere, so that evening out cuts no link. Everything is DataFrame code; what reaches the
 driver are tables of shards, at most their number squared.
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from .scratch import Steps
 
 SHARDS = 24
-ROUNDS = 4
+# Rounds at most. They end before when at most one in SETTLED linked documents can still move.
+ROUNDS = 20
+SETTLED = 1_000
 # Documents that are numbered in one task, on average.
 ROWS_PER_GROUP = 2_000
 
@@ -57,18 +60,22 @@ def propagate(docs: DataFrame, links: DataFrame, steps: Steps, shards: int = SHA
         load = [now.get(s, 0) for s in range(shards)]
         neighbour = labels.select(F.col("doc_id").alias("other"), F.col("label").alias("wanted"))
         votes = both.join(neighbour, "other").groupBy("doc_id", "wanted").agg(F.count(F.lit(1)).alias("votes"))
-        turn = votes.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == number % 2)
-        tally = turn.join(labels, "doc_id").groupBy("doc_id", "label").agg(
+        tally = votes.join(labels, "doc_id").groupBy("doc_id", "label").agg(
             F.max(F.struct("votes", "wanted")).alias("best"), F.sum(F.when(F.col("wanted") == F.col("label"), F.col("votes")).otherwise(0)).alias("here")
         )
-        asking = steps.write(tally.filter("best.votes > here").select("doc_id", "label", F.col("best.wanted").alias("wanted")), "asking")
-        asked = {(r[0], r[1]): r[2] for r in asking.groupBy("label", "wanted").count().collect()}
+        turn = F.pmod(F.xxhash64("doc_id", F.lit(number), F.lit(7)), F.lit(2)) == 0
+        wanting = steps.write(tally.filter("best.votes > here").select("doc_id", "label", F.col("best.wanted").alias("wanted"), turn.alias("turn")), "wanting")
+        counts = wanting.groupBy("label", "wanted").agg(F.count(F.lit(1)), F.count_if("turn")).collect()
+        wanted = {(r[0], r[1]): r[2] for r in counts}
+        if sum(n * wanted[k] for k, n in _accept(wanted, load, room).items()) * SETTLED <= sum(load):
+            break
+        asked = {(r[0], r[1]): r[3] for r in counts if r[3]}
         if not asked:
             continue
         share = _accept(asked, load, room)
         quota = F.create_map(*[x for (s, t), v in share.items() for x in (F.lit(s * shards + t), F.lit(v))])
         lot = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(1 << 30)) / float(1 << 30)
-        moved = asking.filter(lot < quota[F.col("label") * shards + F.col("wanted")]).select("doc_id", F.col("wanted").alias("next"))
+        moved = wanting.filter(F.col("turn") & (lot < quota[F.col("label") * shards + F.col("wanted")])).select("doc_id", F.col("wanted").alias("next"))
         labels = steps.write(labels.join(moved, "doc_id", "left").select("doc_id", F.coalesce("next", "label").alias("label")), "labels")
     return labels
 

@@ -110,6 +110,17 @@ def test_shards_are_even_and_links_stay(spark):
     assert len(pairs) > 800 and sum(at[a] != at[b] for a, b in pairs) < 0.25 * len(pairs)
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_groups_of_copies_stay_together(spark, copies):
+    rows = [(i, f"text {i % (1200 // copies)}" if i < 1200 else f"own {i}") for i in range(2400)]
+    df = spark.createDataFrame(rows, texts.SCHEMA)
+    links = equal_text_links(df)
+    at = {r.doc_id: r.shard for r in shard(df, links).collect()}
+    pairs = links.collect()
+    cut = sum(at[a] != at[b] for a, b in pairs)
+    assert len(pairs) == 1200 - 1200 // copies and cut <= 0.02 * len(pairs), cut
+
+
 def test_a_hot_text_is_spread_over_shards(spark):
     rows = [(i, "same" if i % 2 else f"own {i}") for i in range(2400)]
     df = spark.createDataFrame(rows, texts.SCHEMA)
