@@ -13,10 +13,13 @@ from jobsignals.queries.registry import Query, Run, table
 from . import sql
 from .bpe import decode, encode
 from .embedding_dedup import near_vectors
+from .lexical_search import ranked_search
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
+from .quality_model import score_quality
+from .resampling import importance_resample
 from .sharding import equal_text_links, shard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -95,3 +98,19 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_ranked_search", sql.RANKED_SEARCH)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_quality_model")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_resampling", sql.RESAMPLING)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = importance_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

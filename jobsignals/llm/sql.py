@@ -156,3 +156,61 @@ ids as (select vec_id id from vectors),
 {components("ids", "links")}
 select e.vec_id, (select count(*) from links l where l.a = e.vec_id)::bigint n_links, c.root component_id, e.vec_id = c.root kept
 from vectors e join component c on c.id = e.vec_id"""
+
+# A-Z in lower case, all else as it is.
+SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+RANKED_SEARCH = rf"""
+with {DOCS},
+terms as (select doc_id, unnest(regexp_extract_all({SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from docs),
+tfs as (select doc_id, term, count(*) tf from terms group by all),
+lengths as (select doc_id, sum(tf)::bigint n from tfs group by doc_id),
+total as (select count(*) n_docs, sum(n)::bigint n_terms from lengths),
+weights as (
+    select term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint w
+    from (select term, count(*) df from tfs group by term), total
+),
+items as (
+    select item_id, text from (
+        select item_id, text, row_number() over (partition by item_id order by text nulls first) k from benchmark where item_id is not null
+    ) where k = 1
+),
+asked as (select distinct item_id, unnest(regexp_extract_all({SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from items),
+scores as (
+    select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint score
+    from asked join weights using (term) join tfs using (term) join lengths using (doc_id), total group by all
+),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int "rank" from scores where score > 0)
+select item_id, "rank", doc_id, score from ranked where "rank" <= 10"""
+
+RESAMPLING = rf"""
+with {DOCS},
+-- the remainders of one byte, from the polynomial, and the checksum of a text byte by byte
+bits as (select list(list_reduce(list_prepend(b, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) t from range(256) r(b)),
+texts as (
+    select doc_id, 0 side, {SMALL} t from docs
+    union all select row_number() over (), 1, {SMALL} from benchmark
+),
+words as (select doc_id, side, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from texts),
+runs as (
+    select doc_id, side, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) f from words
+),
+known as (select f, regexp_extract_all(hex(encode(f)), '..') bs from (select distinct f from runs)),
+hashed as (
+    select f, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(bs, lambda b: ('0x' || b)::bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 bucket
+    from known, bits
+),
+features as (select doc_id, side, bucket from runs join hashed using (f)),
+counts as (select bucket, count(*) filter (side = 0) s, count(*) filter (side = 1) t from features group by bucket),
+total as (select count(*) filter (side = 0) s_all, count(*) filter (side = 1) t_all from features),
+gains as (select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint gain from counts, total),
+weighed as (select doc_id, count(*) n, sum(gain)::bigint g from features join gains using (bucket) where side = 0 group by doc_id),
+scored as (
+    select w.doc_id, len(ws) n_words, coalesce(n, 0)::bigint n_features, coalesce(floor(g / n), 0)::bigint weight,
+        floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::bigint + 0.5) / 4294967296)))::bigint draw
+    from words w left join weighed using (doc_id) where side = 0
+),
+able as (select doc_id, row_number() over (order by weight + draw desc, doc_id) k, count(*) over () n from scored where n_words >= 20)
+select s.doc_id, n_features, weight, weight + draw score, case when k <= 25 * n // 100 then k end::bigint "rank"
+from scored s left join able using (doc_id)"""

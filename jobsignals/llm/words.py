@@ -92,9 +92,9 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int,
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, stops and document of every word, in order; no word crosses documents."""
-    inside = ~_IS_SEPARATOR[data]
+    inside = ~separators[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -106,6 +106,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray]:
+    """Number of each word in the list of distinct words, and that list."""
+    ends = np.concatenate([[0], np.cumsum(stops - starts)])
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[stops] -= 1
+    flat = data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+    coded = found.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z, other bytes as they are."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)

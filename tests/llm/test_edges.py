@@ -13,6 +13,8 @@ from jobsignals.llm.line_dedup import line_dedup
 from jobsignals.llm.minhash_dedup import near_duplicates
 from jobsignals.llm.packing import boundaries, pack
 from jobsignals.llm.quality import quality_rules
+from jobsignals.llm.quality_model import score_quality
+from jobsignals.llm.resampling import importance_resample
 from jobsignals.llm.sharding import equal_text_links, shard
 from jobsignals.llm.substring_dedup import substring_dedup
 from jobsignals.llm.suffix_dedup import suffix_dedup
@@ -28,6 +30,8 @@ OPERATORS = {
     "quality": quality_rules,
     "encode": lambda d: encode(d, BPE),
     "pack": pack,
+    "score": lambda d: score_quality(d, d.sparkSession.createDataFrame([(1, 0), (2, 1), (3, 0), (5, 1)], "doc_id long, quality int")),
+    "resample": lambda d: importance_resample(d, d.sparkSession.createDataFrame([("a b",)], "text string")),
     "shard": lambda d: shard(d, equal_text_links(d)),
 }
 
@@ -64,7 +68,7 @@ def test_vectors_edges(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):

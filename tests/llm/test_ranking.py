@@ -1,0 +1,189 @@
+"""Ranked search, the quality classifier and importance resampling against their definitions."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+from hashlib import sha256
+
+import numpy as np
+import pytest
+import texts
+from pyspark.sql import functions as F
+
+from jobsignals.llm import lexical_search, quality_model, resampling
+from jobsignals.llm.lexical_search import ranked_search
+from jobsignals.llm.quality_model import STATISTICS, score_quality, statistics
+from jobsignals.llm.resampling import importance_resample
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+ITEMS = "item_id long, text string"
+
+
+def small(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def best(docs, items, top=10):
+    found = {i: Counter(TERM.findall(small(t))) for i, t in docs}
+    found = {i: c for i, c in found.items() if c}
+    n_docs, n_terms = len(found), sum(sum(c.values()) for c in found.values())
+    df = Counter(t for c in found.values() for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c in found.items():
+            m, s = 10 + 90 * sum(c.values()) * n_docs // n_terms, 0
+            for t in set(TERM.findall(small(text))) & set(c):
+                s += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+            if s > 0:
+                scores.append((-s, i))
+        out += [(item, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:top])]
+    return sorted(out)
+
+
+def collection(seed):
+    r = random.Random(seed)
+    word = [r.choice("abcdé日9") * r.randrange(1, 4) for _ in range(30)] + ["the"] * 20 + ["The"]
+    docs = [(i * 7 - 50, r.choice(" -\n").join(r.choice(word) for _ in range(r.choice([0, 1, 1, 2, 5, 5, 5, 40, 400])))) for i in range(150)]
+    docs += [(5000 + i, docs[3][1] + " rare") for i in range(30)] + [(9000, None), (9001, ""), (9002, "--- ,,"), (9003, "the " * 30000)]
+    items = [(i, " ".join(r.choice(word) for _ in range(r.randrange(12)))) for i in range(12)] + [(100, None), (101, ""), (102, "absent"), (103, "rare RARE the")]
+    return docs, items
+
+
+@pytest.mark.parametrize("sizes", [{}, {"piece": 20, "block": 15, "first": 1}])
+def test_search_equals_brute_force(spark, sizes):
+    docs, items = collection(3)
+    got = ranked_search(spark.createDataFrame(docs, texts.SCHEMA).repartition(5), spark.createDataFrame(items, ITEMS), **sizes)
+    assert sorted(map(tuple, got.collect())) == best(docs, items)
+
+
+def test_search_edges(spark):
+    none, docs = spark.createDataFrame([], texts.SCHEMA), spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a"), (2, "b"), (2, "b")], texts.SCHEMA)
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "b c")], ITEMS)
+    assert ranked_search(none, items).collect() == [] and ranked_search(docs, spark.createDataFrame([], ITEMS)).collect() == []
+    clash = ("m", "term", "terms", "tf", "n", "w", "rank", "score", "piece", "bound", "docs")
+    more = [d.select(*[F.lit(None).cast("int").alias(c) for c in clash], "*") for d in (docs, items)]
+    want = best([(1, "a b"), (2, "b")], [(1, "a"), (2, "b c")])
+    assert sorted(map(tuple, ranked_search(*more).collect())) == want
+
+
+def test_pieces_are_whole_and_bounded(spark):
+    docs = spark.createDataFrame([(i, "a b c d e") for i in range(300)] + [(1000, " ".join(f"w{k}" for k in range(200)))], texts.SCHEMA)
+    steps = lexical_search.Steps(spark)
+    index = lexical_search.length_index(docs, steps, piece=50)[0].collect()
+    entries = [(d, t, tf) for r in index for t, tf, ds in zip(r.terms, r.tfs, np.split(np.array(r.docs), np.cumsum(r["sizes"])[:-1])) for d in ds]
+    assert len(entries) == len(set(entries)) == 300 * 5 + 200
+    homes = Counter(d for r in index for d in set(r.docs))
+    assert set(homes.values()) == {1} and max(len(r.docs) for r in index if r.docs != [1000] * 200) < 60
+    assert len({r.m for r in index}) == 2
+
+
+def drawn(docs, target, percent=25, least=20):
+    def runs(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", small(text))
+        return len(w), [zlib.crc32(f.encode()) % 10000 for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    all_ = {i: runs(t) for i, t in docs}
+    s, t = Counter(b for _, f in all_.values() for b in f), Counter(b for x in target for b in runs(x)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + 10000) / ((s[b] + 1) * (t_all + 10000)))) for b in range(10000)]
+    rows = {}
+    for i, (n, f) in all_.items():
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(sha256(f"7:{i}".encode()).hexdigest()[:8], 16)
+        rows[i] = (i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+    able = sorted((-r[4], i) for i, r in rows.items() if r[1] >= least)
+    rank = {i: k + 1 for k, (_, i) in enumerate(able[: percent * len(able) // 100])}
+    return sorted((*r, rank.get(i)) for i, r in rows.items())
+
+
+def test_resampling_equals_brute_force(spark):
+    docs, items = collection(8)
+    docs += [(20000 + i, "x y z " * 10) for i in range(300)]
+    target = [t for _, t in items] + ["x y", "x y"]
+    got = importance_resample(spark.createDataFrame(docs, texts.SCHEMA).repartition(6), spark.createDataFrame([(None, t) for t in target], ITEMS))
+    want = drawn(docs, target)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == want and sum(r[-1] is not None for r in want) > 50
+
+
+def test_resampling_ties_go_by_id(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "perturbation", lambda seed: F.lit(0).cast("long"))
+    docs = spark.createDataFrame([(i * 11 % 101 - 60, "a b c d " * 6) for i in range(101)], texts.SCHEMA)
+    got = importance_resample(docs, spark.createDataFrame([], ITEMS), percent=50)
+    ranks = {r.doc_id: r["rank"] for r in got.collect()}
+    ids = sorted(ranks)
+    assert [ranks[i] for i in ids] == [k + 1 if k < 50 else None for k in range(101)]
+
+
+@pytest.mark.parametrize("wanted", [1, 2, 57, 199, 200])
+def test_bisection_finds_the_last_value(spark, wanted):
+    r = random.Random(wanted)
+    values = [r.choice([5, -(2**62), 2**62, r.randrange(-1000, 1000)]) for _ in range(200)]
+    assert resampling._last_value(spark.createDataFrame([(v,) for v in values], "v long"), "v", wanted) == sorted(values)[wanted - 1]
+
+
+def test_statistics_of_known_texts():
+    def row(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return dict(zip(STATISTICS, statistics(data, np.array([0, len(data)]))[0].tolist()))
+
+    assert set(row("").values()) == {0}
+    assert row("a b c")["triples_repeated"] == 0
+    assert row("a b c a b c a b c")["triples_repeated"] > row("a b c a b c d e f")["triples_repeated"] > 0
+    assert row("x\ny\nx\n")["lines_repeated"] > 0 == row("x\ny\nz")["lines_repeated"]
+    assert row("AB CD!!")["words_upper"] > row("Ab CD")["words_upper"] > row("ab")["words_upper"] == 0
+    both = np.frombuffer(("one two" + "three").encode(), np.uint8)
+    together = statistics(both, np.array([0, 7, 7, 12]))
+    assert [dict(zip(STATISTICS, t.tolist())) for t in together] == [row("one two"), row(""), row("three")]
+
+
+def auc(rows):
+    rows = sorted(rows)
+    ranks = {}
+    for k, (s, _) in enumerate(rows):
+        ranks.setdefault(s, []).append(k)
+    good = [sum(ranks[s]) / len(ranks[s]) for s, y in rows if y]
+    return (sum(good) - len(good) * (len(good) - 1) / 2) / (len(good) * (len(rows) - len(good)))
+
+
+def test_classifier_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in score_quality(docs, labels).collect()}
+    assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 for i, r in got.items())
+    assert auc([(got[r.doc_id].score, r.quality) for r in labels.collect() if got[r.doc_id].held_out]) > 0.97
+    # held-out labels and all columns but the text do not matter, nor how the rows are dealt out
+    turned = labels.withColumn("quality", F.when(quality_model.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = score_quality(docs.select("doc_id", "text", F.lit("x").alias("label")).repartition(7), turned.repartition(3))
+    assert {r.doc_id: r.score for r in again.collect()} == {i: r.score for i, r in got.items()}
+
+
+def test_first_split_is_the_best_one(spark):
+    r = np.random.default_rng(0)
+    x = r.integers(0, 64, (500, len(STATISTICS))).astype(np.uint8)
+    y = (x[:, 4] > 20) ^ (r.random(500) < 0.1)
+    rows = spark.createDataFrame([(bytearray(a.tobytes()), int(b)) for a, b in zip(x, y)], "bins binary, label int").repartition(5)
+    forest = quality_model.fit(rows, trees=1, depth=1)
+    p = y.mean()
+
+    def gain(mask):
+        return sum((y[m] - p).sum() ** 2 / (m.sum() * p * (1 - p) + 1) for m in (mask, ~mask))
+
+    best_gain, s, limit = max((gain(x[:, s] <= b), s, b) for s in range(len(STATISTICS)) for b in range(63))
+    assert (forest.statistic[0, 0], forest.limit[0, 0]) == (s, limit)
+    left = x[:, s] <= limit
+    want = 0.3 * (y[left] - p).sum() / (left.sum() * p * (1 - p) + 1)
+    assert forest.leaf[0, 0] == pytest.approx(want, abs=1e-4)
+
+
+def test_classifier_edges(spark):
+    a, b = [i for i in range(4, 30) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(1, None), (a, ""), (b, "a"), (None, "b"), (b, "b")], texts.SCHEMA)
+    schema = "doc_id long, quality int"
+    for labels in ([], [(None, 1), (a, None), (b, 7)], [(77, 0)]):
+        got = score_quality(docs, spark.createDataFrame(labels, schema)).collect()
+        assert sorted((r.doc_id, r.score, r.predicted) for r in got) == [(1, 0.5, 1), (a, 0.5, 1), (b, 0.5, 1)]
+    one_kind = score_quality(docs, spark.createDataFrame([(a, 0), (a, 1), (b, 0)], schema)).collect()
+    assert len({r.score for r in one_kind}) == 1 and {r.predicted for r in one_kind} == {0}
+    assert score_quality(docs.limit(0), spark.createDataFrame([(1, 1)], schema)).collect() == []
