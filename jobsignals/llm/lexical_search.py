@@ -138,7 +138,7 @@ def length_index(docs: DataFrame, steps: Steps, wanted: DataFrame | None = None,
         "doc_id", "n", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "terms").alias("term"), F.concat(F.array(F.lit(0)), "tfs").alias("tf"))).alias("p")
     ).select("doc_id", "n", "p.term", "p.tf")
     if wanted is not None:
-        all_ = all_.join(wanted.select("term").union(wanted.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+        all_ = all_.join(wanted.select("term").union(wanted.sparkSession.range(1).select(F.lit("").alias("term"))), "term", "left_semi")
     postings = steps.write(all_.select("doc_id", "n", "term", "tf"), "postings")
     total = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
     n_docs, n_terms = total.docs, max(total.terms or 0, 1)

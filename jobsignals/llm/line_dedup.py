@@ -17,21 +17,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Steps
-from .words import U, mix, one_row_per_id, power, table, texts, word_hash, words
+from .words import U, as_hash, followed, joined, mix, one_row_per_id, prefix_hash_of, span, table, texts, word_hash, words
 
-# Lines of fewer words always stay; from FUZZY_WORDS words on, one word may differ.
+# Lines of fewer words always stay.
 MIN_WORDS = 5
-FUZZY_WORDS = 10
 ROWS_AT_ONCE = 500_000
 
-_BASE = 0xD6E8FEB86659FD93
-
 _LINES = pa.schema(
-    [("line", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("sure", pa.bool_()), ("halves", pa.list_(pa.int64()))]
+    [("line", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("sure", pa.bool_()), ("halves", pa.list_(pa.int64()))]
 )
 _VARIANTS = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("words", pa.string()), ("whole", pa.int64()), ("variants", pa.list_(pa.int64()))])
 
@@ -48,14 +46,17 @@ class _Text:
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], len(row))
         self.row, self.number, self.size = row[self.first], number[self.first], self.last - self.first
-        hashes = word_hash(data, self.starts, self.stops)
-        self.power = power(_BASE, len(hashes) + 1)
-        self.inverse = power(pow(_BASE, -1, 1 << 64), len(hashes) + 1)
-        self.prefix = np.concatenate([np.zeros(1, U), np.cumsum(hashes * self.power[: len(hashes)])])
+        self.data, self.prefix = data, prefix_hash_of(word_hash(data, self.starts, self.stops))
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of the words from a to b, not mixed."""
-        return (self.prefix[b] - self.prefix[a]) * self.inverse[a]
+        """Residues of the words from a to b."""
+        return span(self.prefix, a, b)
+
+    def written(self, lines: np.ndarray) -> pa.Array:
+        """The words of the given lines (flags), joined by one space."""
+        word = np.repeat(lines, self.size)
+        number = np.repeat(np.cumsum(lines) - 1, self.size)
+        return joined(self.data, self.starts[word], self.stops[word], number[word], int(lines.sum()))
 
     def halves(self) -> np.ndarray:
         """Four keys for each line: halves as the shorter and as the longer line of a pair."""
@@ -63,7 +64,7 @@ class _Text:
         for base in (self.size, self.size - 1):
             half = base // 2
             for tag, a, b in ((1, self.first, self.first + half), (2, self.last - (base - half), self.last)):
-                out.append(mix(mix(self.span(a, b)) + base.astype(U) * U(4) + U(tag)))
+                out.append(mix(as_hash(self.span(a, b)) + base.astype(U) * U(4) + U(tag)))
         return np.stack(out, axis=1).view(np.int64)
 
 
@@ -74,8 +75,10 @@ def _lines(batches):
         for i, _, data, offsets in texts(batch):
             t = _Text(data, offsets)
             long = t.size >= MIN_WORDS
-            line = mix(t.span(t.first, t.last) + t.size.astype(U)).view(np.int64)
-            held.append((line[long], ids[i + t.row[long]], t.number[long], t.size[long], t.halves()[long]))
+            # 128 bits of the words themselves: equal lines are not looked at again
+            digests = b"".join(xxhash.xxh3_128_digest(x) for x in t.written(long).cast(pa.binary()).to_pylist())
+            line, rest = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+            held.append((line, rest, ids[i + t.row[long]], t.number[long], t.size[long], t.halves()[long]))
             rows += int(long.sum())
         if rows >= ROWS_AT_ONCE:
             yield _own_repeats(held)
@@ -85,13 +88,13 @@ def _lines(batches):
 
 
 def _own_repeats(held) -> pa.RecordBatch:
-    line, doc, number, size, halves = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((number, doc, line))
-    line, doc, number, size, halves = line[order], doc[order], number[order], size[order], halves[order]
-    again = np.concatenate([[False], line[1:] == line[:-1]])
-    need = ~again & (size >= FUZZY_WORDS)
+    line, rest, doc, number, size, halves = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((number, doc, rest, line))
+    line, rest, doc, number, size, halves = line[order], rest[order], doc[order], number[order], size[order], halves[order]
+    again = np.concatenate([[False], (line[1:] == line[:-1]) & (rest[1:] == rest[:-1])])
+    need = ~again
     lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(4 * need)]).astype(np.int32), pa.array(halves[need].ravel()))
-    return table({"line": line, "doc_id": doc, "line_no": number, "n": size, "sure": again, "halves": lists}, _LINES)
+    return table({"line": line, "rest": rest, "doc_id": doc, "line_no": number, "n": size, "sure": again, "halves": lists}, _LINES)
 
 
 def _variants(batches):
@@ -107,10 +110,10 @@ def _variants(batches):
             first, last, size = t.first[wanted], t.last[wanted], t.size[wanted].astype(np.int64)
             begin = np.repeat(first, size)
             gone = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin
-            rest = t.span(begin, gone) + t.span(gone + 1, np.repeat(last, size)) * t.power[gone - begin]
-            variants = mix(rest + np.repeat(size, size).astype(U) - U(1)).view(np.int64)
-            whole = mix(t.span(first, last) + size.astype(U)).view(np.int64)
-            text = [b" ".join(data[t.starts[a] : t.stops[b - 1]].tobytes().split()).decode() for a, b in zip(first, last)]
+            left = followed(t.span(begin, gone), gone - begin, t.span(gone + 1, np.repeat(last, size)))
+            variants = mix(as_hash(left) + np.repeat(size, size).astype(U) - U(1)).view(np.int64)
+            whole = mix(as_hash(t.span(first, last)) + size.astype(U)).view(np.int64)
+            text = t.written(wanted)
             yield table(
                 {"doc_id": ids[i + t.row[wanted]], "line_no": t.number[wanted], "words": text, "whole": whole,
                  "variants": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(variants))},
@@ -138,12 +141,12 @@ def _verified(batches):
 
 def repeated_lines(docs: DataFrame, steps: Steps) -> DataFrame:
     """``doc_id`` and ``line_no`` (from 0) of the lines to remove; ``docs`` has unique ids."""
-    lines = steps.write(docs.mapInArrow(_lines, "line long, doc_id long, line_no int, n int, sure boolean, halves array<long>"), "lines")
+    lines = steps.write(docs.mapInArrow(_lines, "line long, rest long, doc_id long, line_no int, n int, sure boolean, halves array<long>"), "lines")
     at = F.struct("doc_id", "line_no")
     mine = lines.filter("not sure")
-    first = steps.write(mine.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "halves")).alias("f")).select("line", "f.*"), "first")
-    own = first.select("line", F.struct("doc_id", "line_no").alias("first"))
-    equal = mine.select("line", "doc_id", "line_no").join(own, "line").filter(at != F.col("first")).select("doc_id", "line_no")
+    first = steps.write(mine.groupBy("line", "rest").agg(F.min(F.struct("doc_id", "line_no", "halves")).alias("f")).select("line", "rest", "f.*"), "first")
+    own = first.select("line", "rest", F.struct("doc_id", "line_no").alias("first"))
+    equal = mine.select("line", "rest", "doc_id", "line_no").join(own, ["line", "rest"]).filter(at != F.col("first")).select("doc_id", "line_no")
 
     halves = first.select("doc_id", "line_no", F.explode("halves").alias("half"))
     several = halves.groupBy("half").count().filter("count > 1").select("half")
@@ -181,7 +184,7 @@ def _kept(batches):
                 continue
             drop = set(gone)
             stay = [x for k, x in enumerate(lines) if k not in drop]
-            out.append((doc, len(lines), len(drop), not any(len(x.encode().split()) >= MIN_WORDS for x in stay), "\n".join(stay)))
+            out.append((doc, len(lines), len(drop), not any(x.encode().split() for x in stay), "\n".join(stay)))
         yield table(dict(zip(_KEPT.names, zip(*out))) if out else dict.fromkeys(_KEPT.names, []), _KEPT)
 
 
@@ -189,9 +192,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, emptied, kept (the text that stays).
 
     A line goes if an earlier one (smaller doc_id, or above it in the same document) has the same
-    words, or, when both have ``FUZZY_WORDS`` words or more, differs in one word. Earlier lines
-    count even if they go themselves. Lines of fewer than ``MIN_WORDS`` words stay. ``emptied``
-    marks texts that lost lines and have only such short ones left. A null text stays null with no
+    words or differs in one word. Earlier lines count even if they go themselves. Lines of fewer than
+    ``MIN_WORDS`` words stay and make no other line go. ``emptied`` marks texts that lost lines and have
+    no word left. A null text stays null with no
     lines. Rows without id are left out, and of rows with one id the smallest text counts. Other
     columns are not read. An empty table gives an empty result.
     """

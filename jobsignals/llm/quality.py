@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import one_row_per_id, prefix_hash, span_hash, table, texts, word_hash, words
+from .words import distinct_words, one_row_per_id, table, texts, words
 
 # Fixed by the rules: too short, and too many words in repeated windows.
 MIN_WORDS = 10
@@ -100,11 +100,10 @@ def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray,
     has_word = np.searchsorted(starts, ends, "left") > np.searchsorted(starts, begins, "left")
     begins, ends = begins[has_word], ends[has_word]
     row = np.searchsorted(offsets, begins, "right") - 1
-    hashes = span_hash(prefix_hash(data), begins, ends)
-    order = np.lexsort((ends - begins, hashes, row))
+    line, _ = distinct_words(data, begins, ends)
+    order = np.lexsort((line, row))
     a, b = order[1:], order[:-1]
-    again = a[(row[a] == row[b]) & (hashes[a] == hashes[b]) & (ends[a] - begins[a] == ends[b] - begins[b])]
-    return np.bincount(row[again], minlength=rows)
+    return np.bincount(row[a[(row[a] == row[b]) & (line[a] == line[b])]], minlength=rows)
 
 
 def _measure(batches):
@@ -112,7 +111,7 @@ def _measure(batches):
         for i, j, data, offsets in texts(batch):
             rows = j - i
             starts, stops, row = words(data, offsets)
-            longest = longest_repeats(word_hash(data, starts, stops), row)
+            longest = longest_repeats(distinct_words(data, starts, stops)[0], row)
             n = np.bincount(row, minlength=rows)
             letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             chars = np.bincount(row, weights=letters[stops] - letters[starts], minlength=rows).astype(np.int64)

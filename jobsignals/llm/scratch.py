@@ -8,17 +8,23 @@ from jobsignals.session import fresh_path
 
 # With this setting Spark removes the shuffle files of a query when the query has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Bytes of rows that Spark hands to a Python worker at once: Spark's own value, and the one used here instead
+# of it. Workers hold a batch and what they make of it beside the executor's heap.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT, BATCH_BYTES = "67108864b", "8m"
 
 
 class Steps:
     """Writes a table after each step and removes those that are no longer needed.
 
     A written table survives lost executors, and once it is written nothing needs the shuffle
-    files behind it.
+    files behind it. Sessions that leave the size of batches for Python open get a smaller one.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if spark.conf.get(BATCH) == BATCH_DEFAULT:
+            spark.conf.set(BATCH, BATCH_BYTES)
         self.paths: dict[str, list[str]] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

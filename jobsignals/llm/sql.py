@@ -38,10 +38,10 @@ long as (
 first as (select * from (select *, row_number() over (partition by whole order by place) k from long) where k = 1),
 variants as (
     select place, whole, p, md5_number(array_to_string(list_concat(ws[:p - 1], ws[p + 1:]), ' ')) v
-    from (select *, unnest(range(1, n + 1)) p from first where n >= 10)
+    from (select *, unnest(range(1, n + 1)) p from first)
 ),
 replaced as (select place from (select place, min(place) over (partition by v, p) f from variants) where f < place),
-put_in as (select v.place variant, f.place line from variants v join first f on f.whole = v.v and f.n >= 10),
+put_in as (select v.place variant, f.place line from variants v join first f on f.whole = v.v),
 gone as (
     select l.doc_id, l.line_no from long l join first f using (whole) where l.place <> f.place
     union select f.doc_id, f.line_no from first f where f.place in (

@@ -23,15 +23,13 @@ from pyspark.sql import DataFrame
 from . import passages
 from .passages import Method
 from .scratch import Steps
-from .words import U, first_of_groups, gram_hash, mix, one_row_per_id, power, prefix_hash, span_hash, table, texts, word_hash, words
+from .words import U, first_of_groups, gram_hash, joined, mix, one_row_per_id, prefix_hash, prefix_hash_of, span_hash, table, texts, word_hash, words
 
 WINDOW = 13
 ROUNDS = 2
 # Words on each side of a symbol of the last round that it depends on.
 MARGIN = 3
 
-_BASE = 0xD6E8FEB86659FD93
-
 
 def compress(symbols: np.ndarray, sizes: np.ndarray, row: np.ndarray, number: int):
     """One round: names, numbers of words and documents of the new symbols."""
@@ -87,12 +85,10 @@ def _windows(data: np.ndarray, offsets: np.ndarray):
     key = np.where(whole, mix(gram_hash(hashes, WINDOW)[at] + U(1)), around)
     anchor = np.where(whole, -1 - at, anchor)
     first_word = np.searchsorted(row, np.arange(len(offsets) - 1), "left")
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(hashes * power(_BASE, len(hashes))[: len(hashes)])])
-    inverse = power(pow(_BASE, -1, 1 << 64), len(hashes))
+    prefix = prefix_hash_of(hashes)
 
     def units(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-        a = at[first]
-        return mix((sums[a + n + WINDOW - 1] - sums[a]) * inverse[a])
+        return span_hash(prefix, at[first], at[first] + n + WINDOW - 1)
 
     yield row[at], at - first_word[row[at]], key, anchor, units
 
@@ -148,16 +144,3 @@ def _kept(batches):
             removed = np.bincount(row[gone], minlength=j - i)
             kept = joined(data, starts[~gone], stops[~gone], row[~gone], j - i)
             yield table({"doc_id": ids.slice(i, j - i), "n_words": n, "n_removed": removed, "kept": kept}, _KEPT)
-
-
-def joined(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
-    """The given words of each row joined by one space."""
-    # each word but the first of its row has a space before it, taken from beyond the text
-    spaced = np.append(data, np.uint8(32))
-    later = np.concatenate([[False], row[1:] == row[:-1]]) if len(row) else np.zeros(0, bool)
-    lengths = stops - starts + later
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.arange(offsets[-1]) + np.repeat(starts - later - offsets[:-1], lengths)
-    index[offsets[:-1][later]] = len(data)
-    per_row = np.concatenate([[0], np.cumsum(np.bincount(row, weights=lengths, minlength=rows).astype(np.int64))])
-    return pa.Array.from_buffers(pa.string(), rows, [None, pa.py_buffer(per_row.astype(np.int32).tobytes()), pa.py_buffer(spaced[index].tobytes())])

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,12 @@ U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
-_powers: dict[str, np.ndarray] = {}
+
+# Hashes of spans are polynomials modulo two primes. (Modulo a power of two, different texts of a regular
+# build have equal polynomials whatever the base.)
+PRIMES = np.array([[2147483647], [2147483629]])
+_ROOTS = (1270463909, 894102917)
+_powers: dict[tuple[int, ...], np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,30 +41,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * _BASE)
+def _residues(hashes: np.ndarray) -> np.ndarray:
+    return np.stack([hashes & U(0xFFFFFFFF), hashes >> U(32)]).view(np.int64) % PRIMES
+
+
+_BYTE = _residues(mix(np.arange(1, 257, dtype=U) * _BASE))
+
+
+def _power(roots: tuple[int, ...], n: int) -> np.ndarray:
+    """The powers 0 to n of each root; kept for the next call."""
+    p = _powers.get(roots)
+    if p is None:
+        p = np.ones((2, 1), np.int64)
+    while p.shape[1] <= n:
+        step = np.array([[pow(r, p.shape[1], int(q))] for r, q in zip(roots, PRIMES[:, 0])])
+        p = np.concatenate([p, p * step % PRIMES], axis=1)
+    _powers[roots] = p
+    return p
 
 
-def power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept for the next call."""
-    name = str(base)
-    if len(_powers.get(name, ())) <= n:
-        p = np.full(max(n, SLICE_BYTES) + 1, U(base), dtype=U)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name]
+_INVERSE = tuple(pow(r, -1, int(q)) for r, q in zip(_ROOTS, PRIMES[:, 0]))
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    n = values.shape[1]
+    out = np.zeros((2, n + 1), np.int64)
+    np.cumsum(values * _power(_ROOTS, n)[:, :n] % PRIMES, axis=1, out=out[:, 1:])
+    return out
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``span_hash`` takes the hash of any span of bytes."""
-    out = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_BYTE[data] * power(int(_BASE), len(data))[: len(data)], out=out[1:])
-    return out
+    return _sums(_BYTE[:, data])
+
+
+def prefix_hash_of(hashes: np.ndarray) -> np.ndarray:
+    """The same for spans of units that have 64-bit hashes."""
+    return _sums(_residues(hashes))
+
+
+def span(prefix: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Residues of spans; those of neighbours are put together by ``followed``."""
+    return (prefix[:, stops] - prefix[:, starts]) % PRIMES * _power(_INVERSE, prefix.shape[1])[:, starts] % PRIMES
+
+
+def followed(first: np.ndarray, size: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Residues of a span of ``size`` units and another one after it."""
+    return (first + second * _power(_ROOTS, int(size.max(initial=0)))[:, size]) % PRIMES
+
+
+def as_hash(residues: np.ndarray) -> np.ndarray:
+    return mix((residues[0].view(U) << U(32)) | residues[1].view(U))
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Equal spans have equal hashes, wherever they are."""
-    inverse = power(pow(int(_BASE), -1, 1 << 64), len(prefix))
-    return mix((prefix[stops] - prefix[starts]) * inverse[starts])
+    return as_hash(span(prefix, starts, stops))
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +162,11 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 
 def word_hash(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hash of each word, some ``SLICE_BYTES`` at a time."""
-    out = np.empty(len(starts), dtype=U)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(stops, starts[i] + SLICE_BYTES, "right")))
-        a = starts[i]
-        out[i:j] = span_hash(prefix_hash(data[a : stops[j - 1]]), starts[i:j] - a, stops[i:j] - a)
-        i = j
-    return out
+    """Hash of each word; each distinct word is hashed once."""
+    if not len(starts):
+        return np.zeros(0, dtype=U)
+    code, known = distinct_words(data, starts, stops)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in known.to_pylist()], dtype=U)[code]
 
 
 def gram_hash(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -149,6 +183,19 @@ def first_of_groups(same_as_before: np.ndarray) -> np.ndarray:
     return np.cumsum(~same_as_before) - 1
 
 
+def joined(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """The given words of each row joined by one space."""
+    # each word but the first of its row has a space before it, taken from beyond the text
+    spaced = np.append(data, np.uint8(32))
+    later = np.concatenate([[False], row[1:] == row[:-1]]) if len(row) else np.zeros(0, bool)
+    lengths = stops - starts + later
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    index = np.arange(offsets[-1]) + np.repeat(starts - later - offsets[:-1], lengths)
+    index[offsets[:-1][later]] = len(data)
+    per_row = np.concatenate([[0], np.cumsum(np.bincount(row, weights=lengths, minlength=rows).astype(np.int64))])
+    return pa.Array.from_buffers(pa.string(), rows, [None, pa.py_buffer(per_row.astype(np.int32).tobytes()), pa.py_buffer(spaced[index].tobytes())])
+
+
 def table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     arrays = (columns[f.name] for f in schema)
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema)], schema=schema)

@@ -92,7 +92,7 @@ def shingles(text):
     return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     groups = Groups(sets)
     where = defaultdict(list)
@@ -101,7 +101,7 @@ def near_duplicates(rows):
         for x in s:
             where[x].append(i)
         for j, both in shared.items():
-            if 100 * both >= 85 * (len(s) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
                 groups.join(i, j)
     return {i: (len(s), groups.find(i), groups.find(i) == i) for i, s in sets.items()}
 
@@ -113,7 +113,7 @@ def near_vectors(rows, threshold=0.95):
     for a, i in enumerate(ids):
         for j in ids[:a]:
             x, y = good[i], good[j]
-            if len(x) == len(y) and (x / np.linalg.norm(x)) @ (y / np.linalg.norm(y)) >= threshold:
+            if len(x) == len(y) and (x @ y) / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold:
                 groups.join(i, j)
                 links[i] += 1
                 links[j] += 1
@@ -138,11 +138,11 @@ def line_dedup(rows):
             w = words(line)
             if len(w) < 5:
                 continue
-            if any(w == v or (min(len(w), len(v)) >= 10 and abs(len(w) - len(v)) < 2 and edits(w, v) < 2) for v in earlier):
+            if any(w == v or (min(len(w), len(v)) >= 5 and abs(len(w) - len(v)) < 2 and edits(w, v) < 2) for v in earlier):
                 gone.add(k)
             earlier.append(w)
         lines = [] if text is None else text.split("\n")
         stay = [x for k, x in enumerate(lines) if k not in gone]
-        emptied = bool(gone) and not any(len(words(x)) >= 5 for x in stay)
+        emptied = bool(gone) and not any(words(x) for x in stay)
         out[i] = (len(lines), len(gone), emptied, None if text is None else "\n".join(stay))
     return out

@@ -13,6 +13,7 @@ from jobsignals.llm.components import components
 from jobsignals.llm.embedding_dedup import near_vectors
 from jobsignals.llm.line_dedup import line_dedup, within_one_edit
 from jobsignals.llm.minhash_dedup import near_duplicates
+from jobsignals.llm.quality import quality_rules
 from jobsignals.llm.scratch import Steps
 from jobsignals.llm.substring_dedup import substring_dedup
 from jobsignals.llm.suffix_dedup import longest_previous
@@ -139,6 +140,32 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     assert got == brute.near_vectors(rows)
 
 
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_different_words_of_regular_build_stay_different(spark, size):
+    a, b = texts.regular_words(size)
+    w = [f"w{k}" for k in range(13)]
+    rows = [(1, f"{a} {a} {a} {a}"), (2, f"{b} {b} {b} {b}"), (3, " ".join([*w[:6], a, *w[6:]])), (4, " ".join([*w[:6], b, *w[6:]])), (5, " ".join([*w[:7], *w[6:], a])),
+            (6, f"{a} x y z t u\n{b} x y z t u\n{' '.join(w)} {a} {a} q {b} {b}")]
+    # and sentences of regular build out of two words
+    rows += [(10 + k, " ".join(x)) for k, x in enumerate(texts.regular_words(size))]
+    df = spark.createDataFrame(rows, texts.SCHEMA)
+    assert hashed(substring_dedup(df)) == brute.substring_dedup(rows)
+    assert by_id(near_duplicates(df)) == brute.near_duplicates(rows)
+    assert by_id(line_dedup(df)) == brute.line_dedup(rows)
+    assert hashed(suffix_dedup.suffix_dedup(df)) == brute.suffix_dedup(rows)
+    assert by_id(quality_rules(df)) == {i: brute.quality(t) for i, t in rows}
+
+
+def test_vectors_at_the_threshold_are_linked(spark):
+    near = [19.0, 6.0, 1.0, 1.0, 1.0]
+    rows = []
+    for k in range(5):
+        place = np.roll(np.arange(5), k)
+        rows += [(10 * k, [float(x) for x in np.eye(5)[0][place]]), (10 * k + 1, [near[p] for p in place])]
+    got = by_id(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == brute.near_vectors(rows) and all(x[0] == 1 for x in got.values())
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, 7)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)]

@@ -79,7 +79,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     docs = {r[0]: r[1] for r in rows if brute.quality(r[1])[-1]}
     docs = {i: x[3] for i, x in brute.line_dedup(docs.items()).items() if not x[2]}
-    docs = {i: docs[i] for i, x in brute.near_duplicates(list(docs.items())).items() if x[2]}
+    docs = {i: docs[i] for i, x in brute.near_duplicates(list(docs.items()), 80).items() if x[2]}
     seen = brute.suffix_dedup(docs.items())
     left = [i for i, x in seen.items() if x[1] < x[0] or x[0] == 0]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -93,3 +93,26 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {r.bucket_tokens for r in got} == set(boundaries(list(lengths), list(lengths.values()), 16))
     stage = corpus_pipeline.STAGES[3][1](spark, df, str(tmp_path))
     assert stage.columns == df.columns
+
+
+def test_a_repeated_line_above_short_ones_costs_no_document(spark):
+    unique = [[f"w{i}x{k}" for k in range(40)] for i in range(3)]
+    rows = [(i, "the same long sentence here\n" + "\n".join(u)) for i, u in enumerate(unique)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, texts.SCHEMA).withColumn("n_chars", F.lit(1).cast("long")), "").collect()}
+    assert got == {0: rows[0][1]} | {i: "\n".join(unique[i]) for i in (1, 2)}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_with_repeated_ids_nulls_more_columns_and_no_rows(spark, name, stage):
+    schema = "kept string, text string, doc_id long, n_chars long, source string, gone map<string,int>"
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text + " b", 1, 1, "late", None), ("k", text + " a", 1, 1, "first", {"x": 1}), (None, "z", None, 1, "s", None), ("k", None, 2, 1, "null", None), (None, "x", 2, 1, "s", None),
+            (None, " ".join(f"q{k}" for k in range(60)), 3, 1, "s", None), (None, "", 4, 0, "s", None)]
+    df = spark.createDataFrame(rows, schema)
+    got = stage(spark, df, "")
+    found = {r.doc_id: r for r in got.collect()}
+    assert stage(spark, df.limit(0), "").collect() == []
+    if name != "packing":
+        assert got.columns == df.columns and got.count() == len(found)
+        assert (found[1].source, found[1].kept, found[1].gone) == ("first", "k", {"x": 1}) and found[1].text == text + " a"
+    assert set(found) == ({1, 3} if name == "quality" else {1, 2, 3, 4})

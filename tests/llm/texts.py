@@ -65,3 +65,9 @@ def lines(seed: int, n: int = 60) -> list[tuple[int, str | None]]:
             out.append(" ".join(w))
         rows.append((i, "\n".join(out) if r.random() < 0.95 else None))
     return rows
+
+
+def regular_words(size: int) -> tuple[str, str]:
+    """Two different words of regular build, for which polynomials modulo powers of two are equal."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
