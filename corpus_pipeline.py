@@ -18,43 +18,63 @@ from jobsignals.llm.suffix_dedup import suffix_dedup
 from jobsignals.queries.registry import Query, table
 
 
+# Similarity from which two documents count as near copies.
+NEAR = 0.8
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """Rows with an id, one for each: of several the one with the smallest text, null first."""
+    docs = docs.filter("doc_id is not null")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs
+    rest = F.struct(*[c for c in docs.columns if c != "doc_id"])
+    order = F.struct(F.col("text").isNotNull(), F.col("text"), F.to_json(rest))
+    return docs.groupBy("doc_id").agg(F.min_by(rest, order).alias("r")).select("doc_id", "r.*").select(*docs.columns)
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return _once(docs).join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """The documents of ``texts`` (doc_id, kept) with that text and its length."""
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    new = rest.join(texts.select("doc_id", F.col("kept").alias("text")), "doc_id")
+    new = _once(docs).drop("text", "n_chars").join(texts.select("doc_id", F.col("kept").alias("text")), "doc_id")
     return new.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+# In every stage rows without id go, and of rows with one id that with the smallest text counts (null
+# first); other columns go along with it. An empty table gives an empty one.
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts don't."""
     return _only(docs, quality_rules(docs).filter("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occur earlier; those left with fragments only go."""
+    """Documents without lines that occur earlier; those that lose their last word go.
+
+    Null and empty texts stay as they are.
+    """
     return _with_text(docs, line_dedup(docs).filter("not emptied"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return _only(docs, near_duplicates(docs).filter("kept"))
+    """One document of each group of near copies; null texts and those without words stay."""
+    return _only(docs, near_duplicates(docs, NEAR).filter("kept"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without byte strings that occur earlier; those left empty go.
 
-    A cut may go through a character; what is left of it goes too.
+    A cut may go through a character; what is left of it goes too. Null texts become empty.
     """
     return _with_text(docs, suffix_dedup(docs, as_text=True).filter("n_removed < n_bytes or n_bytes = 0"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in token-budget batches."""
-    return pack(docs)
+    """Pieces of the documents in token-budget batches; null and empty texts are a piece of one end mark."""
+    return pack(_once(docs))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("passages", passages), ("packing", packing)]
