@@ -1,9 +1,14 @@
-"""Byte-level BPE encoding of each distinct word once, and decoding by pieces.
+"""Byte-level BPE encoding of each distinct word once, and decoding by a join with the pieces.
 
-Text is split into words as the tokenizer's own pattern does; merges never cross words. Words
-are counted over all texts. The most frequent ones, at most ``FREQUENT``, are encoded and
-sent to all tasks; every other word is encoded once in a table of distinct words and joined back to
-the documents that have it. Ids then take the places of their words.
+Texts are split into words as the tokenizer's own pattern does; merges never cross words. A task splits
+each text once and keeps, for a batch of some megabytes of documents, the list of its distinct words and
+the texts as positions in this list. The words of all batches make one table of distinct words, in which
+every word is encoded once; its ids are joined back to the batches that have it, and take the places of the
+word there.
+
+Decoding joins every id with its piece. The table of pieces is the vocabulary, whose size is fixed; it is
+sent to all tasks, so that the rows of a document stay in their order and next to each other, and its text is
+the pieces one after another.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from .scratch import Steps
@@ -26,11 +32,15 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-# Words that are sent to all tasks, at most; each takes some 200 bytes in a Python worker.
-FREQUENT = 200_000
 ROWS_AT_ONCE = 500
+# Text that a batch of documents has, about; one longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 _SPLIT = regex.compile(PATTERN)
 
+_BATCHES = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_BATCH_COLUMNS = "batch long, doc_ids array<long>, sizes array<int>, places binary, words array<string>"
+
 
 def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, int]]:
     """The tokenizer, and the special tokens that it finds in a text, with their ids."""
@@ -60,25 +70,69 @@ def _ids(t: Tokenizer, words: list[str]) -> list[bytes]:
     return [np.array(e.ids, "<i4").tobytes() for e in t.encode_batch(words, add_special_tokens=False)]
 
 
-def frequent_words(docs: DataFrame, steps: Steps, most: int = FREQUENT) -> list[str]:
-    """Words that occur most often, at most ``most``: those above a count that few enough reach."""
-    counts = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("word")).groupBy("word").count().filter("count > 1")
-    counts = steps.write(counts, "counts")
-    # steps of an eighth of a power of two: a few hundred rows at most
-    levels = sorted(counts.groupBy(F.floor(F.log2("count") * 8).alias("level")).count().collect(), reverse=True)
-    room, least = most, None
-    for level, n in levels:
-        if n > room:
-            break
-        room, least = room - n, level
-    if least is None:
-        return []
-    words = [r[0] for r in counts.filter(F.floor(F.log2("count") * 8) >= least).select("word").collect()]
-    steps.remove("counts")
-    return words
-
-
-def encode(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
+class _Numbers(dict):
+    """Numbers words from 0 as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _batched(special: dict[str, int]):
+    """Batches of documents with their distinct words; the smallest doc_id names a batch."""
+
+    def run(batches):
+        cut, numbers, ids, sizes, places, size = _sections(special), _Numbers(), [], [], [], 0
+
+        def full():
+            at = np.concatenate(places)
+            at = at.astype("<u2" if len(numbers) <= 1 << 16 else "<i4")  # the reader knows by the length
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], f.type) for x, f in zip((min(ids), ids, sizes, at.tobytes(), list(numbers)), _BATCHES)], schema=_BATCHES
+            )
+
+        for batch in _parts(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                found = [w for s in cut(text) for w in ([s] if s in special else _SPLIT.findall(s))] if text else []
+                places.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+                ids.append(doc)
+                sizes.append(len(found))
+                size += len(text or "")
+                if size >= BATCH_BYTES:
+                    yield full()
+                    numbers, ids, sizes, places, size = _Numbers(), [], [], [], 0
+        if ids:
+            yield full()
+
+    return run
+
+
+def _put_in(batches):
+    """The ids of each word in its places."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sizes = batch.column("sizes")[k].values.to_numpy().astype(np.int64)
+            places = batch.column("places")[k].as_py()
+            places = np.frombuffer(places, "<u2" if len(places) == 2 * sizes.sum() else "<i4").astype(np.int64)
+            known = batch.column("known")[k].values
+            if known is None or not len(places):
+                lists = np.zeros(len(sizes), np.int64), np.zeros(0, np.int32)
+            else:
+                number, (data, begins) = known.field("number").to_numpy(), buffers(known.field("ids"))
+                data, begins = data.view("<i4"), begins // 4
+                at = np.empty(len(number), np.int64)
+                at[number] = np.arange(len(number))
+                at = at[places]
+                length = np.diff(begins)[at]
+                ends = np.concatenate([[0], np.cumsum(length)])
+                index = np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], length)
+                per = ends[np.cumsum(sizes)] - ends[np.cumsum(sizes) - sizes]
+                lists = per, data[index]
+            offsets = np.concatenate([[0], np.cumsum(lists[0])]).astype(np.int32)
+            yield table({"doc_id": batch.column("doc_ids")[k].values, "ids": pa.ListArray.from_arrays(offsets, pa.array(lists[1], pa.int32()))}, _IDS)
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``ids``, the token ids of the whole text without added special tokens.
 
     ``path`` is the file of a byte-level tokenizer; executors read it too. Special tokens that
@@ -87,56 +141,25 @@ def encode(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     table gives an empty result.
     """
     steps = Steps(docs.sparkSession)
-    docs = one_row_per_id(docs)
-    tokenizer, special = _tokenizer(path)
-    words = frequent_words(docs, steps, most)
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(words, _ids(tokenizer, words))))
-
-    def rare(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string())])
-        have, cut = known.value, _sections(special)
-        for batch in _parts(batches):
-            ids, out = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                new = {w for s in cut(text or "") if s not in special for w in _SPLIT.findall(s) if w not in have}
-                ids += [doc] * len(new)
-                out += new
-            yield table({"doc_id": ids, "word": out}, schema)
+    special = _tokenizer(path)[1]
 
     def encoded(batches):
         schema = pa.schema([("word", pa.string()), ("ids", pa.binary())])
         t = _tokenizer(path)[0]
-        for batch in batches:
+        for batch in _parts(batches, 4 * ROWS_AT_ONCE):
             yield table({"word": batch.column("word"), "ids": _ids(t, batch.column("word").to_pylist())}, schema)
 
-    def placed(batches):
-        have, cut = known.value, _sections(special)
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-        for batch in _parts(batches):
-            found = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist()):
-                own = {x["word"]: x["ids"] for x in own or ()}
-                out = []
-                for s in cut(text or ""):
-                    if s in special:
-                        out.append(special[s].to_bytes(4, "little"))
-                    else:
-                        out += [have.get(w) or own[w] for w in _SPLIT.findall(s)]
-                found.append(b"".join(out))
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield table({"doc_id": batch.column("doc_id"), "ids": lists}, schema)
-
-    places = steps.write(docs.mapInArrow(rare, "doc_id long, word string"), "places")
-    dictionary = steps.write(places.select("word").distinct().mapInArrow(encoded, "word string, ids binary"), "dictionary")
-    own = places.join(dictionary, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    own = steps.write(own, "own")
-    steps.remove("places", "dictionary")
-    return docs.join(own, "doc_id", "left").mapInArrow(placed, "doc_id long, ids array<int>")
-
-
-def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all pieces one after another, and where each id's begin (and the last ends)."""
+    split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split")
+    words = split.select("batch", F.posexplode("words").alias("number", "word"))
+    dictionary = steps.write(words.select("word").distinct().mapInArrow(encoded, "word string, ids binary"), "dictionary")
+    known = words.join(dictionary, "word").groupBy("batch").agg(F.collect_list(F.struct("number", "ids")).alias("known"))
+    known = steps.write(known, "known")
+    steps.remove("dictionary")
+    return split.select("batch", "doc_ids", "sizes", "places").join(known, "batch", "left").mapInArrow(_put_in, "doc_id long, ids array<int>")
+
+
+def pieces(path: str) -> list[tuple[int, bytes]]:
+    """Every id with its bytes; as many rows as the tokenizer has pieces."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     # the fixed letters that stand for bytes: printable ones for themselves, the rest from 256 on
@@ -145,31 +168,53 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
     by_id = {i: bytes(letter[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
     by_id |= {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
-    all_ = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-    return np.frombuffer(b"".join(all_), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in all_])])
+    return sorted(by_id.items())
+
+
+def _texts(schema: pa.Schema):
+    """Documents from rows of pieces; the first row of each has its columns in ``own``."""
+
+    def run(batches):
+        own: list[pa.StructArray] = []
+        parts: list[bytes] = []
+
+        def closed(rows: pa.StructArray, found: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array([x.decode("utf-8", "replace") for x in found], pa.string())], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("own")
+            data, begins = buffers(batch.column("piece"))
+            first = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            if not len(first):
+                parts.append(data.tobytes())
+                continue
+            edges = [*begins[first].tolist(), len(data)]
+            if own:  # the document of the batch before ends here
+                yield closed(own[0], [b"".join([*parts, data[: edges[0]].tobytes()])])
+            if len(first) > 1:
+                yield closed(column.take(pa.array(first[:-1])), [data[a:b].tobytes() for a, b in zip(edges[:-2], edges[1:-1])])
+            own, parts = [column.take(pa.array(first[-1:]))], [data[edges[-2] :].tobytes()]
+        if own:
+            yield closed(own[0], [b"".join(parts)])
+
+    return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """All columns of ``encoded``, and ``text``, the pieces of its ``ids`` put together.
+    """All columns of ``encoded`` but one named ``text``, and ``text``, the pieces of its ``ids`` together.
 
-    The pieces are a table of the vocabulary, whose size is fixed; each task looks ids up in it. Bytes
-    that are not UTF-8 become U+FFFD; null ids give an empty text, ids outside the vocabulary nothing.
+    Bytes that are not UTF-8 become U+FFFD; null ids give an empty text, ids outside the vocabulary
+    nothing. Each row is decoded for itself, with or without id. An empty table gives an empty result.
     """
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema) + ", text string"
-
-    def texts(batches):
-        data, begins = pieces(path)
-        for batch in _parts(batches):
-            lists = batch.column("ids")
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = np.where((ids >= 0) & (ids < len(begins) - 1), ids, -1)
-            lengths = np.where(ids >= 0, np.diff(begins)[ids], 0)
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            of = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            out = []
-            for a, b in zip(of, of[1:]):  # one document at a time: indices take eight bytes for each one
-                index = np.arange(ends[b] - ends[a]) + np.repeat(begins[ids[a:b]] - (ends[a:b] - ends[a]), lengths[a:b])
-                out.append(data[index].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "text"])
-
-    return encoded.mapInArrow(texts, spec)
+    spark, columns = encoded.sparkSession, [c for c in encoded.columns if c != "text"]
+    steps = Steps(spark)
+    vocabulary = steps.write(spark.createDataFrame(pieces(path), "id int, piece binary").coalesce(1), "pieces")
+    # a row for each id, in order; only the first one of a row carries its other columns
+    own = F.struct(*[F.col(f"r.{c}") for c in columns])
+    rows = encoded.select(F.struct(*columns).alias("r")).select("r", F.posexplode_outer("r.ids").alias("place", "id"))
+    rows = rows.select("id", F.when(F.coalesce("place", F.lit(0)) == 0, own).alias("own"))
+    joined = rows.join(F.broadcast(vocabulary), "id", "left").select("own", "piece")
+    out = encoded.select(*columns).withColumn("text", F.lit("x"))
+    return joined.mapInArrow(_texts(to_arrow_schema(out.schema)), out.schema)

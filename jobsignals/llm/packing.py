@@ -9,10 +9,11 @@ the token budget when all are padded to the bucket's boundary.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+from .scratch import Steps
+
 CONTEXT = 2048
 BUCKETS = 16
 BUDGET = 65_536
@@ -46,15 +47,11 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
-def token_length(text: str = "text") -> Column:
-    """Words and the mark that ends a document; a null text has only the mark."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long") + 1
-
-
-def pack(docs: DataFrame, length: Column | None = None, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(lengths: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row per piece: doc_id, piece, start, n_tokens, bucket_tokens, batch, slot.
 
-    ``length`` counts the tokens of a row, by default ``token_length``; it must be at least 1. Piece
+    ``lengths`` has doc_id and ``length``, the tokens of a text. A mark that ends the document follows
+    them, so that no document is empty; a null length counts as 0. Piece
     p of a document starts at token p * ``context``. ``batch`` numbers the batches of the bucket
     ``bucket_tokens`` from 0, ``slot`` the pieces in a batch; only the last batch of a bucket is not
     full. Every row of the input is packed, rows with equal or null ids like any others. An empty
@@ -62,11 +59,12 @@ def pack(docs: DataFrame, length: Column | None = None, context: int = CONTEXT,
     """
     if budget < context:
         raise ValueError("the token budget must hold one full context")
-    size = token_length() if length is None else length
-    rows = docs.select("doc_id", size.alias("size"))
+    # rows are numbered, so that those without id or with one id are dealt out like others
+    size = (F.coalesce(F.col("length"), F.lit(0)) + 1).cast("long").alias("size")
+    rows = Steps(lengths.sparkSession).write(lengths.select("doc_id", size, F.monotonically_increasing_id().alias("row")), "lengths")
     last = ((F.col("size") - 1) / context).cast("long")
-    pieces = rows.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-        "doc_id", "piece", (F.col("piece") * context).alias("start"), F.least(F.lit(context).cast("long"), F.col("size") - F.col("piece") * context).alias("n_tokens")
+    pieces = rows.select("doc_id", "row", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
+        "doc_id", "row", "piece", (F.col("piece") * context).alias("start"), F.least(F.lit(context).cast("long"), F.col("size") - F.col("piece") * context).alias("n_tokens")
     )
     histogram = pieces.groupBy("n_tokens").count().collect()  # at most ``context`` rows
     lengths, counts = (np.array([r[k] for r in histogram], np.int64) for k in (0, 1))
@@ -80,11 +78,11 @@ def pack(docs: DataFrame, length: Column | None = None, context: int = CONTEXT,
     def of_bucket(values):
         return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
 
-    lot = F.xxhash64("doc_id", "piece")
+    lot = F.xxhash64("row", "piece")
     dealt = pieces.withColumn("bucket", number).withColumn("part", F.pmod(lot, of_bucket(groups)))
     earlier = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("bucket", "part").count().select("bucket", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("bucket", "part").orderBy(lot, "doc_id", "piece", "n_tokens")
+    inside = Window.partitionBy("bucket", "part").orderBy(lot, "row", "piece")
     ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["bucket", "part"])
     rank = F.col("rank") + F.col("before")
     per_batch = of_bucket([budget // b for b in bounds])
@@ -92,3 +90,13 @@ def pack(docs: DataFrame, length: Column | None = None, context: int = CONTEXT,
         "doc_id", "piece", "start", "n_tokens", of_bucket(bounds).alias("bucket_tokens"),
         F.floor(rank / per_batch).cast("long").alias("batch"), F.pmod(rank, per_batch).alias("slot"),
     )
+
+
+def packed_tokens(packed: DataFrame, encoded: DataFrame, end: int) -> DataFrame:
+    """``packed`` with ``tokens``, the ids of each piece; ``encoded`` has doc_id, once, and ``ids``.
+
+    ``end`` is the id of the mark that ends a document. A document without ids has the mark only.
+    """
+    ids = encoded.select("doc_id", F.concat(F.coalesce("ids", F.array().cast("array<int>")), F.array(F.lit(end))).alias("ids"))
+    joined = packed.join(ids, "doc_id")
+    return joined.withColumn("tokens", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int"))).drop("ids")

@@ -52,7 +52,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op1_packing")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(table(spark, sf, "documents"))
+    return pack(encoded_lengths(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 @query("op4_quality_rules", sql.QUALITY)

@@ -1,9 +1,11 @@
 """Empty tables, clashing columns, missing and repeated ids, and the pipeline."""
 
 import brute
+import public_tokenizers
 import pytest
 import texts
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from jobsignals.llm import queries
@@ -18,8 +20,11 @@ from jobsignals.llm.resampling import importance_resample
 from jobsignals.llm.sharding import equal_text_links, shard
 from jobsignals.llm.substring_dedup import substring_dedup
 from jobsignals.llm.suffix_dedup import suffix_dedup
+from jobsignals.llm.token_counts import context_limits, encoded_lengths, quantiles
 from test_others import BPE
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 CLASH = ("key", "salt", "n", "lo", "units", "spans", "runs", "rows", "total", "count", "value", "root", "size", "shard", "label", "part", "kept", "ids", "own", "word", "gone", "line")
 
 OPERATORS = {
@@ -29,7 +34,8 @@ OPERATORS = {
     "lines": line_dedup,
     "quality": quality_rules,
     "encode": lambda d: encode(d, BPE),
-    "pack": pack,
+    "pack": lambda d: pack(encoded_lengths(d, RANKS)),
+    "lengths": lambda d: encoded_lengths(d, RANKS),
     "score": lambda d: score_quality(d, d.sparkSession.createDataFrame([(1, 0), (2, 1), (3, 0), (5, 1)], "doc_id long, quality int")),
     "resample": lambda d: importance_resample(d, d.sparkSession.createDataFrame([("a b",)], "text string")),
     "shard": lambda d: shard(d, equal_text_links(d)),
@@ -51,7 +57,7 @@ def test_other_columns_and_their_names_do_not_matter(spark, name):
     assert left == right
 
 
-@pytest.mark.parametrize("name", [n for n in OPERATORS if n not in ("pack", "shard")])
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n != "shard"])
 def test_rows_without_id_go_and_repeated_ids_count_once(spark, name):
     rows = [(1, "a b c d e f g h i j k l m n o p"), (1, "a a"), (2, None), (2, "z"), (None, "q"), (3, "x"), (3, "x")]
     got = OPERATORS[name](spark.createDataFrame(rows, texts.SCHEMA)).collect()
@@ -86,7 +92,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {r.doc_id for r in got} == set(left)
     untouched = {i for i in left if seen[i][1] == 0}
     size = {i: sum(r.n_tokens for r in got if r.doc_id == i) for i in left}
-    assert untouched and all(size[i] == len(brute.words(docs[i])) + 1 for i in untouched)
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    assert untouched and all(size[i] == len(t.encode(docs[i], add_special_tokens=False).ids) + 1 for i in untouched)
     lengths = {}
     for r in got:
         lengths[r.n_tokens] = lengths.get(r.n_tokens, 0) + 1
@@ -116,3 +124,11 @@ def test_stages_with_repeated_ids_nulls_more_columns_and_no_rows(spark, name, st
         assert got.columns == df.columns and got.count() == len(found)
         assert (found[1].source, found[1].kept, found[1].gone) == ("first", "k", {"x": 1}) and found[1].text == text + " a"
     assert set(found) == ({1, 3} if name == "quality" else {1, 2, 3, 4})
+
+
+def test_limits_of_other_columns_repeated_lengths_and_no_rows(spark):
+    lengths = spark.createDataFrame([(7, "x", 4), (8, "x", 4), (9, "x", 2)], "band long, docs string, length long")
+    plain = context_limits(lengths.select("length"))
+    assert sorted(map(tuple, context_limits(lengths).collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 2
+    nothing = quantiles(context_limits(lengths.limit(0)), [0.5, 1.0]).collect()
+    assert [tuple(r) for r in nothing] == [(0.5, None), (1.0, None)]

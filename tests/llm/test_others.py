@@ -13,8 +13,8 @@ import texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from jobsignals.llm import bpe, quality, sharding
-from jobsignals.llm.packing import boundaries, pack
+from jobsignals.llm import bpe, packing, quality, sharding
+from jobsignals.llm.packing import boundaries, pack, packed_tokens
 from jobsignals.llm.quality import quality_rules
 from jobsignals.llm.sharding import equal_text_links, shard
 from jobsignals.llm.token_counts import BAND, context_limits, encoded_lengths, quantiles, truncated_total
@@ -44,12 +44,12 @@ def test_longest_repeats_equal_definition():
         assert list(quality.longest_repeats(s, row)) == want
 
 
-@pytest.mark.parametrize("most", [200_000, 3, 0])
-def test_encoding_equals_the_tokenizer_and_decodes_back(spark, most):
-    r = random.Random(most)
+@pytest.mark.parametrize("seed, parts", [(1, 1), (2, 7)])
+def test_encoding_equals_the_tokenizer_and_decodes_back(spark, seed, parts):
+    r = random.Random(seed)
     bits = ["a", "B", " ", "  ", "\n", "'s", "'ll", "é", "日本", "1", "２", "!", "\xa0", "\x1c", "\x85", "<|endoftext|>", "<|endo", "😀", "é", "\x00"]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(15)))) for i in range(300)] + [(900, None), (901, ""), (902, "the word " * 5000)]
-    encoded = bpe.encode(spark.createDataFrame(rows, texts.SCHEMA), BPE, most)
+    encoded = bpe.encode(spark.createDataFrame(rows, texts.SCHEMA).repartition(parts), BPE)
     got = {x.doc_id: (list(x.ids), x.text) for x in bpe.decode(encoded, BPE).collect()}
     t = Tokenizer.from_file(BPE)
     ids = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in rows}
@@ -57,8 +57,21 @@ def test_encoding_equals_the_tokenizer_and_decodes_back(spark, most):
 
 
 def test_decoding_odd_ids(spark):
-    df = spark.createDataFrame([(1, [50256, -1, 99999]), (2, None), (3, [])], "doc_id long, ids array<int>")
-    assert {r.doc_id: r.text for r in bpe.decode(df, BPE).collect()} == {1: "<|endoftext|>", 2: "", 3: ""}
+    rows = [(1, [50256, -1, 99999], "a"), (2, None, "b"), (3, [], None), (None, [None, 64], "d"), (None, [64] * 25_000, "e"), (4, [159, 246], "f")]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, text string").withColumn("id", F.lit(7)).withColumn("piece", F.lit("p")).withColumn("own", F.col("ids"))
+    got = bpe.decode(df, BPE)
+    assert got.columns == ["doc_id", "ids", "id", "piece", "own", "text"] and got.filter("id = 7 and piece = 'p' and ids <=> own").count() == len(rows)
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    one = Tokenizer.from_file(BPE).decode([64], skip_special_tokens=False)
+    assert sorted(found, key=str) == sorted([(1, "<|endoftext|>"), (2, ""), (3, ""), (None, one), (None, one * 25_000), (4, Tokenizer.from_file(BPE).decode([159, 246]))], key=str)
+    assert bpe.decode(df.limit(0), BPE).collect() == []
+
+
+def test_batches_of_many_words(spark):
+    rows = [(i, " ".join(f"{chr(0x4E00 + (i * 7919 + k) % 20000)}{chr(0x4E00 + k % 211)}" for k in range(3000))) for i in range(60)]
+    t = Tokenizer.from_file(BPE)
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(spark.createDataFrame(rows, texts.SCHEMA).coalesce(1), BPE).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
 
 
 def test_boundaries_are_the_best_ones():
@@ -78,7 +91,8 @@ def test_boundaries_are_the_best_ones():
 
 def test_packing_holds_every_token_once(spark):
     rows = texts.passages(4) + [(None, "a b c"), (7, "a"), (7, "a")]
-    got = pack(spark.createDataFrame(rows, texts.SCHEMA), context=50, buckets=4, budget=200).collect()
+    lengths = spark.createDataFrame([(i, len(brute.words(t)) if t else None) for i, t in rows], "doc_id long, length long")
+    got = pack(lengths, context=50, buckets=4, budget=200).collect()
     want = Counter()
     for i, t in rows:
         n = len(brute.words(t)) + 1
@@ -94,6 +108,25 @@ def test_packing_holds_every_token_once(spark):
     assert {s for s, _ in batches} == set(boundaries(*map(np.array, zip(*Counter(r.n_tokens for r in got).items())), 4))
 
 
+def test_pieces_of_tokens_make_the_documents_again(spark):
+    df = spark.createDataFrame(texts.passages(5), texts.SCHEMA)
+    encoded = bpe.encode(df, BPE)
+    packed = pack(encoded_lengths(df, public_tokenizers.path("byte_bpe_50k.tiktoken")), context=40, budget=200)
+    found = defaultdict(list)
+    for r in packed_tokens(packed, encoded, 50256).orderBy("doc_id", "piece").collect():
+        assert r.n_tokens == len(r.tokens) <= r.bucket_tokens
+        found[r.doc_id] += r.tokens
+    t = Tokenizer.from_file(BPE)
+    assert found == {i: [*t.encode(x or "", add_special_tokens=False).ids, 50256] for i, x in texts.passages(5)}
+
+
+def test_rows_without_id_are_dealt_out_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_GROUP", 50)
+    lengths = spark.createDataFrame([(None, 5)] * 2000, "doc_id long, length long")
+    plan = pack(lengths, context=8, budget=16)
+    assert sorted((r.batch, r.slot) for r in plan.collect()) == [(k // 2, k % 2) for k in range(2000)]
+
+
 def test_shards_are_even_and_links_stay(spark):
     rows = [(i, f"text {i % 400}" if i % 3 else f"own {i}") for i in range(2000)] + [(3000, None), (3001, ""), (None, "x"), (None, "x"), (5, "again")]
     df = spark.createDataFrame(rows, texts.SCHEMA)
