@@ -6,6 +6,7 @@ documents with the same columns.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from jobsignals.llm.packing import pack
 from jobsignals.llm.quality import quality_rules
 from jobsignals.llm.scratch import Steps
 from jobsignals.llm.suffix_dedup import suffix_dedup
+from jobsignals.llm.token_counts import encoded_lengths
 from jobsignals.queries.registry import Query, table
 
 
@@ -74,7 +76,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in token-budget batches; null and empty texts are a piece of one end mark."""
-    return pack(_once(docs))
+    return pack(encoded_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("passages", passages), ("packing", packing)]
