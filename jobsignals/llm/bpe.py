@@ -2,9 +2,9 @@
 
 Texts are split into words as the tokenizer's own pattern does; merges never cross words. A task splits
 each text once and keeps, for a batch of some megabytes of documents, the list of its distinct words and
-the texts as positions in this list. The words of all batches make one table of distinct words, in which
-every word is encoded once; its ids are joined back to the batches that have it, and take the places of the
-word there.
+the texts as positions in this list. The lists of all batches are partitioned and sorted by word, so that every
+distinct word is encoded once; its ids are joined back to the batches that have it, and take the places of the
+word there. A word comes at most once in a batch, and its rows are read as a stream, so that none is too frequent.
 
 Decoding joins every id with its piece. The table of pieces is the vocabulary, whose size is fixed; it is
 sent to all tasks, so that the rows of a document stay in their order and next to each other, and its text is
@@ -14,13 +14,16 @@ the pieces one after another.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 from tokenizers import Tokenizer
 
 from .scratch import Steps
@@ -35,9 +38,16 @@ PATTERN = (
 ROWS_AT_ONCE = 500
 # Text that a batch of documents has, about; one longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
+# Words that a task encodes before it sends them back to their batches.
+WORDS_AT_ONCE = 500_000
+# Rows of ids that are handed on at once.
+UNROLLED = 100_000
 _SPLIT = regex.compile(PATTERN)
+# The same pattern for texts of ASCII alone, which most are; it is twice as fast.
+_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 _BATCHES = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
+_KNOWN = pa.schema([("batch", pa.int64()), ("numbers", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _BATCH_COLUMNS = "batch long, doc_ids array<long>, sizes array<int>, places binary, words array<string>"
 
@@ -93,7 +103,8 @@ def _batched(special: dict[str, int]):
 
         for batch in _parts(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = [w for s in cut(text) for w in ([s] if s in special else _SPLIT.findall(s))] if text else []
+                findall = (_SPLIT_ASCII if text is None or text.isascii() else _SPLIT).findall
+                found = [w for s in cut(text) for w in ([s] if s in special else findall(s))] if text else []
                 places.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
                 ids.append(doc)
                 sizes.append(len(found))
@@ -107,6 +118,47 @@ def _batched(special: dict[str, int]):
     return run
 
 
+def _encoded(path: str):
+    """The ids of words that come in order, each distinct word encoded once, packed by batch."""
+
+    def packed(held) -> pa.RecordBatch:
+        batch, number, size = (np.concatenate([h[k] for h in held]) for k in range(3))
+        ids = np.frombuffer(b"".join(h[3] for h in held), "<i4")
+        order = np.argsort(batch, kind="stable")
+        begins = np.cumsum(size) - size
+        size, number, batch = size[order], number[order], batch[order]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = ids[np.arange(ends[-1]) + np.repeat(begins[order] - ends[:-1], size)]
+        first = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))
+        rows, cuts = np.append(first, len(batch)).astype(np.int32), ends[np.append(first, len(batch))]
+        lists = [pa.ListArray.from_arrays(rows, pa.array(x.astype(np.int32))) for x in (number, size)]
+        each = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return table({"batch": batch[first], "numbers": lists[0], "sizes": lists[1], "ids": pa.array(each, pa.binary())}, _KNOWN)
+
+    def run(batches):
+        t, held, rows, last, last_ids = _tokenizer(path)[0], [], 0, None, b""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column("word")
+            coded = words.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            known = distinct[0] == last
+            ids = ([last_ids] if known else []) + _ids(t, distinct[known:])
+            last, last_ids = distinct[-1], ids[-1]
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            size = np.array([len(x) // 4 for x in ids], np.int64)[at]
+            held.append((batch.column("batch").to_numpy(), batch.column("number").to_numpy(), size, b"".join([ids[k] for k in at.tolist()])))
+            rows += batch.num_rows
+            if rows >= WORDS_AT_ONCE:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
 def _put_in(batches):
     """The ids of each word in its places."""
     for batch in batches:
@@ -118,8 +170,8 @@ def _put_in(batches):
             if known is None or not len(places):
                 lists = np.zeros(len(sizes), np.int64), np.zeros(0, np.int32)
             else:
-                number, (data, begins) = known.field("number").to_numpy(), buffers(known.field("ids"))
-                data, begins = data.view("<i4"), begins // 4
+                number, each = (known.field(c).flatten().to_numpy().astype(np.int64) for c in ("numbers", "sizes"))
+                data, begins = buffers(known.field("ids"))[0].view("<i4"), np.concatenate([[0], np.cumsum(each)])
                 at = np.empty(len(number), np.int64)
                 at[number] = np.arange(len(number))
                 at = at[places]
@@ -143,18 +195,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     steps = Steps(docs.sparkSession)
     special = _tokenizer(path)[1]
 
-    def encoded(batches):
-        schema = pa.schema([("word", pa.string()), ("ids", pa.binary())])
-        t = _tokenizer(path)[0]
-        for batch in _parts(batches, 4 * ROWS_AT_ONCE):
-            yield table({"word": batch.column("word"), "ids": _ids(t, batch.column("word").to_pylist())}, schema)
-
     split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split")
-    words = split.select("batch", F.posexplode("words").alias("number", "word"))
-    dictionary = steps.write(words.select("word").distinct().mapInArrow(encoded, "word string, ids binary"), "dictionary")
-    known = words.join(dictionary, "word").groupBy("batch").agg(F.collect_list(F.struct("number", "ids")).alias("known"))
-    known = steps.write(known, "known")
-    steps.remove("dictionary")
+    words = split.select("batch", F.posexplode("words").alias("number", "word")).repartition("word").sortWithinPartitions("word")
+    known = steps.write(words.mapInArrow(_encoded(path), "batch long, numbers array<int>, sizes array<int>, ids binary"), "known")
+    known = known.groupBy("batch").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("known"))
     return split.select("batch", "doc_ids", "sizes", "places").join(known, "batch", "left").mapInArrow(_put_in, "doc_id long, ids array<int>")
 
 
@@ -171,6 +215,28 @@ def pieces(path: str) -> list[tuple[int, bytes]]:
     return sorted(by_id.items())
 
 
+def _unrolled(schema: pa.Schema):
+    """A row for each id, in order; only the first one of a document carries its columns."""
+
+    def run(batches):
+        for batch in _parts(batches):
+            lists, rows = batch.column("ids"), np.arange(batch.num_rows)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begins = np.cumsum(np.maximum(size, 1)) - np.maximum(size, 1)  # a document without ids has a row, too
+            total = int(np.maximum(size, 1).sum())
+            flat = np.full(total, -1)
+            place = np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            flat[place] = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            first = np.full(total, -1)
+            first[begins] = rows
+            own = pa.StructArray.from_arrays(batch.columns, fields=list(schema.field("own").type))
+            for a in range(0, total, UNROLLED):
+                some = first[a : a + UNROLLED]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[a : a + UNROLLED], pa.int32(), mask=flat[a : a + UNROLLED] < 0), own.take(pa.array(some, mask=some < 0))], schema=schema)
+
+    return run
+
+
 def _texts(schema: pa.Schema):
     """Documents from rows of pieces; the first row of each has its columns in ``own``."""
 
@@ -211,10 +277,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spark, columns = encoded.sparkSession, [c for c in encoded.columns if c != "text"]
     steps = Steps(spark)
     vocabulary = steps.write(spark.createDataFrame(pieces(path), "id int, piece binary").coalesce(1), "pieces")
-    # a row for each id, in order; only the first one of a row carries its other columns
-    own = F.struct(*[F.col(f"r.{c}") for c in columns])
-    rows = encoded.select(F.struct(*columns).alias("r")).select("r", F.posexplode_outer("r.ids").alias("place", "id"))
-    rows = rows.select("id", F.when(F.coalesce("place", F.lit(0)) == 0, own).alias("own"))
+    schema = StructType([StructField("id", IntegerType()), StructField("own", encoded.select(*columns).schema)])
+    rows = encoded.select(*columns).mapInArrow(_unrolled(to_arrow_schema(schema)), schema)
     joined = rows.join(F.broadcast(vocabulary), "id", "left").select("own", "piece")
     out = encoded.select(*columns).withColumn("text", F.lit("x"))
     return joined.mapInArrow(_texts(to_arrow_schema(out.schema)), out.schema)
