@@ -2,13 +2,13 @@
 
 Texts are split into words as the tokenizer's own pattern does; merges never cross words. A task splits
 each text once and keeps, for a batch of some megabytes of documents, the list of its distinct words and
-the texts as positions in this list. The lists of all batches are partitioned and sorted by word, so that every
-distinct word is encoded once; its ids are joined back to the batches that have it, and take the places of the
-word there. A word comes at most once in a batch, and its rows are read as a stream, so that none is too frequent.
+the texts as positions in this list. Words are dealt out by hash; a task sees all lists of one share of the
+words one after another, and encodes every distinct word once. The ids are joined back to the batches that have the
+word, and take its places there. A word comes at most once in a batch, so that none is too frequent.
 
-Decoding joins every id with its piece. The table of pieces is the vocabulary, whose size is fixed; it is
-sent to all tasks, so that the rows of a document stay in their order and next to each other, and its text is
-the pieces one after another.
+Decoding joins the distinct ids of a batch of documents with their pieces. The table of pieces is the vocabulary,
+whose size is fixed; it is sent to all tasks, so that the rows of a batch stay in their order and next to each
+other, and the pieces take the places of their ids.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, StructField, StructType
 from tokenizers import Tokenizer
 
 from .scratch import Steps
@@ -38,18 +38,22 @@ PATTERN = (
 ROWS_AT_ONCE = 500
 # Text that a batch of documents has, about; one longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
-# Words that a task encodes before it sends them back to their batches.
-WORDS_AT_ONCE = 500_000
-# Rows of ids that are handed on at once.
-UNROLLED = 100_000
+# Shares of the words; a task holds the distinct words of one of them.
+SHARES = 2048
+# Documents that are decoded together, at most.
+DECODED_AT_ONCE = 2_000
 _SPLIT = regex.compile(PATTERN)
 # The same pattern for texts of ASCII alone, which most are; it is twice as fast.
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
-_BATCHES = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
-_KNOWN = pa.schema([("batch", pa.int64()), ("numbers", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary())])
+# Rows without share are a batch's documents, the others its words of one share, from number ``first`` on.
+_BATCHES = pa.schema(
+    [("share", pa.int32()), ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()),
+     ("first", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary())]
+)
+_KNOWN = pa.schema([("batch", pa.int64()), ("first", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-_BATCH_COLUMNS = "batch long, doc_ids array<long>, sizes array<int>, places binary, words array<string>"
+_BATCH_COLUMNS = "share int, batch long, doc_ids array<long>, sizes array<int>, places binary, first int, words binary, lengths binary"
 
 
 def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, int]]:
@@ -95,11 +99,23 @@ def _batched(special: dict[str, int]):
         cut, numbers, ids, sizes, places, size = _sections(special), _Numbers(), [], [], [], 0
 
         def full():
-            at = np.concatenate(places)
-            at = at.astype("<u2" if len(numbers) <= 1 << 16 else "<i4")  # the reader knows by the length
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], f.type) for x, f in zip((min(ids), ids, sizes, at.tobytes(), list(numbers)), _BATCHES)], schema=_BATCHES
-            )
+            words = [w.encode() for w in numbers]
+            share = np.array([xxhash.xxh3_64_intdigest(w) % SHARES for w in words], np.int32)
+            order = np.argsort(share, kind="stable")
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(len(words))
+            at = number[np.concatenate(places)]
+            at = at.astype("<u2" if len(words) <= 1 << 16 else "<i4")  # the reader knows by the length
+            length = np.array([len(w) for w in words], "<i4")[order]
+            text, ends = b"".join([words[k] for k in order.tolist()]), np.concatenate([[0], np.cumsum(length)])
+            first = np.flatnonzero(np.diff(share[order], prepend=-1))
+            cuts, n = [*first.tolist(), len(words)], len(first)
+            columns = {
+                "share": [None, *share[order][first].tolist()], "batch": [min(ids)] * (n + 1), "doc_ids": [ids] + [None] * n, "sizes": [sizes] + [None] * n,
+                "places": [at.tobytes()] + [None] * n, "first": [None, *cuts[:-1]],
+                "words": [None, *(text[ends[a] : ends[b]] for a, b in zip(cuts[:-1], cuts[1:]))], "lengths": [None, *(length[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:]))],
+            }
+            return table(columns, _BATCHES)
 
         for batch in _parts(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -119,42 +135,28 @@ def _batched(special: dict[str, int]):
 
 
 def _encoded(path: str):
-    """The ids of words that come in order, each distinct word encoded once, packed by batch."""
-
-    def packed(held) -> pa.RecordBatch:
-        batch, number, size = (np.concatenate([h[k] for h in held]) for k in range(3))
-        ids = np.frombuffer(b"".join(h[3] for h in held), "<i4")
-        order = np.argsort(batch, kind="stable")
-        begins = np.cumsum(size) - size
-        size, number, batch = size[order], number[order], batch[order]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = ids[np.arange(ends[-1]) + np.repeat(begins[order] - ends[:-1], size)]
-        first = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))
-        rows, cuts = np.append(first, len(batch)).astype(np.int32), ends[np.append(first, len(batch))]
-        lists = [pa.ListArray.from_arrays(rows, pa.array(x.astype(np.int32))) for x in (number, size)]
-        each = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        return table({"batch": batch[first], "numbers": lists[0], "sizes": lists[1], "ids": pa.array(each, pa.binary())}, _KNOWN)
+    """The ids of the words of each row; rows of one share come together, and its words are encoded once."""
 
     def run(batches):
-        t, held, rows, last, last_ids = _tokenizer(path)[0], [], 0, None, b""
+        t, known, share = _tokenizer(path)[0], {}, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column("word")
-            coded = words.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            known = distinct[0] == last
-            ids = ([last_ids] if known else []) + _ids(t, distinct[known:])
-            last, last_ids = distinct[-1], ids[-1]
-            at = coded.indices.to_numpy(zero_copy_only=False)
-            size = np.array([len(x) // 4 for x in ids], np.int64)[at]
-            held.append((batch.column("batch").to_numpy(), batch.column("number").to_numpy(), size, b"".join([ids[k] for k in at.tolist()])))
-            rows += batch.num_rows
-            if rows >= WORDS_AT_ONCE:
-                yield packed(held)
-                held, rows = [], 0
-        if held:
-            yield packed(held)
+            shares = batch.column("share").to_numpy()
+            words = []
+            for text, length in zip(batch.column("words").to_pylist(), batch.column("lengths").to_pylist()):
+                ends = [0, *np.cumsum(np.frombuffer(length, "<i4")).tolist()]
+                words.append([text[a:b] for a, b in zip(ends, ends[1:])])
+            sizes, ids = [], []
+            cuts = [*np.flatnonzero(np.diff(shares, prepend=-1)).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if shares[a] != share:
+                    known, share = {}, shares[a]
+                new = list(dict.fromkeys(w for row in words[a:b] for w in row if w not in known))
+                known.update(zip(new, _ids(t, [w.decode() for w in new])))
+                for row in words[a:b]:
+                    found = [known[w] for w in row]
+                    sizes.append(np.array([len(x) // 4 for x in found], "<i4").tobytes())
+                    ids.append(b"".join(found))
+            yield table({"batch": batch.column("batch"), "first": batch.column("first"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())}, _KNOWN)
 
     return run
 
@@ -170,14 +172,11 @@ def _put_in(batches):
             if known is None or not len(places):
                 lists = np.zeros(len(sizes), np.int64), np.zeros(0, np.int32)
             else:
-                number, each = (known.field(c).flatten().to_numpy().astype(np.int64) for c in ("numbers", "sizes"))
-                data, begins = buffers(known.field("ids"))[0].view("<i4"), np.concatenate([[0], np.cumsum(each)])
-                at = np.empty(len(number), np.int64)
-                at[number] = np.arange(len(number))
-                at = at[places]
-                length = np.diff(begins)[at]
+                order = pa.array(np.argsort(known.field("first").to_numpy()))
+                each, data = (buffers(known.field(c).take(order))[0].view("<i4") for c in ("sizes", "ids"))
+                length = each.astype(np.int64)[places]
                 ends = np.concatenate([[0], np.cumsum(length)])
-                index = np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], length)
+                index = np.arange(ends[-1]) + np.repeat((np.cumsum(each) - each)[places] - ends[:-1], length)
                 per = ends[np.cumsum(sizes)] - ends[np.cumsum(sizes) - sizes]
                 lists = per, data[index]
             offsets = np.concatenate([[0], np.cumsum(lists[0])]).astype(np.int32)
@@ -196,10 +195,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     special = _tokenizer(path)[1]
 
     split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split")
-    words = split.select("batch", F.posexplode("words").alias("number", "word")).repartition("word").sortWithinPartitions("word")
-    known = steps.write(words.mapInArrow(_encoded(path), "batch long, numbers array<int>, sizes array<int>, ids binary"), "known")
-    known = known.groupBy("batch").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("known"))
-    return split.select("batch", "doc_ids", "sizes", "places").join(known, "batch", "left").mapInArrow(_put_in, "doc_id long, ids array<int>")
+    words = split.filter("share is not null").select("share", "batch", "first", "words", "lengths").repartition("share").sortWithinPartitions("share")
+    known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known")
+    known = known.groupBy("batch").agg(F.collect_list(F.struct("first", "sizes", "ids")).alias("known"))
+    texts = split.filter("share is null").select("batch", "doc_ids", "sizes", "places")
+    return texts.join(known, "batch", "left").mapInArrow(_put_in, "doc_id long, ids array<int>")
 
 
 def pieces(path: str) -> list[tuple[int, bytes]]:
@@ -215,55 +215,51 @@ def pieces(path: str) -> list[tuple[int, bytes]]:
     return sorted(by_id.items())
 
 
-def _unrolled(schema: pa.Schema):
-    """A row for each id, in order; only the first one of a document carries its columns."""
+_ROWS = pa.schema([("id", pa.int32()), ("own", pa.binary())])
 
-    def run(batches):
-        for batch in _parts(batches):
-            lists, rows = batch.column("ids"), np.arange(batch.num_rows)
-            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            begins = np.cumsum(np.maximum(size, 1)) - np.maximum(size, 1)  # a document without ids has a row, too
-            total = int(np.maximum(size, 1).sum())
-            flat = np.full(total, -1)
-            place = np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            flat[place] = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
-            first = np.full(total, -1)
-            first[begins] = rows
-            own = pa.StructArray.from_arrays(batch.columns, fields=list(schema.field("own").type))
-            for a in range(0, total, UNROLLED):
-                some = first[a : a + UNROLLED]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[a : a + UNROLLED], pa.int32(), mask=flat[a : a + UNROLLED] < 0), own.take(pa.array(some, mask=some < 0))], schema=schema)
 
-    return run
+def _unrolled(batches):
+    """A row for each distinct id of some documents; the first one carries the documents, as the bytes of a batch
+    that has the places of the ids as one more column."""
+    for batch in _parts(batches, DECODED_AT_ONCE):
+        if not batch.num_rows:
+            continue
+        lists = batch.column("ids")
+        known, places = np.unique(pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), return_inverse=True)
+        known = known if len(known) else np.array([-1])  # no piece has this id
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        places = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(places.astype(np.int32)))
+        rows = pa.RecordBatch.from_arrays([*batch.columns, places], names=[*batch.schema.names, ""])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_batch(rows)
+        yield table({"id": known, "own": pa.array([sink.getvalue().to_pybytes()] + [None] * (len(known) - 1), pa.binary())}, _ROWS)
 
 
 def _texts(schema: pa.Schema):
-    """Documents from rows of pieces; the first row of each has its columns in ``own``."""
+    """Documents and their texts, from the rows of their pieces."""
 
     def run(batches):
-        own: list[pa.StructArray] = []
-        parts: list[bytes] = []
+        own, pieces = None, []
 
-        def closed(rows: pa.StructArray, found: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array([x.decode("utf-8", "replace") for x in found], pa.string())], schema=schema)
+        def closed():
+            rows = pa.ipc.open_stream(own).read_next_batch()
+            places = rows.columns[-1]
+            at, ends = places.values.to_numpy().tolist(), places.offsets.to_numpy().tolist()
+            texts = [b"".join([pieces[k] for k in at[a:b]]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+            return pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], schema=schema)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column("own")
-            data, begins = buffers(batch.column("piece"))
-            first = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            if not len(first):
-                parts.append(data.tobytes())
-                continue
-            edges = [*begins[first].tolist(), len(data)]
-            if own:  # the document of the batch before ends here
-                yield closed(own[0], [b"".join([*parts, data[: edges[0]].tobytes()])])
-            if len(first) > 1:
-                yield closed(column.take(pa.array(first[:-1])), [data[a:b].tobytes() for a, b in zip(edges[:-2], edges[1:-1])])
-            own, parts = [column.take(pa.array(first[-1:]))], [data[edges[-2] :].tobytes()]
-        if own:
-            yield closed(own[0], [b"".join(parts)])
+            column, found = batch.column("own"), [x or b"" for x in batch.column("piece").to_pylist()]
+            before = 0
+            for k in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                pieces += found[before:k]
+                if own is not None:
+                    yield closed()
+                own, pieces, before = column[k].as_py(), [], k
+            pieces += found[before:]
+        if own is not None:
+            yield closed()
 
     return run
 
@@ -277,8 +273,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spark, columns = encoded.sparkSession, [c for c in encoded.columns if c != "text"]
     steps = Steps(spark)
     vocabulary = steps.write(spark.createDataFrame(pieces(path), "id int, piece binary").coalesce(1), "pieces")
-    schema = StructType([StructField("id", IntegerType()), StructField("own", encoded.select(*columns).schema)])
-    rows = encoded.select(*columns).mapInArrow(_unrolled(to_arrow_schema(schema)), schema)
+    rows = encoded.select(*columns).mapInArrow(_unrolled, "id int, own binary")
     joined = rows.join(F.broadcast(vocabulary), "id", "left").select("own", "piece")
     out = encoded.select(*columns).withColumn("text", F.lit("x"))
     return joined.mapInArrow(_texts(to_arrow_schema(out.schema)), out.schema)
