@@ -36,12 +36,12 @@ PATTERN = (
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 ROWS_AT_ONCE = 500
-# Text that a batch of documents has, about; one longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+# Characters and distinct words that a batch of documents has, about; one longer text is a batch of its own.
+BATCH_CHARS, BATCH_WORDS = 2 << 20, 60_000
 # Shares of the words; a task holds the distinct words of one of them.
 SHARES = 2048
 # Documents that are decoded together, at most.
-DECODED_AT_ONCE = 2_000
+DECODED_AT_ONCE = 1_000
 _SPLIT = regex.compile(PATTERN)
 # The same pattern for texts of ASCII alone, which most are; it is twice as fast.
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
@@ -125,7 +125,7 @@ def _batched(special: dict[str, int]):
                 ids.append(doc)
                 sizes.append(len(found))
                 size += len(text or "")
-                if size >= BATCH_BYTES:
+                if size >= BATCH_CHARS or len(numbers) >= BATCH_WORDS:
                     yield full()
                     numbers, ids, sizes, places, size = _Numbers(), [], [], [], 0
         if ids:

@@ -11,7 +11,7 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Bytes of rows that Spark hands to a Python worker at once: Spark's own value, and the one used here instead
 # of it. Workers hold a batch and what they make of it beside the executor's heap.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_DEFAULT, BATCH_BYTES = "67108864b", "8m"
+BATCH_DEFAULT, BATCH_BYTES = "67108864b", "4m"
 
 
 class Steps:
