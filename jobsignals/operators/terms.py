@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, tokens
 
+
 def with_grams(df: DataFrame, text: str = "text", name: str = "grams") -> DataFrame:
     """Add all words followed by all pairs of neighbouring words, as an array."""
     return (
@@ -18,29 +19,14 @@ def with_grams(df: DataFrame, text: str = "text", name: str = "grams") -> DataFr
     )
 
 
-def counted(grams: Column) -> Column:
-    """Each different element of an array with its number of occurrences, as structs (term, tf).
+def ngrams(df: DataFrame, key: str = "episode_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """How often each word and word pair occurs in each document; rows of one key are one document.
 
-    The sorted array is cut where its elements change, so a row's counts need no shuffle.
+    The texts are dealt out by key, so that their terms, many times as many bytes, are counted where they
+    are made: compiled hash aggregation that spills, without a shuffle of its own.
     """
-    def cut(all_: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(all_)),
-            lambda i: (i == 1) | (F.element_at(all_, i) != F.element_at(all_, F.greatest(i - 1, F.lit(1)))),
-        )
-        ends = F.concat(F.slice(starts, 2, F.size(all_)), F.array(F.size(all_) + 1))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(all_, a).alias("term"), (b - a).cast("bigint").alias("tf")))
-
-    # bound to a name once, so that the array is not sorted again for each use
-    once = F.transform(F.array(F.array_sort(grams)), lambda all_: F.when(F.size(all_) > 0, cut(all_)))
-    return F.element_at(once, 1)
-
-
-def ngrams(df: DataFrame, key: str = "episode_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """How often each word and word pair occurs in each document; counted row by row."""
-    grams = with_grams(df.select(key, *keep, F.col(text).alias("_text")), "_text")
-    terms = exploded(grams.withColumn("_terms", counted(F.col("grams"))), "_terms", "_t", key, *keep)
-    return terms.select(key, *keep, "_t.term", "_t.tf")
+    grams = with_grams(df.select(key, *keep, F.col(text).alias("_text")).repartition(key), "_text")
+    return exploded(grams, "grams", "term", key, *keep).groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def exploded(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
@@ -58,7 +44,7 @@ def inverse_frequency(n_documents: Column, n_with_term: Column) -> Column:
 
 
 def _normalised(weighted: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
-    """Divide by the length of the document's vector; its terms came out of one row."""
+    """Divide by the length of the document's vector."""
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return weighted.select(key, *names, "term", "tf", (F.col("_w") / length).alias("weight"))
 
@@ -75,7 +61,7 @@ def tfidf(
 
     Frequencies are partial sums that are joined back by term; Spark can split that join where a
     term is in most documents. Rows of terms move twice, for this join and by document for the
-    length. The number of documents is a scalar subquery.
+    length, and the texts once. The number of documents is a scalar subquery.
     """
     counts = ngrams(df, key, text, [] if fold is None else [fold])
     inside = [] if fold is None else [F.count_if(F.col(fold) == i) for i in range(folds)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,21 +11,62 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASSIFIERS
 from ..operators.cohort import feature_columns, fill_features
+from . import numbered
 
 RESULT_TABLES = ("predictions", "metrics", "confusion", "families", "terms", "runs")
 
 
+VERSIONS = "_versions"
+
+
 def write_processed(tables: Mapping[str, DataFrame], out: str, fmt: str = "parquet") -> None:
-    """Write each table to ``<out>/<name>``, replacing what was there."""
+    """Replace these tables of ``out`` as one; other tables there stay as they are.
+
+    The tables are written to a folder of their own, and readers see them when all are complete: the
+    last step is a small file that names them. A write that fails half way changes nothing for readers. Of
+    several writers the one that began last counts. What was replaced goes with the next write but one, so
+    that jobs that read it can end.
+    """
+    if not tables:
+        return
+    spark, out = next(iter(tables.values())).sparkSession, out.rstrip("/")
+    number = numbered.next_number(spark, f"{out}/{VERSIONS}")
     for name, df in tables.items():
-        writer = df.write.mode("overwrite").format(fmt)
+        writer = df.write.format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
-        writer.save(f"{out.rstrip('/')}/{name}")
+        writer.save(f"{out}/{VERSIONS}/data/{number}/{name}")
+    before = _versions(spark, out)
+    numbered.put(spark, f"{out}/{VERSIONS}/{number}.json", json.dumps({"tables": list(tables), "format": fmt}))
+    needed = set(_latest(before).values())
+    for old in before:
+        if old not in needed and old < number:
+            numbered.remove(spark, f"{out}/{VERSIONS}/{old}.json")
+            numbered.remove(spark, f"{out}/{VERSIONS}/data/{old}")
+
+
+def _versions(spark: SparkSession, out: str) -> dict[int, dict]:
+    """All complete writes by number, the earliest first."""
+    found = sorted(int(n.removesuffix(".json")) for n in numbered.names(spark, f"{out}/{VERSIONS}") if n.endswith(".json") and n[0] != ".")
+    return {n: json.loads(numbered.get(spark, f"{out}/{VERSIONS}/{n}.json")) for n in found}
+
+
+def _latest(versions: Mapping[int, dict]) -> dict[str, int]:
+    return {name: n for n, v in versions.items() for name in v["tables"]}
+
+
+def processed_paths(spark: SparkSession, out: str) -> dict[str, str]:
+    """Where each table is now; tables that are read from one answer belong together."""
+    out = out.rstrip("/")
+    return {name: f"{out}/{VERSIONS}/data/{n}/{name}" for name, n in _latest(_versions(spark, out)).items()}
 
 
 def read_processed(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{out.rstrip('/')}/{name}")
+    """A table that was written as Parquet."""
+    paths = processed_paths(spark, out)
+    if name not in paths:
+        raise FileNotFoundError(f"no table {name} in {out}")
+    return spark.read.parquet(paths[name])
 
 
 def load_features(spark: SparkSession, out: str, name: str, texts: Sequence[str] = ()) -> DataFrame:
@@ -68,16 +110,14 @@ def load_results(
 def append_manifest(spark: SparkSession, plan: DataFrame, path: str) -> int:
     """Add a plan to the manifest as its next batch and return the batch number.
 
-    Earlier batches are never rewritten. ``plan`` has a ``position`` column.
+    Earlier batches are never rewritten. ``plan`` has a ``position`` column. Several writers may append at
+    once: a number is taken before its batch is written, and none is given twice. A write that fails leaves its
+    number unused.
     """
-    try:
-        last = read_manifest(spark, path).agg(F.max("batch")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = None
-    batch = 0 if last is None else last + 1
-    plan.write.mode("append").parquet(f"{path.rstrip('/')}/batch={batch}")
+    path = path.rstrip("/")
+    written = [int(n.removeprefix("batch=")) for n in numbered.names(spark, path) if n.startswith("batch=")]
+    batch = numbered.next_number(spark, f"{path}/_taken", max(written, default=-1) + 1)
+    plan.write.parquet(f"{path}/batch={batch}")
     return batch
 
 

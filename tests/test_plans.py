@@ -48,7 +48,12 @@ def test_id_ranges_reach_the_scan(spark, sf):
     assert "GreaterThanOrEqual(user_id,3)" in plan.split("PushedFilters")[1]
 
 
-def test_tfidf_moves_terms_and_no_text(spark, sf):
+def test_grams_are_counted_where_the_texts_were_dealt(spark, sf):
+    plan = plan_of(terms.ngrams(table(spark, sf, "documents"), "doc_id"))
+    assert exchanges(plan) == ["hashpartitioning"] and "SortAggregate" not in plan
+
+
+def test_tfidf_moves_rows_by_document_and_term_only(spark, sf):
     plan = plan_of(terms.tfidf(table(spark, sf, "documents"), "doc_id"))
     moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
     assert set(moved) == {"doc_id", "term"} and len(moved) <= 3 and "RoundRobin" not in plan

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -137,7 +139,32 @@ def test_processed_tables_are_replaced_and_loaded_filled(spark, built, tmp_path)
     loaded = tables.load_features(spark, out, "nvml_features")
     assert loaded.filter(" or ".join(f"{c} is null" for c in gpu_feature_names())).count() == 0
     tables.write_processed({"episodes_index": built["episodes_index"]}, out, "csv")
-    assert spark.read.option("header", True).csv(out + "/episodes_index").filter("episode_id = '061'").count() == 1
+    assert spark.read.option("header", True).csv(tables.processed_paths(spark, out)["episodes_index"]).filter("episode_id = '061'").count() == 1
+
+
+def test_processed_tables_change_together_or_not_at_all(spark, tmp_path):
+    out = str(tmp_path / "processed")
+
+    def values(name):
+        return sorted(r.v for r in tables.read_processed(spark, out, name).collect())
+
+    def rows(v):
+        return spark.range(3).select(F.lit(v).alias("v"))
+
+    tables.write_processed({"a": rows(1), "b": rows(1), "c": rows(1)}, out)
+    held = tables.read_processed(spark, out, "a")
+    broken = spark.range(3).select(F.raise_error(F.lit("lost")).cast("int").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_processed({"a": rows(2), "b": broken, "c": rows(2)}, out)
+    assert values("a") == values("b") == values("c") == [1, 1, 1]
+    tables.write_processed({"a": rows(3), "b": rows(3)}, out)
+    assert (values("a"), values("b"), values("c")) == ([3] * 3, [3] * 3, [1] * 3) and held.count() == 3
+    for v in range(4, 8):
+        tables.write_processed({"a": rows(v)}, out)
+    assert (values("a"), values("b"), values("c")) == ([7] * 3, [3] * 3, [1] * 3)
+    assert len(list((tmp_path / "processed" / "_versions" / "data").iterdir())) <= 5
+    with pytest.raises(FileNotFoundError):
+        tables.read_processed(spark, out, "d")
 
 
 def test_results_keep_other_classifiers_and_report_missing(spark, tmp_path):
@@ -164,3 +191,19 @@ def test_manifest_grows_by_batches(spark, tmp_path):
         assert tables.append_manifest(spark, plan, path) == batch
     rows = tables.read_manifest(spark, path).orderBy("batch", "position").collect()
     assert [(r.batch, r.position) for r in rows] == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+
+
+def test_writers_of_a_manifest_at_once_take_different_batches(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda k: tables.append_manifest(spark, spark.range(k + 1).select(F.col("id").alias("position"), F.lit(k).alias("by")), path), range(6)))
+    assert sorted(got) == list(range(6))
+    sizes = {r.by: (r.batch, r.n) for r in tables.read_manifest(spark, path).groupBy("by", "batch").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {k: (batch, k + 1) for k, batch in enumerate(got)}
+
+
+def test_a_manifest_without_taken_numbers_goes_on(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    spark.range(1).select(F.col("id").alias("position")).write.parquet(path + "/batch=4")
+    assert tables.append_manifest(spark, spark.range(2).select(F.col("id").alias("position")), path) == 5
+    assert tables.read_manifest(spark, path).count() == 3
