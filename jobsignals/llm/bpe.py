@@ -14,6 +14,7 @@ other, and the pieces take the places of their ids.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -37,9 +38,11 @@ PATTERN = (
 )
 ROWS_AT_ONCE = 500
 # Characters and distinct words that a batch of documents has, about; one longer text is a batch of its own.
-BATCH_CHARS, BATCH_WORDS = 2 << 20, 60_000
+BATCH_CHARS, BATCH_WORDS = 1 << 20, 30_000
 # Shares of the words; a task holds the distinct words of one of them.
-SHARES = 2048
+SHARES = 512
+# A byte that UTF-8 has not stands between words.
+BETWEEN = b"\xff"
 # Documents that are decoded together, at most.
 DECODED_AT_ONCE = 1_000
 _SPLIT = regex.compile(PATTERN)
@@ -49,15 +52,16 @@ _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA
 # Rows without share are a batch's documents, the others its words of one share, from number ``first`` on.
 _BATCHES = pa.schema(
     [("share", pa.int32()), ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()),
-     ("first", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary())]
+     ("first", pa.int32()), ("words", pa.binary())]
 )
 _KNOWN = pa.schema([("batch", pa.int64()), ("first", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-_BATCH_COLUMNS = "share int, batch long, doc_ids array<long>, sizes array<int>, places binary, first int, words binary, lengths binary"
+_BATCH_COLUMNS = "share int, batch long, doc_ids array<long>, sizes array<int>, places binary, first int, words binary"
 
 
 def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, int]]:
     """The tokenizer, and the special tokens that it finds in a text, with their ids."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -100,20 +104,18 @@ def _batched(special: dict[str, int]):
 
         def full():
             words = [w.encode() for w in numbers]
-            share = np.array([xxhash.xxh3_64_intdigest(w) % SHARES for w in words], np.int32)
-            order = np.argsort(share, kind="stable")
+            share = [xxhash.xxh3_64_intdigest(w) % SHARES for w in words]
+            order = np.array(sorted(range(len(words)), key=lambda k: (share[k], words[k])), np.int64)  # in order they compress well
             number = np.empty(len(words), np.int64)
             number[order] = np.arange(len(words))
             at = number[np.concatenate(places)]
             at = at.astype("<u2" if len(words) <= 1 << 16 else "<i4")  # the reader knows by the length
-            length = np.array([len(w) for w in words], "<i4")[order]
-            text, ends = b"".join([words[k] for k in order.tolist()]), np.concatenate([[0], np.cumsum(length)])
-            first = np.flatnonzero(np.diff(share[order], prepend=-1))
+            words, share = [words[k] for k in order.tolist()], np.array(share, np.int64)[order]
+            first = np.flatnonzero(np.diff(share, prepend=-1))
             cuts, n = [*first.tolist(), len(words)], len(first)
             columns = {
-                "share": [None, *share[order][first].tolist()], "batch": [min(ids)] * (n + 1), "doc_ids": [ids] + [None] * n, "sizes": [sizes] + [None] * n,
-                "places": [at.tobytes()] + [None] * n, "first": [None, *cuts[:-1]],
-                "words": [None, *(text[ends[a] : ends[b]] for a, b in zip(cuts[:-1], cuts[1:]))], "lengths": [None, *(length[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:]))],
+                "share": [None, *share[first].tolist()], "batch": [min(ids)] * (n + 1), "doc_ids": [ids] + [None] * n, "sizes": [sizes] + [None] * n,
+                "places": [at.tobytes()] + [None] * n, "first": [None, *cuts[:-1]], "words": [None, *(BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))],
             }
             return table(columns, _BATCHES)
 
@@ -141,10 +143,7 @@ def _encoded(path: str):
         t, known, share = _tokenizer(path)[0], {}, None
         for batch in batches:
             shares = batch.column("share").to_numpy()
-            words = []
-            for text, length in zip(batch.column("words").to_pylist(), batch.column("lengths").to_pylist()):
-                ends = [0, *np.cumsum(np.frombuffer(length, "<i4")).tolist()]
-                words.append([text[a:b] for a, b in zip(ends, ends[1:])])
+            words = [row.split(BETWEEN) for row in batch.column("words").to_pylist()]
             sizes, ids = [], []
             cuts = [*np.flatnonzero(np.diff(shares, prepend=-1)).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:]):
@@ -156,6 +155,7 @@ def _encoded(path: str):
                     found = [known[w] for w in row]
                     sizes.append(np.array([len(x) // 4 for x in found], "<i4").tobytes())
                     ids.append(b"".join(found))
+            del words
             yield table({"batch": batch.column("batch"), "first": batch.column("first"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())}, _KNOWN)
 
     return run
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     special = _tokenizer(path)[1]
 
     split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split")
-    words = split.filter("share is not null").select("share", "batch", "first", "words", "lengths").repartition("share").sortWithinPartitions("share")
+    words = split.filter("share is not null").select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
     known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known")
     known = known.groupBy("batch").agg(F.collect_list(F.struct("first", "sizes", "ids")).alias("known"))
     texts = split.filter("share is null").select("batch", "doc_ids", "sizes", "places")
