@@ -38,7 +38,9 @@ PATTERN = (
 )
 ROWS_AT_ONCE = 500
 # Characters and distinct words that a batch of documents has, about; one longer text is a batch of its own.
-BATCH_CHARS, BATCH_WORDS = 1 << 20, 30_000
+BATCH_CHARS, BATCH_WORDS = 4 << 20, 60_000
+# Words in a row of documents, about.
+ROW_WORDS = 100_000
 # Shares of the words; a task holds the distinct words of one of them.
 SHARES = 512
 # A byte that UTF-8 has not stands between words.
@@ -113,9 +115,15 @@ def _batched(special: dict[str, int]):
             words, share = [words[k] for k in order.tolist()], np.array(share, np.int64)[order]
             first = np.flatnonzero(np.diff(share, prepend=-1))
             cuts, n = [*first.tolist(), len(words)], len(first)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            row = ends[:-1] // ROW_WORDS  # documents that begin in one stretch of words are a row
+            docs = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(ids)]
+            spans = list(zip(docs[:-1], docs[1:]))
+            none = [None] * len(spans)
             columns = {
-                "share": [None, *share[first].tolist()], "batch": [min(ids)] * (n + 1), "doc_ids": [ids] + [None] * n, "sizes": [sizes] + [None] * n,
-                "places": [at.tobytes()] + [None] * n, "first": [None, *cuts[:-1]], "words": [None, *(BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))],
+                "share": none + share[first].tolist(), "batch": [min(ids)] * (n + len(spans)), "doc_ids": [ids[a:b] for a, b in spans] + [None] * n,
+                "sizes": [sizes[a:b] for a, b in spans] + [None] * n, "places": [at[ends[a] : ends[b]].tobytes() for a, b in spans] + [None] * n,
+                "first": none + cuts[:-1], "words": none + [BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
             }
             return table(columns, _BATCHES)
 
@@ -162,25 +170,27 @@ def _encoded(path: str):
 
 
 def _put_in(batches):
-    """The ids of each word in its places."""
+    """The ids of each word in its places; of each batch the words come first."""
+    current, known, each, data = None, [], None, None
     for batch in batches:
+        number, kinds = (batch.column(c).to_pylist() for c in ("batch", "kind"))
         for k in range(batch.num_rows):
-            sizes = batch.column("sizes")[k].values.to_numpy().astype(np.int64)
-            places = batch.column("places")[k].as_py()
+            if number[k] != current:
+                current, known, each = number[k], [], None
+            if kinds[k] == 0:
+                known.append([batch.column(c)[k].as_py() for c in ("first", "lengths", "ids")])
+                continue
+            if each is None:
+                known.sort()
+                each, data = (np.frombuffer(b"".join(x[c] for x in known), "<i4") for c in (1, 2))
+                begins, known = np.cumsum(each) - each, []
+            sizes, places = batch.column("sizes")[k].values.to_numpy().astype(np.int64), batch.column("places")[k].as_py()
             places = np.frombuffer(places, "<u2" if len(places) == 2 * sizes.sum() else "<i4").astype(np.int64)
-            known = batch.column("known")[k].values
-            if known is None or not len(places):
-                lists = np.zeros(len(sizes), np.int64), np.zeros(0, np.int32)
-            else:
-                order = pa.array(np.argsort(known.field("first").to_numpy()))
-                each, data = (buffers(known.field(c).take(order))[0].view("<i4") for c in ("sizes", "ids"))
-                length = each.astype(np.int64)[places]
-                ends = np.concatenate([[0], np.cumsum(length)])
-                index = np.arange(ends[-1]) + np.repeat((np.cumsum(each) - each)[places] - ends[:-1], length)
-                per = ends[np.cumsum(sizes)] - ends[np.cumsum(sizes) - sizes]
-                lists = per, data[index]
-            offsets = np.concatenate([[0], np.cumsum(lists[0])]).astype(np.int32)
-            yield table({"doc_id": batch.column("doc_ids")[k].values, "ids": pa.ListArray.from_arrays(offsets, pa.array(lists[1], pa.int32()))}, _IDS)
+            ends = np.concatenate([[0], np.cumsum(each[places])]).astype(np.int64)
+            index = np.arange(ends[-1]) + np.repeat(begins[places] - ends[:-1], each[places])
+            offsets = np.concatenate([[0], ends[np.cumsum(sizes)]]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(data[index], pa.int32()))
+            yield table({"doc_id": batch.column("doc_ids")[k].values, "ids": lists}, _IDS)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -197,9 +207,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split")
     words = split.filter("share is not null").select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
     known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known")
-    known = known.groupBy("batch").agg(F.collect_list(F.struct("first", "sizes", "ids")).alias("known"))
-    texts = split.filter("share is null").select("batch", "doc_ids", "sizes", "places")
-    return texts.join(known, "batch", "left").mapInArrow(_put_in, "doc_id long, ids array<int>")
+    known = known.select("batch", F.lit(0).alias("kind"), "first", F.col("sizes").alias("lengths"), "ids")
+    texts = split.filter("share is null").select("batch", F.lit(1).alias("kind"), "doc_ids", "sizes", "places")
+    both = known.unionByName(texts, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "kind")
+    return both.mapInArrow(_put_in, "doc_id long, ids array<int>")
 
 
 def pieces(path: str) -> list[tuple[int, bytes]]:
