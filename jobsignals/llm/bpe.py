@@ -37,8 +37,9 @@ PATTERN = (
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 ROWS_AT_ONCE = 500
-# Characters and distinct words that a batch of documents has, about; one longer text is a batch of its own.
-BATCH_CHARS, BATCH_WORDS = 4 << 20, 60_000
+# Characters that a batch of documents has, about; one longer text is a batch of its own. The more, the fewer
+# words come in several batches; a task holds the distinct words of one batch.
+BATCH_CHARS = 16 << 20
 # Words in a row of documents, about.
 ROW_WORDS = 100_000
 # Shares of the words; a task holds the distinct words of one of them.
@@ -108,10 +109,10 @@ def _batched(special: dict[str, int]):
             words = [w.encode() for w in numbers]
             share = [xxhash.xxh3_64_intdigest(w) % SHARES for w in words]
             order = np.array(sorted(range(len(words)), key=lambda k: (share[k], words[k])), np.int64)  # in order they compress well
-            number = np.empty(len(words), np.int64)
+            number = np.empty(len(words), np.int32)
             number[order] = np.arange(len(words))
             at = number[np.concatenate(places)]
-            at = at.astype("<u2" if len(words) <= 1 << 16 else "<i4")  # the reader knows by the length
+            at = at.astype("<u2" if len(words) <= 1 << 16 else "<i4", copy=False)  # the reader knows by the length
             words, share = [words[k] for k in order.tolist()], np.array(share, np.int64)[order]
             first = np.flatnonzero(np.diff(share, prepend=-1))
             cuts, n = [*first.tolist(), len(words)], len(first)
@@ -131,11 +132,11 @@ def _batched(special: dict[str, int]):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 findall = (_SPLIT_ASCII if text is None or text.isascii() else _SPLIT).findall
                 found = [w for s in cut(text) for w in ([s] if s in special else findall(s))] if text else []
-                places.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+                places.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 ids.append(doc)
                 sizes.append(len(found))
                 size += len(text or "")
-                if size >= BATCH_CHARS or len(numbers) >= BATCH_WORDS:
+                if size >= BATCH_CHARS:
                     yield full()
                     numbers, ids, sizes, places, size = _Numbers(), [], [], [], 0
         if ids:
@@ -204,9 +205,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     steps = Steps(docs.sparkSession)
     special = _tokenizer(path)[1]
 
-    split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split")
+    split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split", "zstd")
     words = split.filter("share is not null").select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
-    known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known")
+    known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known", "zstd")
     known = known.select("batch", F.lit(0).alias("kind"), "first", F.col("sizes").alias("lengths"), "ids")
     texts = split.filter("share is null").select("batch", F.lit(1).alias("kind"), "doc_ids", "sizes", "places")
     both = known.unionByName(texts, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "kind")

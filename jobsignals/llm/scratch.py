@@ -27,12 +27,12 @@ class Steps:
             spark.conf.set(BATCH, BATCH_BYTES)
         self.paths: dict[str, list[str]] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         path = fresh_path(self.spark, name)
         before = self.spark.conf.get(CLEAN_UP, None)
         self.spark.conf.set(CLEAN_UP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=codec)
         finally:
             if before is None:
                 self.spark.conf.unset(CLEAN_UP)
