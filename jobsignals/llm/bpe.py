@@ -91,6 +91,23 @@ def _ids(t: Tokenizer, words: list[str]) -> list[bytes]:
     return [np.array(e.ids, "<i4").tobytes() for e in t.encode_batch(words, add_special_tokens=False)]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the greatest one needs, which the first byte says."""
+    top = int(values.max(initial=0))
+    if top < 1 << 16:
+        return b"\1" + values.astype("u1").tobytes() if top < 1 << 8 else b"\2" + values.astype("<u2").tobytes()
+    if top < 1 << 24:
+        return b"\3" + (values & 0xFFFF).astype("<u2").tobytes() + (values >> 16).astype("u1").tobytes()
+    return b"\4" + values.astype("<i4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    width, size = data[0], (len(data) - 1) // data[0]
+    if width == 3:
+        return np.frombuffer(data, "<u2", size, 1).astype(np.int64) + (np.frombuffer(data, "u1", size, 1 + 2 * size).astype(np.int64) << 16)
+    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<i4"}[width], size, 1).astype(np.int64)
+
+
 class _Numbers(dict):
     """Numbers words from 0 as they come."""
 
@@ -112,7 +129,6 @@ def _batched(special: dict[str, int]):
             number = np.empty(len(words), np.int32)
             number[order] = np.arange(len(words))
             at = number[np.concatenate(places)]
-            at = at.astype("<u2" if len(words) <= 1 << 16 else "<i4", copy=False)  # the reader knows by the length
             words, share = [words[k] for k in order.tolist()], np.array(share, np.int64)[order]
             first = np.flatnonzero(np.diff(share, prepend=-1))
             cuts, n = [*first.tolist(), len(words)], len(first)
@@ -123,7 +139,7 @@ def _batched(special: dict[str, int]):
             none = [None] * len(spans)
             columns = {
                 "share": none + share[first].tolist(), "batch": [min(ids)] * (n + len(spans)), "doc_ids": [ids[a:b] for a, b in spans] + [None] * n,
-                "sizes": [sizes[a:b] for a, b in spans] + [None] * n, "places": [at[ends[a] : ends[b]].tobytes() for a, b in spans] + [None] * n,
+                "sizes": [sizes[a:b] for a, b in spans] + [None] * n, "places": [_packed(at[ends[a] : ends[b]]) for a, b in spans] + [None] * n,
                 "first": none + cuts[:-1], "words": none + [BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
             }
             return table(columns, _BATCHES)
@@ -162,8 +178,8 @@ def _encoded(path: str):
                 known.update(zip(new, _ids(t, [w.decode() for w in new])))
                 for row in words[a:b]:
                     found = [known[w] for w in row]
-                    sizes.append(np.array([len(x) // 4 for x in found], "<i4").tobytes())
-                    ids.append(b"".join(found))
+                    sizes.append(_packed(np.array([len(x) // 4 for x in found])))
+                    ids.append(_packed(np.frombuffer(b"".join(found), "<i4")))
             del words
             yield table({"batch": batch.column("batch"), "first": batch.column("first"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())}, _KNOWN)
 
@@ -183,10 +199,9 @@ def _put_in(batches):
                 continue
             if each is None:
                 known.sort()
-                each, data = (np.frombuffer(b"".join(x[c] for x in known), "<i4") for c in (1, 2))
+                each, data = (np.concatenate([np.zeros(0, np.int64), *(_unpacked(x[c]) for x in known)]) for c in (1, 2))
                 begins, known = np.cumsum(each) - each, []
-            sizes, places = batch.column("sizes")[k].values.to_numpy().astype(np.int64), batch.column("places")[k].as_py()
-            places = np.frombuffer(places, "<u2" if len(places) == 2 * sizes.sum() else "<i4").astype(np.int64)
+            sizes, places = batch.column("sizes")[k].values.to_numpy().astype(np.int64), _unpacked(batch.column("places")[k].as_py())
             ends = np.concatenate([[0], np.cumsum(each[places])]).astype(np.int64)
             index = np.arange(ends[-1]) + np.repeat(begins[places] - ends[:-1], each[places])
             offsets = np.concatenate([[0], ends[np.cumsum(sizes)]]).astype(np.int32)
