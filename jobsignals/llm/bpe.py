@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,7 +53,8 @@ _SPLIT = regex.compile(PATTERN)
 # The same pattern for texts of ASCII alone, which most are; it is twice as fast.
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
-# Rows without share are a batch's documents, the others its words of one share, from number ``first`` on.
+# Rows without share are a batch's documents, the others its words of one share, from number ``first`` on; the row of
+# share -1 has the number of each word in the order in which the words came.
 _BATCHES = pa.schema(
     [("share", pa.int32()), ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()),
      ("first", pa.int32()), ("words", pa.binary())]
@@ -92,20 +94,19 @@ def _ids(t: Tokenizer, words: list[str]) -> list[bytes]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers from 0 on in as few bytes each as the greatest one needs, which the first byte says."""
-    top = int(values.max(initial=0))
-    if top < 1 << 16:
-        return b"\1" + values.astype("u1").tobytes() if top < 1 << 8 else b"\2" + values.astype("<u2").tobytes()
-    if top < 1 << 24:
-        return b"\3" + (values & 0xFFFF).astype("<u2").tobytes() + (values >> 16).astype("u1").tobytes()
-    return b"\4" + values.astype("<i4").tobytes()
+    """Whole numbers from 0 on: how many bytes the greatest one has, then the lowest bytes of all, the next ones
+    and so on, compressed; the higher bytes are mostly equal."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u4").view("u1").reshape(-1, 4)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    width, size = data[0], (len(data) - 1) // data[0]
-    if width == 3:
-        return np.frombuffer(data, "<u2", size, 1).astype(np.int64) + (np.frombuffer(data, "u1", size, 1 + 2 * size).astype(np.int64) << 16)
-    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<i4"}[width], size, 1).astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), "u1").reshape(data[0], -1)
+    out = np.zeros(planes.shape[1], np.int64)
+    for k, plane in enumerate(planes):
+        out += plane.astype(np.int64) << (8 * k)
+    return out
 
 
 class _Numbers(dict):
@@ -128,7 +129,7 @@ def _batched(special: dict[str, int]):
             order = np.array(sorted(range(len(words)), key=lambda k: (share[k], words[k])), np.int64)  # in order they compress well
             number = np.empty(len(words), np.int32)
             number[order] = np.arange(len(words))
-            at = number[np.concatenate(places)]
+            at = np.concatenate(places)  # in the order in which words came, frequent ones have small numbers
             words, share = [words[k] for k in order.tolist()], np.array(share, np.int64)[order]
             first = np.flatnonzero(np.diff(share, prepend=-1))
             cuts, n = [*first.tolist(), len(words)], len(first)
@@ -138,9 +139,9 @@ def _batched(special: dict[str, int]):
             spans = list(zip(docs[:-1], docs[1:]))
             none = [None] * len(spans)
             columns = {
-                "share": none + share[first].tolist(), "batch": [min(ids)] * (n + len(spans)), "doc_ids": [ids[a:b] for a, b in spans] + [None] * n,
-                "sizes": [sizes[a:b] for a, b in spans] + [None] * n, "places": [_packed(at[ends[a] : ends[b]]) for a, b in spans] + [None] * n,
-                "first": none + cuts[:-1], "words": none + [BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
+                "share": none + [-1] + share[first].tolist(), "batch": [min(ids)] * (n + 1 + len(spans)), "doc_ids": [ids[a:b] for a, b in spans] + [None] * (n + 1),
+                "sizes": [sizes[a:b] for a, b in spans] + [None] * (n + 1), "places": [_packed(at[ends[a] : ends[b]]) for a, b in spans] + [None] * (n + 1),
+                "first": none + [-1] + cuts[:-1], "words": none + [_packed(number)] + [BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
             }
             return table(columns, _BATCHES)
 
@@ -188,20 +189,24 @@ def _encoded(path: str):
 
 def _put_in(batches):
     """The ids of each word in its places; of each batch the words come first."""
-    current, known, each, data = None, [], None, None
+    current, known, each = None, [], None
     for batch in batches:
         number, kinds = (batch.column(c).to_pylist() for c in ("batch", "kind"))
         for k in range(batch.num_rows):
             if number[k] != current:
                 current, known, each = number[k], [], None
             if kinds[k] == 0:
-                known.append([batch.column(c)[k].as_py() for c in ("first", "lengths", "ids")])
+                first, *row = (batch.column(c)[k].as_py() for c in ("first", "lengths", "ids"))
+                if first < 0:
+                    number_of = _unpacked(row[1])
+                else:
+                    known.append((first, *row))
                 continue
             if each is None:
                 known.sort()
                 each, data = (np.concatenate([np.zeros(0, np.int64), *(_unpacked(x[c]) for x in known)]) for c in (1, 2))
                 begins, known = np.cumsum(each) - each, []
-            sizes, places = batch.column("sizes")[k].values.to_numpy().astype(np.int64), _unpacked(batch.column("places")[k].as_py())
+            sizes, places = batch.column("sizes")[k].values.to_numpy().astype(np.int64), number_of[_unpacked(batch.column("places")[k].as_py())]
             ends = np.concatenate([[0], np.cumsum(each[places])]).astype(np.int64)
             index = np.arange(ends[-1]) + np.repeat(begins[places] - ends[:-1], each[places])
             offsets = np.concatenate([[0], ends[np.cumsum(sizes)]]).astype(np.int32)
@@ -221,9 +226,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     special = _tokenizer(path)[1]
 
     split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split", "zstd")
-    words = split.filter("share is not null").select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
+    words = split.filter("share >= 0").select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
     known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known", "zstd")
-    known = known.select("batch", F.lit(0).alias("kind"), "first", F.col("sizes").alias("lengths"), "ids")
+    known = known.select("batch", "first", F.col("sizes").alias("lengths"), "ids")
+    numbers = split.filter("share = -1").select("batch", "first", F.lit(None).cast("binary").alias("lengths"), F.col("words").alias("ids"))
+    known = known.union(numbers).withColumn("kind", F.lit(0))
     texts = split.filter("share is null").select("batch", F.lit(1).alias("kind"), "doc_ids", "sizes", "places")
     both = known.unionByName(texts, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "kind")
     return both.mapInArrow(_put_in, "doc_id long, ids array<int>")
