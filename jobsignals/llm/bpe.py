@@ -42,7 +42,7 @@ ROWS_AT_ONCE = 500
 # words come in several batches; a task holds the distinct words of one batch.
 BATCH_CHARS = 16 << 20
 # Words in a row of documents, about.
-ROW_WORDS = 100_000
+ROW_WORDS = 200_000
 # Shares of the words; a task holds the distinct words of one of them.
 SHARES = 512
 # A byte that UTF-8 has not stands between words.
@@ -214,17 +214,10 @@ def _put_in(batches):
             yield table({"doc_id": batch.column("doc_ids")[k].values, "ids": lists}, _IDS)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id`` and ``ids``, the token ids of the whole text without added special tokens.
-
-    ``path`` is the file of a byte-level tokenizer; executors read it too. Special tokens that
-    stand in a text get their ids. Null and empty texts have no ids. Rows without id are left
-    out, and of rows with one id the smallest text counts. Other columns are not read. An empty
-    table gives an empty result.
-    """
+def _words_and_places(docs: DataFrame, path: str) -> DataFrame:
+    """Rows for ``_put_in``: of each batch the ids of its words, then its documents."""
     steps = Steps(docs.sparkSession)
     special = _tokenizer(path)[1]
-
     split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split", "zstd")
     words = split.filter("share >= 0").select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
     known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known", "zstd")
@@ -232,8 +225,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     numbers = split.filter("share = -1").select("batch", "first", F.lit(None).cast("binary").alias("lengths"), F.col("words").alias("ids"))
     known = known.union(numbers).withColumn("kind", F.lit(0))
     texts = split.filter("share is null").select("batch", F.lit(1).alias("kind"), "doc_ids", "sizes", "places")
-    both = known.unionByName(texts, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "kind")
-    return both.mapInArrow(_put_in, "doc_id long, ids array<int>")
+    return known.unionByName(texts, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "kind")
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id`` and ``ids``, the token ids of the whole text without added special tokens.
+
+    ``path`` is the file of a byte-level tokenizer; executors read it too. Special tokens that
+    stand in a text get their ids. Null and empty texts have no ids. Rows without id are left
+    out, and of rows with one id the smallest text counts. Other columns are not read. An empty
+    table gives an empty result.
+    """
+    return _words_and_places(docs, path).mapInArrow(_put_in, "doc_id long, ids array<int>")
 
 
 def pieces(path: str) -> list[tuple[int, bytes]]:
@@ -304,10 +307,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     Bytes that are not UTF-8 become U+FFFD; null ids give an empty text, ids outside the vocabulary
     nothing. Each row is decoded for itself, with or without id. An empty table gives an empty result.
     """
-    spark, columns = encoded.sparkSession, [c for c in encoded.columns if c != "text"]
-    steps = Steps(spark)
-    vocabulary = steps.write(spark.createDataFrame(pieces(path), "id int, piece binary").coalesce(1), "pieces")
-    rows = encoded.select(*columns).mapInArrow(_unrolled, "id int, own binary")
+    columns = [c for c in encoded.columns if c != "text"]
+    rows = encoded.select(*columns)
+    return _with_texts(rows.mapInArrow(_unrolled, "id int, own binary"), rows, path)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, ``ids`` and ``text``: what ``decode`` makes of ``encode``, without ids on the way between them."""
+    rows = _words_and_places(docs, path).mapInArrow(lambda batches: _unrolled(_put_in(batches)), "id int, own binary")
+    return _with_texts(rows, docs.sparkSession.createDataFrame([], "doc_id long, ids array<int>"), path)
+
+
+def _with_texts(rows: DataFrame, like: DataFrame, path: str) -> DataFrame:
+    """Documents with the columns of ``like`` and their texts, from the rows of their ids."""
+    steps = Steps(rows.sparkSession)
+    vocabulary = steps.write(rows.sparkSession.createDataFrame(pieces(path), "id int, piece binary").coalesce(1), "pieces")
     joined = rows.join(F.broadcast(vocabulary), "id", "left").select("own", "piece")
-    out = encoded.select(*columns).withColumn("text", F.lit("x"))
-    return joined.mapInArrow(_texts(to_arrow_schema(out.schema)), out.schema)
+    out = like.withColumn("text", F.lit("x")).schema
+    return joined.mapInArrow(_texts(to_arrow_schema(out)), out)

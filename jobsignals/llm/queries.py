@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobsignals.queries.registry import Query, Run, table
 
 from . import sql
-from .bpe import decode, encode
+from .bpe import round_trip
 from .embedding_dedup import near_vectors
 from .lexical_search import ranked_search
 from .line_dedup import line_dedup
@@ -91,7 +91,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_bpe")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    back = decode(encode(table(spark, sf, "documents"), path), path)
+    back = round_trip(table(spark, sf, "documents"), path)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

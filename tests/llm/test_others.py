@@ -49,7 +49,9 @@ def test_encoding_equals_the_tokenizer_and_decodes_back(spark, seed, parts):
     r = random.Random(seed)
     bits = ["a", "B", " ", "  ", "\n", "'s", "'ll", "é", "日本", "1", "２", "!", "\xa0", "\x1c", "\x85", "<|endoftext|>", "<|endo", "😀", "é", "\x00"]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(15)))) for i in range(300)] + [(900, None), (901, ""), (902, "the word " * 5000)]
-    encoded = bpe.encode(spark.createDataFrame(rows, texts.SCHEMA).repartition(parts), BPE)
+    df = spark.createDataFrame(rows, texts.SCHEMA).repartition(parts)
+    encoded = bpe.encode(df, BPE)
+    assert sorted(bpe.round_trip(df, BPE).collect()) == sorted(bpe.decode(encoded, BPE).collect())
     got = {x.doc_id: (list(x.ids), x.text) for x in bpe.decode(encoded, BPE).collect()}
     t = Tokenizer.from_file(BPE)
     ids = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in rows}
