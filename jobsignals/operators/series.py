@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,7 +79,7 @@ def _slope(cross: Column, n: Column) -> Column:
 
 
 def _merge(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combine the slices of each series; at most ``PIECES`` rows per series."""
+    """Combine the slices of each series; one row per partition that a series has rows in."""
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(SLICE).rowsBetween(*ALL_EARLIER)
     n = F.col("n").cast("double")
@@ -127,7 +127,8 @@ def series_features(
 ) -> DataFrame:
     """The five statistics of each series in long form, one row per series.
 
-    One shuffle by series: the window that numbers the values and the aggregate share it.
+    One shuffle by series: the window that numbers the values and the aggregate share it. A job
+    that counts the rows of each series comes first.
     """
     s = slice_series(long.filter(F.col(value).isNotNull()), keys, order, rows_per_series)
     numbered = s.df.withColumn("_index", F.row_number().over(s.window()))
@@ -272,12 +273,14 @@ def convergence(
     has converged at the first step, ``min_steps`` or later, with no improvement in the last
     ``patience`` steps.
 
-    Only record lows are looked at one after the other, as a step that improves is below
-    everything before it. Windows per slice find them, and also where a series must be over:
+    Only record lows matter, as a step that improves is below everything before it. With a
+    ``min_delta`` of 0 every record improves, so windows per slice give each record the one before
+    it, and the first record that comes too late ends the series: nothing is gathered. Otherwise
+    records are looked at one after the other. Windows also find where a series must be over:
     each run of ``patience`` steps of a live series has an improvement, so its low falls by
     more than ``min_delta`` within any 2 * ``patience`` steps. Records from there on are left
     out, so what is gathered of a slice has at most 2 * ``patience`` steps per ``min_delta`` of
-    its value range (no bound follows for a ``min_delta`` of 0). One scan, one shuffle.
+    its value range. A counting job, then one scan and one shuffle if no series is cut.
     """
     s = indexed(slice_series(df, keys, order, rows_per_series), "_step")
     below = s.df.withColumn("_step", F.col("_step") + 1).withColumn(
@@ -286,6 +289,16 @@ def convergence(
     if s.hot:
         below = join_carried(s.with_df(below), {"_low_before": (F.min(value), F.min)})
         below = below.withColumn("_low", F.least("_low", "_low_before")).drop("_low_before")
+    number = F.col(value).cast("double")
+    is_record = (number < float("inf")) & (F.col("_low").isNull() | (F.col(value) < F.col("_low")))
+
+    def stop_after(at: Column) -> Column:
+        return F.greatest(at + patience, F.lit(min_steps).cast("bigint"))
+
+    if min_delta == 0:
+        at_best = _last_in_time(s.with_df(below.withColumn("_record", F.when(is_record, F.col("_step")))), value, stop_after)
+        return _stopped(at_best, keys, stop_after)
+
     span = 2 * patience
     below = below.withColumn("_now", F.least("_low", value))
     fell = F.col("_now") < F.lag("_now", span).over(s.window()) - min_delta
@@ -293,8 +306,7 @@ def convergence(
     up_to_here = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = below.withColumn("_over", over).withColumn("_ended", F.max("_over").over(up_to_here))
 
-    is_record = F.col(value).isNotNull() & (F.col("_low").isNull() | (F.col(value) < F.col("_low")))
-    record = F.struct("_step", F.col(value).cast("double").alias("_value"))
+    record = F.struct("_step", number.alias("_value"))
     gathered = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.min(F.when(F.col("_over"), F.col("_step"))).alias("_end"),
@@ -303,9 +315,6 @@ def convergence(
     live = F.filter("_records", lambda r: F.col("_end").isNull() | (r["_step"] < F.col("_end")))
     first = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("stop"))
 
-    def stop_after(at: Column) -> Column:
-        return F.greatest(at + patience, F.lit(min_steps).cast("bigint"))
-
     def step(state: Column, record: Column) -> Column:
         stopped = (state["stop"] > 0) | (record["_step"] > stop_after(state["at"]))
         improves = record["_value"] < state["best"] - F.lit(min_delta)
@@ -314,13 +323,36 @@ def convergence(
         return F.when(stopped, halted).when(improves, moved).otherwise(state)
 
     folded = gathered.withColumn("_f", F.aggregate(live, first, step))
-    at = F.col("_f.at")
+    return _stopped(folded.select(*keys, "n_steps", F.col("_f.at").alias("at"), F.col("_f.best").alias("best")), keys, stop_after)
+
+
+def _last_in_time(s: Sliced, value: str, stop_after: Callable[[Column], Column]) -> DataFrame:
+    """Per series the last record step (``_record``) that came before its series had stopped."""
+    seen = s.window().rowsBetween(*ALL_EARLIER)
+    rows = s.df.withColumn("_at", F.max("_record").over(seen))
+    if s.hot:
+        rows = join_carried(s.with_df(rows), {"_at_before": (F.max("_record"), F.max)})
+        rows = rows.withColumn("_at", F.coalesce("_at", "_at_before")).drop("_at_before")
+    before = F.coalesce("_at", F.lit(0).cast("bigint"))
+    too_late = F.col("_record") > stop_after(before)
+    best = F.col(value).cast("double")
+    stopped = F.min(F.when(too_late, F.struct(before.alias("at"), F.col("_low").cast("double").alias("best"))))
+    latest = F.max(F.when(F.col("_record").isNotNull(), F.struct(F.col("_record").alias("at"), best.alias("best"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("double").alias("best"))
+    return rows.groupBy(*s.keys).agg(
+        F.count(F.lit(1)).alias("n_steps"), F.coalesce(stopped, latest, none).alias("_f")
+    ).select(*s.keys, "n_steps", "_f.at", "_f.best")
+
+
+def _stopped(found: DataFrame, keys: Sequence[str], stop_after: Callable[[Column], Column]) -> DataFrame:
+    """Where a series ends whose last improvement is known."""
+    at = F.col("at")
     stop = stop_after(at)
-    return folded.select(
+    return found.select(
         *keys,
         "n_steps",
         at.alias("best_step"),
-        F.when(at > 0, F.col("_f.best")).alias("best_value"),
+        F.when(at > 0, F.col("best")).alias("best_value"),
         (stop <= F.col("n_steps")).alias("converged"),
         F.least(stop, F.col("n_steps")).alias("last_step"),
     )

@@ -1,9 +1,10 @@
 """Ordered work on series of any length.
 
 A window over one series runs in one task. That is fine for an ordinary job, but one series
-may hold a large share of all samples. Such a series is cut into time slices: the window then
-runs per (series, slice), and what a slice needs to know about the ones before it (how many
-rows, the last row, the smallest value) comes from a table with one row per slice.
+may hold a large share of all samples. The rows of such series are put in order over all
+partitions: the window then runs per (series, slice), a slice being a series' part of one
+partition, and what a slice needs to know about the ones before it (how many rows, the last
+row, the smallest value) comes from a table with one row per slice.
 """
 
 from __future__ import annotations
@@ -14,13 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A series is cut only when it has more rows than this ...
+from ..session import materialise
+
+# Rows that one task puts in order; longer series are cut. Only speed depends on it.
 ROWS_PER_SERIES = 4_000_000
-# ... and is among the largest ones: a series outside the first MAX_HOT holds less than
-# 1/MAX_HOT of all rows. Both numbers bound what reaches the driver and what is broadcast:
-# MAX_HOT keys with PIECES - 1 times each, whatever the size of the data.
-MAX_HOT = 1000
-PIECES = 64
 
 SLICE = "_slice"
 WHOLE = -1
@@ -29,7 +27,7 @@ WHOLE = -1
 @dataclass(frozen=True)
 class Sliced:
     """Rows, and if any series is cut a ``_slice`` column that never decreases along ``order``
-    within a series: 0 and up for a cut series, ``WHOLE`` for the others."""
+    within a series: partition numbers for a cut series, ``WHOLE`` for the others."""
 
     df: DataFrame
     keys: tuple[str, ...]
@@ -48,69 +46,43 @@ class Sliced:
 
 
 def slice_series(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    rows_per_series: int = ROWS_PER_SERIES,
-    pieces: int = PIECES,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_series: int = ROWS_PER_SERIES
 ) -> Sliced:
-    """Find the series that are too long for one task and cut them by time.
+    """Find the series that are too long for one task and cut them.
+
+    ``order`` has to be total within a series, or rows that are equal in it change places. The rows of all long series,
+    however many there are, are range-partitioned together by key and order, into as many partitions as hold
+    ``rows_per_series`` rows, and written with the number of their partition: sampled ranges may differ from run to
+    run, and rows and carried table must agree on them. Rows of one time are cut apart where the rest of ``order``
+    tells them apart. Other series stay as they are. Results do not depend on where a series is cut.
 
-    ``order[0]`` is the time, a number or timestamp; the others break ties. Rows of equal time
-    stay together. The cut times are approximate quantiles, which only decides how even the
-    slices are: results do not depend on where a series is cut. One pass over the key columns
-    finds the long series, and only if there are any a second one, over their rows alone,
-    finds the cut times.
+    One job over the key columns counts the rows of each series; without long ones there is no other.
     """
     keys, order = tuple(keys), tuple(order)
-    spark = df.sparkSession
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_series)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT)
-        .select(*keys)
-    )
-    hot_rows = hot.collect()
-    if not hot_rows:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_series)
+    rows = counts.agg(F.sum("_rows")).first()[0]
+    if rows is None:
         return Sliced(df, keys, order, False)
-
-    hot = F.broadcast(spark.createDataFrame(hot_rows, hot.schema))
-    steps = [i / pieces for i in range(1, pieces)]
-    cuts = (
-        df.filter(F.col(order[0]).isNotNull())
-        .join(hot, _same(df, hot, keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(order[0], steps, 10 * pieces).alias("_cuts"))
-    )
-    cuts = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
-    before = F.size(F.filter("_cuts", lambda c: c < F.col(order[0])))
-    cut = (
-        df.join(cuts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_cuts"),
-                _all_equal([(df[k], F.col(f"_hot_{k}")) for k in keys]), "left")
-        .withColumn(
-            SLICE,
-            F.when(F.col("_cuts").isNull(), WHOLE).when(F.col(order[0]).isNull(), 0).otherwise(before),
-        )
-        .drop("_cuts", *[f"_hot_{k}" for k in keys])
-    )
-    return Sliced(cut, keys, order, True)
+    hot = materialise(counts).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    same = _all_equal([(df[k], hot[f"_hot_{k}"]) for k in keys])
+    n = -(-rows // rows_per_series)
+    placed = df.join(hot, same, "left_semi").repartitionByRange(n, *keys, *order)
+    cut = materialise(placed.withColumn(SLICE, F.spark_partition_id()))
+    return Sliced(cut.unionByName(df.join(hot, same, "left_anti").withColumn(SLICE, F.lit(WHOLE))), keys, order, True)
 
 
 def carried(s: Sliced, parts: Mapping[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
-    """One row per (series, slice > 0) with what came before that slice.
+    """One row per (series, slice) with what came before that slice, null in its first one.
 
     ``parts`` maps a column name to the aggregate made of each slice and the function that
-    combines the aggregates of all earlier slices. Only cut series have such rows, so the
-    table has at most ``MAX_HOT * PIECES`` of them.
+    combines the aggregates of all earlier slices. Only cut series have such rows: at most one
+    for each of them and one more for each partition.
     """
     per_slice = s.df.filter(F.col(SLICE) != WHOLE).groupBy(*s.group).agg(*[agg.alias(name) for name, (agg, _) in parts.items()])
     earlier = Window.partitionBy(*s.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    combined = per_slice.select(
+    return per_slice.select(
         *s.group, *[combine(F.col(name)).over(earlier).alias(name) for name, (_, combine) in parts.items()]
     )
-    return combined.filter(F.col(SLICE) > 0)
 
 
 def join_carried(s: Sliced, parts: Mapping[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
@@ -118,14 +90,10 @@ def join_carried(s: Sliced, parts: Mapping[str, tuple[Column, Callable[[Column],
     table = carried(s, parts)
     renamed = table.select(*[F.col(g).alias(f"_c_{g}") for g in s.group], *parts)
     pairs = [(F.col(g), F.col(f"_c_{g}")) for g in s.group]
-    joined = s.df.join(F.broadcast(renamed), _all_equal(pairs), "left")
+    joined = s.df.join(renamed, _all_equal(pairs), "left")
     return joined.drop(*[f"_c_{g}" for g in s.group])
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return _all_equal([(left[k], right[k]) for k in keys])
-
-
 def _all_equal(pairs: Sequence[tuple[Column, Column]]) -> Column:
     out = F.lit(True)
     for a, b in pairs:

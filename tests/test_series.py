@@ -86,11 +86,19 @@ def test_index_and_delta_cross_slices(spark, limit):
         assert (r["i_delta"], r["i_reset"]) == (1 if r["i"] else 5, False)
 
 
-def test_slices_are_even_and_bounded(spark):
-    df = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("t"))
-    s = slicing.slice_series(df, ["k"], ["t"], HOT)
+@pytest.mark.parametrize("n_series", [1, 2000])
+def test_slices_are_even_whatever_the_number_of_long_series(spark, n_series):
+    """All rows have one time, so that only the tie-break can cut them."""
+    n = 40_000
+    df = spark.range(n).select((F.col("id") % n_series).alias("k"), F.lit(1.0).alias("t"), F.col("id").alias("i"))
+    limit = 2000 if n_series == 1 else 10
+    s = slicing.slice_series(df, ["k"], ["t", "i"], limit)
     sizes = [r["count"] for r in s.df.groupBy(slicing.SLICE).count().collect()]
-    assert s.hot and len(sizes) == slicing.PIECES and max(sizes) < 2 * 20_000 / slicing.PIECES
+    assert s.hot and sum(sizes) == n and max(sizes) < 2 * n / len(sizes)
+    if n_series == 1:
+        assert len(sizes) == 20
+    index = series.sample_index(df, ["k"], ["t", "i"], "i", limit)
+    assert index.filter(F.col("sample_index") != F.floor(F.col("i") / n_series)).isEmpty()
 
 
 def test_null_key_is_a_series_of_its_own(spark):
@@ -123,7 +131,7 @@ def brute_convergence(values, patience, delta, min_steps):
 
 
 @pytest.mark.parametrize("limit", [HOT, 10**6])
-@pytest.mark.parametrize("patience, delta, min_steps", [(5, 0.01, 5), (12, 0.5, 30), (1, 0.0, 1), (60, 2.0, 3)])
+@pytest.mark.parametrize("patience, delta, min_steps", [(5, 0.01, 5), (12, 0.5, 30), (1, 0.0, 1), (4, 0, 9), (60, 2.0, 3)])
 def test_convergence_equals_brute_force(spark, limit, patience, delta, min_steps):
     df, rows = walk(spark, 3)
     out = series.convergence(df, ["k"], ["t", "i"], "v", patience, delta, min_steps, limit)
@@ -131,6 +139,23 @@ def test_convergence_equals_brute_force(spark, limit, patience, delta, min_steps
     assert got == {k: brute_convergence(ordered(rows, k), patience, delta, min_steps) for k in ("hot", "long", "short", "one")}
 
 
+@pytest.mark.parametrize("delta", [0, 0.25])
+@pytest.mark.parametrize("limit", [3, 10**6])
+def test_convergence_with_values_that_are_no_numbers(spark, limit, delta):
+    nan, inf = float("nan"), float("inf")
+    lists = {"a": [nan, inf, 5.0, nan, 4.0], "b": [None] * 9 + [1.0], "c": [nan, inf, None], "d": [inf, 3.0, 3.0, 3.0, 2.0, -inf, -inf, nan]}
+    df = spark.createDataFrame([(k, i, v) for k, vs in lists.items() for i, v in enumerate(vs)], "k string, t long, v double")
+    out = series.convergence(df, ["k"], ["t"], "v", 3, delta, 4, limit)
+    got = {r["k"]: (r["best_value"] if r["best_step"] else inf, r["best_step"], r["converged"], r["last_step"]) for r in out.collect()}
+    assert got == {k: brute_convergence(vs, 3, delta, 4) for k, vs in lists.items()}
+
+
+def test_convergence_without_a_margin_gathers_nothing(spark):
+    df = spark.range(100).select(F.lit("a").alias("k"), F.col("id").alias("t"), (-F.col("id")).cast("double").alias("v"))
+    plan = series.convergence(df, ["k"], ["t"], "v", min_delta=0)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hash") <= 1
+
+
 def test_falling_series_never_converges(spark):
     df = spark.range(300).select(F.lit("a").alias("k"), F.col("id").alias("t"), (-F.col("id")).cast("double").alias("v"))
     for limit in (HOT, 10**6):
