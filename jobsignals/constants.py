@@ -54,6 +54,10 @@ INDEX_FIELDS = (
 )
 KEY_FIELDS = ("episode_id", "label", "scenario_family")
 
+# Ways in which a planned run is started and where it works.
+INVOCATION_STYLES = ("direct", "module", "shell_wrapper")
+WORKDIR_STYLES = ("flat", "nested", "tmp")
+
 # Classifiers in the order in which reports list them.
 CLASSIFIERS = ("text", "text_svm", "nvml", "combined", "combined_shrunk", "api_baseline")
 METRICS = ("accuracy", "precision", "recall", "f1")

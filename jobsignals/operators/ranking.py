@@ -8,12 +8,15 @@ added from a small table of counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import FAMILIES
+from ..constants import FAMILIES, INVOCATION_STYLES, WORKDIR_STYLES
+from ..functions.ids import label_of
+
+STYLES = {"invocation_style": INVOCATION_STYLES, "workdir_style": WORKDIR_STYLES}
 
 # 16^4 buckets: the table of counts has at most this many rows per group, and one bucket
 # holds about 1/65536 of a group's rows because ids hash evenly.
@@ -124,6 +127,21 @@ def assignment_plan(
     )
 
 
+def styled_plan(
+    plan: DataFrame, label: Column | None = None, seed: int = 0, styles: Mapping[str, Sequence[str]] = STYLES,
+    key: str = "episode_id", family: str = "scenario_family",
+) -> DataFrame:
+    """A plan with the label of each run's family and one of several styles per run, drawn apart for each
+    column of ``styles``. Draws are hashes of id, seed and column name, so batches with ids of their own
+    have draws of their own. A family of no known class is an error unless ``label`` is given."""
+    drawn = {}
+    for name, values in styles.items():
+        digits = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)), F.lit(name))), 1, 8)
+        place = F.conv(digits, 16, 10).cast("bigint") % len(values)
+        drawn[name] = F.element_at(F.array(*[F.lit(v) for v in values]), place.cast("int") + 1)
+    return plan.withColumns({"label": label_of(family) if label is None else label} | drawn)
+
+
 def sample_where(
     df: DataFrame, condition: Column, n: int, seed: int = 0, key: str = "episode_id"
 ) -> DataFrame:

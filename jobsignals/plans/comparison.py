@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import CLASSIFIERS, METRICS
 from ..operators.metrics import chart_data, compare
-from ..sources.tables import load_results
+from ..sources.tables import load_results, write_processed
 
 
 def comparison_report(
@@ -24,3 +24,17 @@ def comparison_report(
     families = compare(found["families"], present)
     bars, groups = chart_data(overall, families)
     return {"overall": overall, "per_family_accuracy": families, "score_bars": bars, "family_bars": groups}, missing
+
+
+def write_comparison(
+    spark: SparkSession, results: str, expected: Sequence[str] = CLASSIFIERS
+) -> tuple[list[str], list[str]]:
+    """Write the report as JSON tables beside the results, in ``comparison_report``, replacing the last one as a whole.
+
+    Returns the classifiers compared and those without a result. Without any result nothing is written.
+    ``sources.tables.processed_paths`` says where each table is; missing accuracies are written as null.
+    """
+    report, missing = comparison_report(spark, results, expected)
+    if report:
+        write_processed(report, f"{results.rstrip('/')}/comparison_report", "json")
+    return [c for c in expected if c not in missing], missing

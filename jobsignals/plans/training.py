@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,9 @@ def classify(
         "metrics": M.binary_metrics(pred, POSITIVE),
         "confusion": M.confusion_matrix(pred, LABELS),
         "families": M.family_accuracy(pred),
-        "runs": features.sparkSession.createDataFrame(
-            [(folds, seed, type(estimator).__name__)], "folds int, seed int, model string"
+        "runs": prepared.agg(
+            F.lit(folds).alias("folds"), F.lit(seed).alias("seed"), F.lit(type(estimator).__name__).alias("model"),
+            F.count(F.lit(1)).alias("n_episodes"), F.lit(json.dumps(estimator.settings())).alias("settings"),
         ),
     }
     if describe:

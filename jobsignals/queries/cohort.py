@@ -153,6 +153,41 @@ def plan(spark, sf):
     return out.withColumn("replicate", F.col("replicate").cast("bigint"))
 
 
+@query(
+    "styled_plan",
+    """with runs as (select c_custkey, case when c_nationkey % 2 = 0 then 'ordinary' else 'adversarial' end as label, lower(c_mktsegment) as segment from customer)
+       select c_custkey as episode_id, label || '_' || segment as scenario_family, label,
+              list_extract(['direct', 'module', 'shell_wrapper'], cast(('0x' || substr(md5(c_custkey || '|6|invocation_style'), 1, 8))::bigint % 3 + 1 as integer)) as invocation_style,
+              list_extract(['flat', 'nested', 'tmp'], cast(('0x' || substr(md5(c_custkey || '|6|workdir_style'), 1, 8))::bigint % 3 + 1 as integer)) as workdir_style
+       from runs""",
+)
+def styled(spark, sf):
+    """Customers as planned runs of two classes."""
+    side = F.when(F.col("c_nationkey") % 2 == 0, "ordinary_").otherwise("adversarial_")
+    runs = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("episode_id"), F.concat(side, F.lower("c_mktsegment")).alias("scenario_family")
+    )
+    return ranking.styled_plan(runs, seed=6)
+
+
+@query(
+    "feature_columns",
+    """select name, n from (unpivot (select count(columns(* exclude (o_orderkey, o_orderstatus, o_orderpriority))) from orders)
+                            on columns(*) into name name value n)""",
+)
+def filled_features(spark, sf):
+    """All columns that are not keys, and how many rows have a value in each."""
+    o = table(spark, sf, "orders")
+    names = cohort.feature_columns(o, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    return o.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "name", "n")
+
+
+@query("require_rows", "select c_custkey from customer where c_acctbal > 0")
+def required_rows(spark, sf):
+    """Customers in credit, who have to be as many as there are folds."""
+    return cohort.require_rows(table(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey"), 5)
+
+
 @query(
     "append_manifest",
     """select cast(case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as bigint) as batch, o_orderkey as position, o_orderpriority as scenario_family

@@ -279,6 +279,12 @@ def convergence(spark, sf):
     return series.convergence(event_series(spark, sf), ["episode_id"], ORDER, "value", min_delta=1.0)
 
 
+@query("convergence_any_fall", _CONVERGENCE.replace("w.best - 1", "w.best"))
+def convergence_any_fall(spark, sf):
+    """Every fall below the best so far counts."""
+    return series.convergence(event_series(spark, sf), ["episode_id"], ORDER, "value", min_delta=0.0)
+
+
 @query(
     "unit_conversion",
     """select l_orderkey, l_linenumber, l_partkey, round_even(floor(l_extendedprice) / 1000.0, 3) as watts,

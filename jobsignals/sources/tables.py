@@ -35,6 +35,8 @@ def write_processed(tables: Mapping[str, DataFrame], out: str, fmt: str = "parqu
         writer = df.write.format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
+        if fmt == "json":
+            writer = writer.option("ignoreNullFields", False)
         writer.save(f"{out}/{VERSIONS}/data/{number}/{name}")
     before = _versions(spark, out)
     numbered.put(spark, f"{out}/{VERSIONS}/{number}.json", json.dumps({"tables": list(tables), "format": fmt}))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,18 @@ def test_plan_is_balanced_and_numbered(spark):
         ranking.assignment_plan(families, 2, 4)
 
 
+def test_styles_are_drawn_evenly_and_apart(spark):
+    families = spark.createDataFrame([("ordinary_a",), ("adversarial_b",)], "scenario_family string")
+    plan = ranking.styled_plan(ranking.assignment_plan(families, 1800, 4, seed=2), seed=3)
+    pairs = Counter((r.invocation_style, r.workdir_style) for r in plan.collect())
+    assert len(pairs) == 9 and all(140 < n < 260 for n in pairs.values())
+    assert {(r.scenario_family, r.label) for r in plan.collect()} == {("ordinary_a", "ordinary"), ("adversarial_b", "adversarial")}
+    odd = spark.createDataFrame([("001", "c")], "episode_id string, scenario_family string")
+    with pytest.raises(Exception, match="no label"):
+        ranking.styled_plan(odd).collect()
+    assert ranking.styled_plan(odd, F.lit("x"), styles={"s": ["only"]}).first()["s"] == "only"
+
+
 def test_samples(spark):
     df = ids(spark, 500)
     sample = ranking.sample_where(df, F.col("label") == "b", 30, 9)

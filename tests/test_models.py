@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import Counter
@@ -95,6 +96,9 @@ def test_planted_signal_is_found_out_of_fold(spark, estimator):
     assert result["metrics"].first().accuracy > 0.9
     assert sum(r["count"] for r in result["confusion"].collect()) == 60
     assert sum(r.n for r in result["families"].collect()) == 60
+    run = result["runs"].first()
+    assert (run.folds, run.n_episodes, run.model) == (5, 60, type(estimator).__name__)
+    assert json.loads(run.settings)["seed"] == 0 and set(json.loads(run.settings)) == set(vars(estimator))
     top = {(r.side, r["rank"]): r.term for r in result["terms"].collect()}
     if isinstance(estimator, models.TelemetryForest):
         assert top[("importance", 1)] in ("x", "zeta", "omega", "zeta zeta", "omega omega")

@@ -8,7 +8,7 @@ from jobsignals.constants import CLASSIFIERS
 from jobsignals.operators.joins import episodes_without_metadata
 from jobsignals.operators.metrics import binary_metrics, family_accuracy
 from jobsignals.operators.series import sampler_counts
-from jobsignals.plans.comparison import comparison_report
+from jobsignals.plans.comparison import comparison_report, write_comparison
 from jobsignals.plans.features import build_processed, gpu_feature_names
 from jobsignals.sources import raw, tables
 
@@ -170,6 +170,7 @@ def test_processed_tables_change_together_or_not_at_all(spark, tmp_path):
 def test_results_keep_other_classifiers_and_report_missing(spark, tmp_path):
     out = str(tmp_path / "results")
     assert comparison_report(spark, out) == ({}, list(CLASSIFIERS))
+    assert write_comparison(spark, out) == ([], list(CLASSIFIERS))
     for name, right in (("text", 1), ("nvml", 2), ("text", 3)):
         pred = spark.createDataFrame(
             [(str(i), "f", "ordinary", "ordinary" if i < right else "adversarial", i < right) for i in range(4)],
@@ -180,6 +181,13 @@ def test_results_keep_other_classifiers_and_report_missing(spark, tmp_path):
     assert missing == ["text_svm", "combined", "combined_shrunk", "api_baseline"]
     assert report["per_family_accuracy"].first().asDict() == {"family": "f", "text": 0.75, "nvml": 0.5}
     assert report["score_bars"].count() == 8
+    for _ in range(2):
+        assert write_comparison(spark, out) == (["text", "nvml"], missing)
+    paths = tables.processed_paths(spark, f"{out}/comparison_report")
+    assert set(paths) == set(report)
+    for name, df in report.items():
+        again = spark.read.schema(df.schema).json(paths[name])
+        assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
     with pytest.raises(ValueError):
         tables.write_results("text", out, wrong=report["overall"])
 
