@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobsignals.operators import models, terms
+from jobsignals.operators import linear, models, terms
 from jobsignals.plans import training
+from jobsignals.session import materialise
 
 
 def corpus(spark, n=60, signal=True, seed=5):
@@ -124,6 +125,31 @@ def test_logistic_fit_is_the_minimum_of_the_penalised_sum(spark):
     assert np.abs(w + 2.0 * x.T @ pull).max() < 1e-3 and abs(pull.sum()) < 1e-3
 
 
+def test_svm_fit_is_the_minimum_of_the_squared_hinge(spark):
+    df = corpus(spark, 40).withColumn("text_normalized", F.when(F.col("episode_id") != "007", F.col("text_normalized")))
+    estimator = models.TextSVM(C=2.0, tol=1e-7)
+    prepared = materialise(estimator.prepare(df.repartition(3), ["episode_id", "label"]))
+    fitted = estimator.fit(prepared)
+    rows = estimator.assemble(prepared, fitted.vectors).select("_features", "label").collect()
+    x = np.array([[*r[0].toArray(), 1.0] for r in rows])
+    s = np.array([1.0 if r[1] == "adversarial" else -1.0 for r in rows])
+    w = np.append(fitted.model.coefficients.toArray(), fitted.model.intercept)
+
+    def gradient(w):
+        return w - 4.0 * x.T @ (s * np.maximum(0.0, 1.0 - s * (x @ w)))
+
+    assert np.linalg.norm(gradient(w)) <= 2e-7 * np.linalg.norm(gradient(0.0 * w))
+    margins = x @ w
+    got = [r.predicted for r in fitted.predict(prepared).collect()]
+    assert got == ["adversarial" if m > 0 else "ordinary" for m in margins]
+
+
+def test_minimise_ends_at_the_minimum_of_an_uneven_bowl():
+    scale = np.array([1.0, 30.0, 1000.0])
+    end = linear.minimise(lambda x: (scale @ (x - 1.0) ** 2 / 2, scale * (x - 1.0)), np.zeros(3), 100, 1e-9)
+    assert end == pytest.approx(np.ones(3), abs=1e-6)
+
+
 def test_fused_and_answered_results(spark):
     df = corpus(spark, 30)
     text, gpu = df.drop("x", "y"), df.drop("text_normalized")
