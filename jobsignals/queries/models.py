@@ -97,6 +97,25 @@ def out_of_fold(spark, sf):
     return out.select("episode_id", "label", "fold", F.col("predicted").isin(*LABELS).alias("predicted"))
 
 
+def planted(spark, sf):
+    """Labelled documents with a word for the class behind every twenty characters' worth of text."""
+    mark = F.when(F.col("label") == LABELS[1], " zetamark").otherwise(" omegamark")
+    times = (F.char_length("text_normalized") / 20 + 2).cast("int")
+    text = F.concat(F.coalesce("text_normalized", F.lit("")), F.repeat(mark, F.coalesce(times, F.lit(2))))
+    return document_features(spark, sf).withColumn("text_normalized", text)
+
+
+_CLASS = "case when toxic = 1 then 'adversarial' else 'ordinary' end"
+_PLANTED = f"select doc_id as episode_id, {_CLASS} as label, {_CLASS} as predicted from documents join labels using (doc_id)"
+
+
+@query("text_logistic_planted", _PLANTED)
+def text_logistic_planted(spark, sf):
+    """A word that gives the class away is found in every fold."""
+    out = training.classify(planted(spark, sf), models.TextLogistic(), describe=False)["predictions"]
+    return out.select("episode_id", "label", "predicted")
+
+
 @query("top_terms")
 def top_terms(spark, sf):
     """Strongest terms of a fit on all labelled documents."""
