@@ -116,6 +116,21 @@ def text_logistic_planted(spark, sf):
     return out.select("episode_id", "label", "predicted")
 
 
+@query("text_svm_planted", _PLANTED)
+def text_svm_planted(spark, sf):
+    out = training.classify(planted(spark, sf), models.TextSVM(), describe=False)["predictions"]
+    return out.select("episode_id", "label", "predicted")
+
+
+@query("top_terms_planted", "select * from (values ('adversarial', 1, 'zetamark'), ('ordinary', 1, 'omegamark')) t(side, rank, term)")
+def top_terms_planted(spark, sf):
+    """The planted words are the strongest terms of a fit on all labelled documents."""
+    estimator = models.TextSVM()
+    features = planted(spark, sf)
+    fitted = estimator.fit(materialise(estimator.prepare(features, KEY_FIELDS)))
+    return models.top_terms(fitted, features, 1).select("side", "rank", "term")
+
+
 @query("top_terms")
 def top_terms(spark, sf):
     """Strongest terms of a fit on all labelled documents."""
