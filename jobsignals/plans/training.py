@@ -17,18 +17,33 @@ from ..operators.models import (
     Estimator,
     FusedForest,
     TelemetryForest,
-    TextLogistic,
-    TextSVM,
     TextVectorizer,
     out_of_fold,
     top_importances,
     top_terms,
 )
 from ..operators.ranking import stratified_folds
+from ..operators.stacked import LOGISTIC, SQUARED_HINGE, Loss, fit_stack
 from ..session import materialise
 from ..sources.tables import write_results
 
 
+def scored(pred: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "predictions": pred,
+        "metrics": M.binary_metrics(pred, POSITIVE),
+        "confusion": M.confusion_matrix(pred, LABELS),
+        "families": M.family_accuracy(pred),
+    }
+
+
+def run_row(rows: DataFrame, folds: int, seed: int, model: str, settings: dict[str, object]) -> DataFrame:
+    return rows.agg(
+        F.lit(folds).alias("folds"), F.lit(seed).alias("seed"), F.lit(model).alias("model"),
+        F.count(F.lit(1)).alias("n_episodes"), F.lit(json.dumps(settings)).alias("settings"),
+    )
+
+
 def classify(
     features: DataFrame, estimator: Estimator, folds: int = 5, seed: int = 0, describe: bool = True
 ) -> dict[str, DataFrame]:
@@ -41,16 +56,7 @@ def classify(
     dealt = stratified_folds(features, k=folds, seed=seed)
     prepared = materialise(estimator.prepare(dealt, [*KEY_FIELDS, "fold"]))
     pred = materialise(M.predictions(out_of_fold(prepared, estimator, folds)))
-    out = {
-        "predictions": pred,
-        "metrics": M.binary_metrics(pred, POSITIVE),
-        "confusion": M.confusion_matrix(pred, LABELS),
-        "families": M.family_accuracy(pred),
-        "runs": prepared.agg(
-            F.lit(folds).alias("folds"), F.lit(seed).alias("seed"), F.lit(type(estimator).__name__).alias("model"),
-            F.count(F.lit(1)).alias("n_episodes"), F.lit(json.dumps(estimator.settings())).alias("settings"),
-        ),
-    }
+    out = scored(pred) | {"runs": run_row(prepared, folds, seed, type(estimator).__name__, estimator.settings())}
     if describe:
         fitted = estimator.fit(prepared)
         is_forest = isinstance(estimator, TelemetryForest)
@@ -58,12 +64,30 @@ def classify(
     return out
 
 
+def classify_stacked(
+    features: DataFrame, loss: Loss, column: str = "text_normalized", C: float = 1.0, folds: int = 5, seed: int = 0,
+    max_iter: int = 1000, tol: float = 1e-4,
+) -> dict[str, DataFrame]:
+    """As ``classify`` for linear models of text, with all folds and the fit on all rows as one fit.
+
+    Coefficients are tables, so that the vocabulary has no limit.
+    """
+    require_rows(features, folds)
+    dealt = materialise(stratified_folds(features.select(*KEY_FIELDS, column), k=folds, seed=seed))
+    stack = fit_stack(dealt, loss, column, folds, C, max_iter, tol)
+    given = dealt.select(*KEY_FIELDS).join(stack.predictions().drop("fold"), "episode_id")
+    pred = materialise(M.predictions(given))
+    settings = {"text": column, "C": C, "max_iter": max_iter, "tol": tol, "steps": stack.steps}
+    name = "StackedLogistic" if loss is LOGISTIC else "StackedSVM"
+    return scored(pred) | {"runs": run_row(dealt, folds, seed, name, settings), "terms": stack.top_terms()}
+
+
 def text_classifier(text: DataFrame, column: str = "text_normalized", C: float = 1.0, folds: int = 5, seed: int = 0):
-    return classify(fill_features(text, texts=[column]), TextLogistic(text=column, C=C, seed=seed), folds, seed)
+    return classify_stacked(fill_features(text, texts=[column]), LOGISTIC, column, C, folds, seed)
 
 
 def text_svm_classifier(text: DataFrame, column: str = "text_normalized", C: float = 1.0, folds: int = 5, seed: int = 0):
-    return classify(fill_features(text, texts=[column]), TextSVM(text=column, C=C, seed=seed), folds, seed)
+    return classify_stacked(fill_features(text, texts=[column]), SQUARED_HINGE, column, C, folds, seed)
 
 
 def telemetry_classifier(gpu: DataFrame, num_trees: int = 200, folds: int = 5, seed: int = 0):

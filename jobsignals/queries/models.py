@@ -1,13 +1,12 @@
 """Classifiers over the driver tables: labelled documents as text, users as episodes with
-telemetry. Predictions have no SQL; what SQL can check is that each row is predicted once, in
-the fold it was dealt to."""
+telemetry. Predictions have no SQL unless a planted word gives the class away."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..constants import KEY_FIELDS, LABELS
-from ..operators import joins, models
+from ..operators import joins, models, stacked
 from ..operators.cohort import feature_columns, fill_features
 from ..operators.ranking import stratified_folds
 from ..operators.series import gpu_features
@@ -81,22 +80,6 @@ def fused_forest_shrunk(spark, sf):
     return fused(spark, sf, num_trees=50, max_depth=4, min_leaf=2)["predictions"]
 
 
-@query(
-    "out_of_fold",
-    """select doc_id as episode_id, case when toxic = 1 then 'adversarial' else 'ordinary' end as label,
-              cast((row_number() over (order by case when toxic = 1 then 'adversarial' else 'ordinary' end, md5(doc_id || '|0')) - 1) % 5 as integer) as fold,
-              true as predicted
-       from documents join labels using (doc_id)""",
-)
-def out_of_fold(spark, sf):
-    """Every labelled document is predicted once, by the model of its fold."""
-    estimator = models.TextLogistic(max_iter=10)
-    dealt = stratified_folds(document_features(spark, sf))
-    prepared = materialise(estimator.prepare(dealt, [*KEY_FIELDS, "fold"]))
-    out = models.out_of_fold(prepared, estimator)
-    return out.select("episode_id", "label", "fold", F.col("predicted").isin(*LABELS).alias("predicted"))
-
-
 def planted(spark, sf):
     """Labelled documents with a word for the class behind every twenty characters' worth of text."""
     mark = F.when(F.col("label") == LABELS[1], " zetamark").otherwise(" omegamark")
@@ -131,6 +114,28 @@ def top_terms_planted(spark, sf):
     return models.top_terms(fitted, features, 1).select("side", "rank", "term")
 
 
+@query(
+    "out_of_fold",
+    f"""select doc_id as episode_id, {_CLASS} as label,
+              cast((row_number() over (order by {_CLASS}, md5(doc_id || '|0')) - 1) % 5 as integer) as fold,
+              {_CLASS} as predicted
+       from documents join labels using (doc_id)""",
+)
+def out_of_fold(spark, sf):
+    """Every labelled document is predicted once, by the model of its fold, which finds the planted word."""
+    dealt = materialise(stratified_folds(planted(spark, sf)))
+    stack = stacked.fit_stack(dealt, stacked.LOGISTIC, folds=5)
+    return dealt.select("episode_id", "label").join(stack.predictions(), "episode_id").select(
+        "episode_id", "label", "fold", "predicted"
+    )
+
+
+@query("stacked_top_terms_planted", "select * from (values ('adversarial', 1, 'zetamark'), ('ordinary', 1, 'omegamark')) t(side, rank, term)")
+def stacked_top_terms_planted(spark, sf):
+    """The planted words are the strongest terms of a fit whose coefficients are a table."""
+    return stacked.fit_stack(planted(spark, sf), stacked.SQUARED_HINGE).top_terms(1).select("side", "rank", "term")
+
+
 @query("top_terms")
 def top_terms(spark, sf):
     """Strongest terms of a fit on all labelled documents."""
