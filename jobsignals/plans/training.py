@@ -17,13 +17,15 @@ from ..operators.models import (
     Estimator,
     FusedForest,
     TelemetryForest,
+    TextLogistic,
+    TextSVM,
     TextVectorizer,
     out_of_fold,
     top_importances,
     top_terms,
 )
 from ..operators.ranking import stratified_folds
-from ..operators.stacked import LOGISTIC, SQUARED_HINGE, Loss, fit_stack
+from ..operators.stacked import LOGISTIC, Loss, fit_stack
 from ..session import materialise
 from ..sources.tables import write_results
 
@@ -70,7 +72,7 @@ def classify_stacked(
 ) -> dict[str, DataFrame]:
     """As ``classify`` for linear models of text, with all folds and the fit on all rows as one fit.
 
-    Coefficients are tables, so that the vocabulary has no limit.
+    Coefficients are tables, so that the vocabulary has no limit; a step takes seconds on tables of any size.
     """
     require_rows(features, folds)
     dealt = materialise(stratified_folds(features.select(*KEY_FIELDS, column), k=folds, seed=seed))
@@ -83,11 +85,11 @@ def classify_stacked(
 
 
 def text_classifier(text: DataFrame, column: str = "text_normalized", C: float = 1.0, folds: int = 5, seed: int = 0):
-    return classify_stacked(fill_features(text, texts=[column]), LOGISTIC, column, C, folds, seed)
+    return classify(fill_features(text, texts=[column]), TextLogistic(text=column, C=C, seed=seed), folds, seed)
 
 
 def text_svm_classifier(text: DataFrame, column: str = "text_normalized", C: float = 1.0, folds: int = 5, seed: int = 0):
-    return classify_stacked(fill_features(text, texts=[column]), SQUARED_HINGE, column, C, folds, seed)
+    return classify(fill_features(text, texts=[column]), TextSVM(text=column, C=C, seed=seed), folds, seed)
 
 
 def telemetry_classifier(gpu: DataFrame, num_trees: int = 200, folds: int = 5, seed: int = 0):
