@@ -79,7 +79,7 @@ def _slope(cross: Column, n: Column) -> Column:
 
 
 def _merge(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combine the slices of each series; one row per partition that a series has rows in."""
+    """Combine the slices of each series; one row per slice that a series has rows in."""
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(SLICE).rowsBetween(*ALL_EARLIER)
     n = F.col("n").cast("double")

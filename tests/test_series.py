@@ -101,6 +101,21 @@ def test_slices_are_even_whatever_the_number_of_long_series(spark, n_series):
     assert index.filter(F.col("sample_index") != F.floor(F.col("i") / n_series)).isEmpty()
 
 
+def test_many_slices_take_few_partitions(spark):
+    """Short slices of a long series share partitions, and each still has its rows in order."""
+    n = 20_000
+    df = spark.range(n).select((F.col("id") % 3).alias("k"), F.lit(1.0).alias("t"), F.col("id").alias("i"))
+    s = slicing.slice_series(df, ["k"], ["t", "i"], 20)
+    per_slice = s.df.groupBy("k", slicing.SLICE).agg(F.count("i").alias("n"), F.min("i").alias("a"), F.max("i").alias("b")).collect()
+    assert s.df.select(F.input_file_name()).distinct().count() <= slicing.PARTITIONS and len(per_slice) >= n / 20
+    assert all(r.n <= 20 and r.b - r.a == 3 * (r.n - 1) for r in per_slice)
+    for k in range(3):
+        mine = sorted((r[slicing.SLICE], r.a) for r in per_slice if r.k == k)
+        assert [a for _, a in mine] == sorted(a for _, a in mine)
+    index = series.sample_index(df, ["k"], ["t", "i"], "i", 20)
+    assert index.count() == n and index.filter(F.col("sample_index") != F.floor(F.col("i") / 3)).isEmpty()
+
+
 def test_null_key_is_a_series_of_its_own(spark):
     df = spark.range(200).select(
         F.when(F.col("id") < 150, F.lit(None)).otherwise(F.lit("b")).alias("k"), F.col("id").cast("double").alias("t"),
