@@ -45,6 +45,10 @@ BATCH_CHARS = 16 << 20
 ROW_WORDS = 200_000
 # Shares of the words; a task holds the distinct words of one of them.
 SHARES = 512
+# How hard whole numbers are compressed.
+LEVEL = 6
+# Kinds of rows of the split texts.
+WORDS, COUNTS, TEXTS = range(3)
 # A byte that UTF-8 has not stands between words.
 BETWEEN = b"\xff"
 # Documents that are decoded together, at most.
@@ -54,7 +58,7 @@ _SPLIT = regex.compile(PATTERN)
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 # Rows without share are a batch's documents, the others its words of one share, from number ``first`` on; the row of
-# share -1 has the number of each word in the order in which the words came.
+# share -1 tells how often each word comes. Places name words by their rank in this count, which takes the fewest bytes.
 _BATCHES = pa.schema(
     [("share", pa.int32()), ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()),
      ("first", pa.int32()), ("words", pa.binary())]
@@ -98,7 +102,7 @@ def _packed(values: np.ndarray) -> bytes:
     and so on, compressed; the higher bytes are mostly equal."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(values.astype("<u4").view("u1").reshape(-1, 4)[:, :width].T)
-    return bytes([width]) + zstandard.compress(planes.tobytes())
+    return bytes([width]) + zstandard.compress(planes.tobytes(), LEVEL)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -109,6 +113,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Numbers of words, the most frequent first."""
+    return np.argsort(-counts, kind="stable")
+
+
 class _Numbers(dict):
     """Numbers words from 0 as they come."""
 
@@ -129,7 +138,12 @@ def _batched(special: dict[str, int]):
             order = np.array(sorted(range(len(words)), key=lambda k: (share[k], words[k])), np.int64)  # in order they compress well
             number = np.empty(len(words), np.int32)
             number[order] = np.arange(len(words))
-            at = np.concatenate(places)  # in the order in which words came, frequent ones have small numbers
+            at = np.concatenate(places)
+            counts = np.zeros(len(words), np.int64)
+            counts[number] = np.bincount(at, minlength=len(words))
+            rank = np.empty(len(words), np.int32)
+            rank[_by_count(counts)] = np.arange(len(words))
+            at = rank[number][at]
             words, share = [words[k] for k in order.tolist()], np.array(share, np.int64)[order]
             first = np.flatnonzero(np.diff(share, prepend=-1))
             cuts, n = [*first.tolist(), len(words)], len(first)
@@ -141,7 +155,7 @@ def _batched(special: dict[str, int]):
             columns = {
                 "share": none + [-1] + share[first].tolist(), "batch": [min(ids)] * (n + 1 + len(spans)), "doc_ids": [ids[a:b] for a, b in spans] + [None] * (n + 1),
                 "sizes": [sizes[a:b] for a, b in spans] + [None] * (n + 1), "places": [_packed(at[ends[a] : ends[b]]) for a, b in spans] + [None] * (n + 1),
-                "first": none + [-1] + cuts[:-1], "words": none + [_packed(number)] + [BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
+                "first": none + [-1] + cuts[:-1], "words": none + [_packed(counts)] + [BETWEEN.join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
             }
             return table(columns, _BATCHES)
 
@@ -198,7 +212,7 @@ def _put_in(batches):
             if kinds[k] == 0:
                 first, *row = (batch.column(c)[k].as_py() for c in ("first", "lengths", "ids"))
                 if first < 0:
-                    number_of = _unpacked(row[1])
+                    number_of = _by_count(_unpacked(row[1]))
                 else:
                     known.append((first, *row))
                 continue
@@ -218,13 +232,16 @@ def _words_and_places(docs: DataFrame, path: str) -> DataFrame:
     """Rows for ``_put_in``: of each batch the ids of its words, then its documents."""
     steps = Steps(docs.sparkSession)
     special = _tokenizer(path)[1]
-    split = steps.write(one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS), "split", "zstd")
-    words = split.filter("share >= 0").select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
+    what = F.when(F.col("share").isNull(), TEXTS).when(F.col("share") < 0, COUNTS).otherwise(WORDS)
+    batched = one_row_per_id(docs).mapInArrow(_batched(special), _BATCH_COLUMNS).withColumn("what", what)
+    split = steps.write(batched, "split", "zstd", "what")
+    words = split.filter(F.col("what") == WORDS).select("share", "batch", "first", "words").repartition("share").sortWithinPartitions("share")
     known = steps.write(words.mapInArrow(_encoded(path), "batch long, first int, sizes binary, ids binary"), "known", "zstd")
+    steps.remove_part("split", "what", WORDS)
     known = known.select("batch", "first", F.col("sizes").alias("lengths"), "ids")
-    numbers = split.filter("share = -1").select("batch", "first", F.lit(None).cast("binary").alias("lengths"), F.col("words").alias("ids"))
-    known = known.union(numbers).withColumn("kind", F.lit(0))
-    texts = split.filter("share is null").select("batch", F.lit(1).alias("kind"), "doc_ids", "sizes", "places")
+    counts = split.filter(F.col("what") == COUNTS).select("batch", "first", F.lit(None).cast("binary").alias("lengths"), F.col("words").alias("ids"))
+    known = known.union(counts).withColumn("kind", F.lit(0))
+    texts = split.filter(F.col("what") == TEXTS).select("batch", F.lit(1).alias("kind"), "doc_ids", "sizes", "places")
     return known.unionByName(texts, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "kind")
 
 

@@ -13,7 +13,7 @@ import texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from jobsignals.llm import bpe, packing, quality, sharding
+from jobsignals.llm import bpe, packing, quality, scratch, sharding
 from jobsignals.llm.packing import boundaries, pack, packed_tokens
 from jobsignals.llm.quality import quality_rules
 from jobsignals.llm.sharding import equal_text_links, shard
@@ -76,6 +76,16 @@ def test_batches_of_many_words(spark):
     assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
 
 
+def test_places_name_words_by_their_count_and_written_words_go(spark, tmp_path, monkeypatch):
+    """What stands between the steps is small: no order of the words, and no words once they have ids."""
+    monkeypatch.setattr(scratch, "fresh_path", lambda _, name: str(tmp_path / name))
+    rows = [(k, "".join(f" {chr(97 + n % 26)}{n}" for n in range(k, 40_000, 3)) + " common" * 30_000, "en", "s", 0) for k in range(3)]
+    df = bpe._words_and_places(spark.createDataFrame(rows, texts.SCHEMA).coalesce(1), BPE)
+    assert list(tmp_path.glob(f"split/what={bpe.TEXTS}/*.parquet")) and not list(tmp_path.glob(f"split/what={bpe.WORDS}"))
+    counts = [bpe._unpacked(r.ids) for r in df.filter("kind = 0 and first < 0").collect()]
+    assert len(counts) == 1 and counts[0].max() == 90_000
+
+
 def test_boundaries_are_the_best_ones():
     r = random.Random(1)
     for _ in range(40):
