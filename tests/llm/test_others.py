@@ -79,7 +79,7 @@ def test_batches_of_many_words(spark):
 def test_places_name_words_by_their_count_and_written_words_go(spark, tmp_path, monkeypatch):
     """What stands between the steps is small: no order of the words, and no words once they have ids."""
     monkeypatch.setattr(scratch, "fresh_path", lambda _, name: str(tmp_path / name))
-    rows = [(k, "".join(f" {chr(97 + n % 26)}{n}" for n in range(k, 40_000, 3)) + " common" * 30_000, "en", "s", 0) for k in range(3)]
+    rows = [(k, "".join(f" {chr(97 + n % 26)}{n}" for n in range(k, 40_000, 3)) + " common" * 30_000) for k in range(3)]
     df = bpe._words_and_places(spark.createDataFrame(rows, texts.SCHEMA).coalesce(1), BPE)
     assert list(tmp_path.glob(f"split/what={bpe.TEXTS}/*.parquet")) and not list(tmp_path.glob(f"split/what={bpe.WORDS}"))
     counts = [bpe._unpacked(r.ids) for r in df.filter("kind = 0 and first < 0").collect()]
