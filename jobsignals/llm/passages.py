@@ -121,12 +121,22 @@ def shared_runs(docs: DataFrame, method: Method) -> DataFrame:
     )
 
 
+def _sorted(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The order by all columns. Most keys occur once, so that only the others need the other columns."""
+    order = np.argsort(key)
+    same = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
+    several = np.flatnonzero(same[1:] | same[:-1])
+    some = order[several]
+    order[several] = some[np.lexsort((*[c[some] for c in reversed(more)], key[some]))]
+    return order
+
+
 def _own_repeats(held: list[tuple[np.ndarray, ...]], within_document: bool) -> pa.RecordBatch:
     """The runs of a task. Of those with one key only the first goes to the key's partition; others
     are dealt out by their units, and repeats evenly. ``open`` marks keys that have several units
     or repeats that aren't done."""
     key, doc, lo, n, units = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((lo, doc, units, key))
+    order = _sorted(key, units, doc, lo)
     key, doc, lo, n, units = key[order], doc[order], lo[order], n[order], units[order]
     same_key = np.concatenate([[False], key[1:] == key[:-1]])
     again = same_key & np.concatenate([[False], units[1:] == units[:-1]])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import passages
 from .passages import Method
 from .scratch import Steps
-from .words import U, first_of_groups, gram_hash, joined, mix, one_row_per_id, prefix_hash, prefix_hash_of, span_hash, table, texts, word_hash, words
+from .words import U, first_of_groups, gram_hash, gram_hash_at, joined, mix, one_row_per_id, prefix_hash, prefix_hash_of, span_hash, table, texts, word_hash, words
 
 WINDOW = 13
 ROUNDS = 2
@@ -82,7 +82,10 @@ def _windows(data: np.ndarray, offsets: np.ndarray):
     pairs = (hashes[2:-1] == hashes[:-3]) & (hashes[3:] == hashes[1:-2])
     whole = among(twice, WINDOW - 1) | among(pairs, WINDOW - 3) | (anchor < 0)
     around = gram_hash(hashes, 2 * MARGIN + 1)[np.where(whole, at, begins[np.maximum(anchor, 0)] - MARGIN)]
-    key = np.where(whole, mix(gram_hash(hashes, WINDOW)[at] + U(1)), around)
+    key = around
+    if whole.any():
+        rare = at[whole]
+        key[whole] = mix(gram_hash_at(hashes, rare, WINDOW) + U(1))
     anchor = np.where(whole, -1 - at, anchor)
     first_word = np.searchsorted(row, np.arange(len(offsets) - 1), "left")
     prefix = prefix_hash_of(hashes)

@@ -2,6 +2,7 @@
 
 import brute
 import public_tokenizers
+import numpy as np
 import pytest
 import texts
 from pyspark.sql import functions as F
@@ -132,3 +133,18 @@ def test_limits_of_other_columns_repeated_lengths_and_no_rows(spark):
     assert sorted(map(tuple, context_limits(lengths).collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 2
     nothing = quantiles(context_limits(lengths.limit(0)), [0.5, 1.0]).collect()
     assert [tuple(r) for r in nothing] == [(0.5, None), (1.0, None)]
+
+
+def test_sorting_and_hashing_less_gives_the_same():
+    """Only rows whose key repeats are sorted by the other columns; only the windows asked for are hashed."""
+    from jobsignals.llm import passages, words
+
+    draw = np.random.default_rng(3)
+    key, units, doc, lo = (draw.integers(0, n, 5_000).astype(np.uint64) for n in (2_500, 2, 3, 10**9))
+    assert (passages._sorted(key, units, doc, lo) == np.lexsort((lo, doc, units, key))).all()
+    assert len(passages._sorted(*[np.zeros(0, np.uint64)] * 4)) == 0
+    at = np.array([0, 7, 4_000])
+    assert (words.gram_hash_at(units, at, 13) == words.gram_hash(units, 13)[at]).all()
+    data = np.frombuffer(b"aa b aa \xc3\xa9 b", np.uint8)
+    starts, stops, _ = words.words(data, np.array([0, len(data)]))
+    assert words.word_hash(data, starts, stops).tolist() == [words.xxhash.xxh3_64_intdigest(w) for w in data.tobytes().split()]
