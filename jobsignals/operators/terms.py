@@ -23,10 +23,36 @@ def ngrams(df: DataFrame, key: str = "episode_id", text: str = "text", keep: Seq
     """How often each word and word pair occurs in each document; rows of one key are one document.
 
     The texts are dealt out by key, so that their terms, many times as many bytes, are counted where they
-    are made: compiled hash aggregation that spills, without a shuffle of its own.
+    are made, without a shuffle of their own. A task counts one document after the other, so that it
+    holds the terms of one document, not those of all its rows.
     """
-    grams = with_grams(df.select(key, *keep, F.col(text).alias("_text")).repartition(key), "_text")
-    return counted(grams, "grams", key, keep)
+    return counted_in_rows(with_all_grams(by_key(df, key, text, keep), key, *keep), "grams", key, *keep)
+
+
+def by_key(df: DataFrame, key: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per key with the texts of its rows as the array ``_texts``, which a task holds as it holds one text."""
+    return df.groupBy(key, *keep).agg(F.collect_list(text).alias("_texts"))
+
+
+def with_all_grams(df: DataFrame, *keep: str) -> DataFrame:
+    """The terms of all ``_texts`` of a row as the array ``grams``; no pair spans two texts."""
+    words = df.select(*keep, F.transform("_texts", tokens).alias("_words"))
+    return words.select(*keep, F.flatten(F.transform("_words", lambda w: F.concat(w, bigrams(w)))).alias("grams"))
+
+
+def counted_in_rows(df: DataFrame, grams: str, *keep: str) -> DataFrame:
+    """How often each element of the array ``grams`` occurs in each row: runs of the sorted array."""
+    ordered = df.select(*keep, F.sort_array(grams).alias("_grams"))
+    last = F.greatest(F.size("_grams") - 1, F.lit(0))
+    starts = F.filter(
+        F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("_grams", i) != F.get("_grams", i - 1))
+    )
+    runs = ordered.withColumn("_starts", starts).withColumn(
+        "_runs", F.arrays_zip(F.col("_starts").alias("at"), F.slice("_starts", 2, F.size("_starts")).alias("to"))
+    )
+    rows = runs.select(*keep, "_grams", F.explode_outer("_runs").alias("_run"))
+    tf = F.coalesce("_run.to", F.size("_grams")) - F.col("_run.at")
+    return rows.select(*keep, F.get("_grams", F.col("_run.at")).alias("term"), tf.cast("long").alias("tf")).filter("term is not null")
 
 
 def counted(df: DataFrame, grams: str, key: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -47,6 +47,16 @@ def test_tfidf_equals_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_rows_of_one_key_are_counted_as_one_document(spark):
+    rows = [("a", "Uno dos uno dos"), ("a", "dos tres"), ("a", None), (None, "uno dos"), (None, "dos"), ("b", "x"), ("c", None)]
+    df = spark.createDataFrame(rows, "episode_id string, text string")
+    got = {(r.episode_id, r.term): r.tf for r in terms.ngrams(df).collect()}
+    assert got == {
+        ("a", "uno"): 2, ("a", "dos"): 3, ("a", "tres"): 1, ("a", "uno dos"): 2, ("a", "dos uno"): 1, ("a", "dos tres"): 1,
+        (None, "uno"): 1, (None, "dos"): 2, (None, "uno dos"): 1,
+    }
+
+
 def test_held_out_weights_know_only_other_folds(spark):
     df = corpus(spark, 30).withColumn("fold", (F.col("episode_id").cast("int") % 3))
     docs = {r.episode_id: (r.text_normalized, r.fold) for r in df.collect()}

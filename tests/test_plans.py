@@ -53,6 +53,11 @@ def test_grams_are_counted_where_the_texts_were_dealt(spark, sf):
     assert exchanges(plan) == ["hashpartitioning"] and "SortAggregate" not in plan
 
 
+def test_grams_of_a_task_are_not_held_together(spark, sf):
+    plan = plan_of(terms.ngrams(table(spark, sf, "documents"), "doc_id"))
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*term", plan) and "Sort " not in plan
+
+
 def test_tfidf_moves_rows_by_document_and_term_only(spark, sf):
     plan = plan_of(terms.tfidf(table(spark, sf, "documents"), "doc_id"))
     moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
