@@ -140,6 +140,20 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     assert got == brute.near_vectors(rows)
 
 
+def test_vectors_are_sent_in_rounds_with_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 8)
+    monkeypatch.setattr(embedding_dedup, "LARGEST", 8)
+    monkeypatch.setattr(embedding_dedup, "SENT", 1)
+    written, write = [], Steps.write
+    monkeypatch.setattr(Steps, "write", lambda self, df, name, *a, **b: written.append(name) or write(self, df, name, *a, **b))
+    r = np.random.default_rng(1)
+    v = r.standard_normal((40, 8)).astype(np.float32)
+    v[20:] = v[:20] + 0.1 * v[r.integers(20, size=20)]
+    rows = [(k, [float(x) for x in v[k]]) for k in range(40)]
+    assert by_id(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))) == brute.near_vectors(rows)
+    assert written.count("found") > 4
+
+
 @pytest.mark.parametrize("size", [1024, 2048, 4096])
 def test_different_words_of_regular_build_stay_different(spark, size):
     a, b = texts.regular_words(size)
