@@ -117,6 +117,25 @@ def test_planted_signal_is_found_out_of_fold(spark, estimator):
         assert "zeta" in top[("adversarial", 1)] and "omega" in top[("ordinary", 1)]
 
 
+def test_the_vocabulary_of_a_forest_is_a_table_without_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(models, "TERM_LIMIT", 3)
+    df = corpus(spark, 20)
+    estimator = models.FusedForest(numbers=["x", "y"], num_trees=3)
+    prepared = materialise(estimator.prepare(df, ["episode_id", "label"]))
+    fitted = estimator.fit(prepared)
+    names = {r.f: r.term for r in fitted.vectors.table.collect()}
+    size = fitted.vectors.size
+    assert sorted(names) == list(range(size)) and len(set(names.values())) == size
+    want = brute_tfidf({r.episode_id: r.text_normalized for r in df.collect()})
+    numbers = {r.episode_id: (r.x, r.y) for r in df.collect()}
+    rows = estimator.assemble(prepared, fitted.vectors).select("episode_id", "_features").collect()
+    assert len(rows) == 20
+    for r in rows:
+        v = dict(zip(r["_features"]["indices"], r["_features"]["values"]))
+        assert {names[i]: x for i, x in v.items() if i < size} == pytest.approx({t: x for (k, t), x in want.items() if k == r.episode_id})
+        assert [v.get(size + j, 0.0) for j in range(2)] == list(numbers[r.episode_id])
+
+
 def test_labels_that_nothing_explains_are_not_learned(spark):
     result = training.classify(corpus(spark, 80, signal=False), models.TextLogistic(), describe=False)
     assert 0.25 < result["metrics"].first().accuracy < 0.75
